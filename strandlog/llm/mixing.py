@@ -19,6 +19,9 @@ BLOCK = 20_000
 #: The most sources a mix can have; their totals are planned on the driver.
 MAX_SOURCES = 10_000
 
+#: Settled documents of all sizes that a block passes on with its open ones, as counterweights for the landing.
+CARRIED = 16
+
 _EPS = 1e-9
 
 
@@ -28,10 +31,11 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
 
     Three units at a time have a direction in which both totals stay (the null space of
     the two constraints); a step along it, drawn so that every expectation is kept,
-    settles at least one of them.
+    settles at least one of them. Large documents go first (equal sizes in random order),
+    so that small ones absorb what is left and the landing problem is small in tokens too.
     """
     p = p.astype(float).copy()
-    order = rng.permutation(len(p)).tolist()
+    order = np.lexsort((rng.random(len(p)), -sizes.astype(float))).tolist()
     draws = rng.random(len(p) + 1).tolist()
     s = sizes.astype(float).tolist()
     q = p.tolist()
@@ -65,15 +69,25 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.array(q)
 
 
-def landing(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rounds the few entries the flight left, so that the total size misses least, then the number."""
+def landing(sizes: np.ndarray, p: np.ndarray, want: float) -> np.ndarray:
+    """Settles the few entries the flight left, so that the total size comes nearest to ``want``.
+
+    The open entries are rounded so that the size misses least, then the number. If they
+    are large the miss is too: it is then made up by turning single settled entries of
+    this block round, the largest that fits what is missing first.
+    """
     open_ = np.nonzero((p > _EPS) & (p < 1 - _EPS))[0]
-    if not len(open_):
-        return np.round(p)
-    want, number = float((p[open_] * sizes[open_]).sum()), float(p[open_].sum())
-    best = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(float((np.array(x) * sizes[open_]).sum()) - want), abs(sum(x) - number)))
     out = np.round(p)
-    out[open_] = best
+    number = float(p[open_].sum())
+    rest = want - float((np.delete(out, open_) * np.delete(sizes, open_)).sum())
+    if len(open_):
+        out[open_] = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(float((np.array(x) * sizes[open_]).sum()) - rest), abs(sum(x) - number)))
+    miss = want - float((out * sizes).sum())
+    for i in np.argsort(-sizes, kind="stable"):
+        gain = float(sizes[i]) * (1 - 2 * out[i])  # what turning it would add
+        if abs(miss - gain) < abs(miss):
+            out[i] = 1 - out[i]
+            miss -= gain
     return out
 
 
@@ -103,7 +117,10 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
 
 
 def _fly(units: DataFrame, seed: int, level: int, block: int) -> DataFrame:
-    """Settles all units of ``(doc_id, source, n_tokens, base, p)``, level by level."""
+    """Settles all units of ``(doc_id, source, n_tokens, base, p)``, level by level.
+
+    A block passes on at most CARRIED + 2 units, so levels shrink while ``block`` is larger.
+    """
     blocks = units.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     most = blocks.agg(F.max("blocks")).first()[0] or 1
     last = most <= 1
@@ -112,20 +129,22 @@ def _fly(units: DataFrame, seed: int, level: int, block: int) -> DataFrame:
         pdf = pdf.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)  # a repeated task draws the same
         name = f"{seed}/{level}/{pdf.source[0]}/{pdf.block[0]}"
         size = pdf.n_tokens.to_numpy()
-        p = flight(size, pdf.p.to_numpy(), np.random.default_rng(zlib.crc32(name.encode())))
+        start = pdf.p.to_numpy()
+        p = flight(size, start, np.random.default_rng(zlib.crc32(name.encode())))
         if last:
-            p = landing(size, p)
-        return pdf.assign(p=p)[["doc_id", "source", "n_tokens", "base", "p"]]
+            p = landing(size, p, float((size * start).sum()))
+        up = (p > _EPS) & (p < 1 - _EPS)
+        up[np.argsort(size, kind="stable")[np.linspace(0, len(p) - 1, min(CARRIED, len(p))).astype(int)]] = True
+        return pdf.assign(p=p, up=up)[["doc_id", "source", "n_tokens", "base", "p", "up"]]
 
-    schema = "doc_id bigint, source string, n_tokens bigint, base int, p double"
+    schema = "doc_id bigint, source string, n_tokens bigint, base int, p double, up boolean"
     # blocks by a hash of the document, so a source with most documents is many groups
     placed = units.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens"), "blocks"))
     flown = placed.groupBy("source", "block").applyInPandas(work, schema)
     if last:
-        return flown
+        return flown.drop("up")
     flown = materialise(flown, "flight")
-    left = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
-    return flown.where(~left).unionByName(_fly(flown.where(left), seed, level + 1, block))
+    return flown.where("NOT up").drop("up").unionByName(_fly(flown.where("up").drop("up"), seed, level + 1, block))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -134,11 +153,13 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     A source that should appear r times its size uses each document floor(r) times and,
     with probability r - floor(r), once more. Which ones, the cube method decides: it
     keeps number and token total of each source while probabilities move to 0 or 1,
-    block by block; what the blocks leave open (two units each) is flown again, until one
-    block per source lands it. No document is used more than ``max_repeats`` times.
+    block by block; what the blocks leave open (two units each, and a few settled ones as
+    counterweights) goes to the next level, until one block per source lands it. No document is used more than ``max_repeats`` times.
     ``sizes`` as from :func:`~strandlog.llm.tokens.token_sizes`; rows are documents, also
     repeated ones; null and unlisted sources are not part of the mix.
     """
+    if block < 4 * CARRIED:
+        raise ValueError(f"a block takes at least {4 * CARRIED} documents")
     plan = plan_mix(sizes, targets, total)
     spark = sizes.sparkSession
     table = spark.createDataFrame([(p["source"], p["base"], p["p"]) for p in plan], "source string, base int, p double")

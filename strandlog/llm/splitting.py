@@ -144,9 +144,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
     budget = limit - 1 - overlap
     while True:
         starts, sizes, strengths, edges = _atoms(text, budget, t)
-        first, lead = 1, sizes[0]
-        while lead < overlap and first < len(sizes):  # the second piece needs a whole overlap before it
-            lead += sizes[first]
+        first = 1
+        while first < len(sizes) and t.count(text[: starts[first]]) < overlap:  # the second piece needs a whole overlap before it
             first += 1
         heads = _merge(sizes, strengths, first, budget, overlap)
         chars = [c for c, _ in edges]
@@ -158,8 +157,16 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
             b = starts[heads[k + 1]] if k + 1 < len(heads) else len(text)
             carried = a
             if k:
-                own = before[np.searchsorted(at, a, side="right") - 1]
-                carried = chars[int(np.searchsorted(before, own - overlap, side="right")) - 1]
+                own = int(before[np.searchsorted(at, a, side="right") - 1])
+                back = short = overlap
+                while short > 0:  # until the shared text has that many tokens by itself
+                    place = int(np.searchsorted(before, own - back, side="right")) - 1
+                    carried = chars[max(place, 0)]
+                    if place <= 0 or carried <= pieces[-1]["start_char"]:
+                        carried = max(carried, pieces[-1]["start_char"])
+                        break
+                    short = overlap - t.count(text[carried:a])
+                    back += max(short, 1)
             n = t.count(text[carried:b])
             excess = max(excess, n - (limit - 1))
             pieces.append({"piece_no": k, "cut_kind": KINDS[strengths[h]] if k else "start", "start_char": carried, "body_char": a, "end_char": b, "n_tokens": n, "text": text[carried:b]})

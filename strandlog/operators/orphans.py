@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..identity import Namespaces
+from ..model import ref_pairs
 from ..session import materialise
 
 #: An id with more events (versions plus references) than this, or than a ten-thousandth of all events, is cut into time slices.
@@ -15,28 +16,6 @@ _SHARE = 10_000
 PARENT, REFERENCE = 0, 1
 
 
-def ref_pairs(refs: Column) -> Column:
-    """Array of (predicate, target) of a refs JSON text; a target is a string, alone or in a list.
-
-    Null, broken or non-object texts, nulls, empty lists and values that are no strings hold nothing.
-    """
-    by_name = F.from_json(refs, "map<string,variant>")
-    text = lambda v: F.try_variant_get(v, "$", "string")
-    is_text = lambda v: F.schema_of_variant(v) == "STRING"
-    single = lambda k, v: F.array(F.struct(k.alias("predicate"), text(v).alias("target")))
-    many = lambda k, v: F.transform(
-        F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: e.isNotNull() & is_text(e)),
-        lambda e: F.struct(k.alias("predicate"), text(e).alias("target")),
-    )
-    pairs = F.transform(
-        F.map_entries(by_name),
-        lambda e: F.when(e["value"].isNull(), F.lit(None))
-        .when(is_text(e["value"]), single(e["key"], e["value"]))
-        .when(F.schema_of_variant(e["value"]).startswith("ARRAY"), many(e["key"], e["value"])),
-    )
-    return F.flatten(F.filter(pairs, lambda p: p.isNotNull()))
-
-
 def events_of(log: DataFrame, namespaces: Namespaces) -> DataFrame:
     """Versions (parents) and references of a change log in one stream of id events.
 

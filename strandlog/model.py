@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .identity import Namespaces
 from .jsoncanon import canonical_content
@@ -67,7 +68,7 @@ def prop_texts(props: Column) -> Column:
     return F.transform_values(kept, lambda k, v: F.to_json(v))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _mark(deleted: pd.Series, props: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series([hashlib.blake2b((b"-" if d else b"+") + canonical_content(p, r), digest_size=16).digest() for d, p, r in zip(deleted, props, refs)])
 

@@ -178,13 +178,19 @@ def lookup(changes: DataFrame, catalog: DataFrame, ids: list[str], datasets: lis
 
 
 def entity_details(changes: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """``(entity_id, dataset, latest_seq, latest_recorded, n_changes, change_seqs)`` per dataset of an entity."""
+    """``(entity_id, dataset, latest_seq, latest_recorded, n_changes)``: an entity's state and history per dataset.
+
+    The changes themselves are the rows of :func:`entity_history`, not a list in one row,
+    because an entity may have any number of them.
+    """
     rows = changes if ids is None else changes.where(F.col("entity_id").isin(ids))
-    return rows.groupBy("entity_id", "dataset").agg(
-        F.max(F.struct("recorded", "batch_seq", "seq")).alias("top"),
-        F.count(F.lit(1)).alias("n_changes"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("recorded", "batch_seq", "seq"))), lambda x: x["seq"].cast("string")), ",").alias("change_seqs"),
-    ).select("entity_id", "dataset", F.col("top.seq").alias("latest_seq"), F.col("top.recorded").alias("latest_recorded"), "n_changes", "change_seqs")
+    details = rows.groupBy("entity_id", "dataset").agg(F.max(F.struct("recorded", "batch_seq", "seq")).alias("top"), F.count(F.lit(1)).alias("n_changes"))
+    return details.select("entity_id", "dataset", F.col("top.seq").alias("latest_seq"), F.col("top.recorded").alias("latest_recorded"), "n_changes")
+
+
+def entity_history(changes: DataFrame, ids: list[str]) -> DataFrame:
+    """All versions of the given entities in order, per dataset."""
+    return changes.where(F.col("entity_id").isin(ids)).orderBy("entity_id", "dataset", "recorded", "batch_seq", "seq")
 
 
 def changed_main(changed_ids: DataFrame, steps: list[tuple[DataFrame, str, bool]]) -> DataFrame:

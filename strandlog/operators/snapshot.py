@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import newest
@@ -97,8 +97,11 @@ def decode_token(token: str | None) -> str:
 
 
 def version_flags(changes: DataFrame) -> DataFrame:
-    """Every version with its number, and whether it is its entity's first or last one."""
-    w = Window.partitionBy("dataset", "entity_id")
-    asc = w.orderBy("recorded", "batch_seq", "seq")
-    n = F.row_number().over(asc)
-    return changes.select("dataset", "entity_id", "seq", n.alias("version_no"), (n == 1).alias("is_first"), F.lead("seq").over(asc).isNull().alias("is_last"))
+    """``(dataset, entity_id, seq, is_first, is_last)``: whether a version is its entity's first or last in the dataset.
+
+    First and last are reduced per entity and joined, so no entity's history is one task.
+    """
+    order = F.struct("recorded", "batch_seq", "seq")
+    ends = changes.groupBy("dataset", "entity_id").agg(F.min(order).alias("a"), F.max(order).alias("z"))
+    both = changes.select("dataset", "entity_id", "seq").join(ends, ["dataset", "entity_id"])
+    return both.select("dataset", "entity_id", "seq", (F.col("seq") == F.col("a.seq")).alias("is_first"), (F.col("seq") == F.col("z.seq")).alias("is_last"))

@@ -161,9 +161,10 @@ def _side(text: str | None, drop_nulls: bool) -> str:
     return canonical(value)
 
 
-def canonical_content(props: str | None, refs: str | None) -> bytes:
+def canonical_content(props: str | None, refs: str | None, null_refs: bool = True) -> bytes:
     """Props and refs as one canonical text: equal if and only if the contents are equal.
 
-    Null means ``{}``; top-level properties with null do not count.
+    Null means ``{}``; top-level properties with null do not count, nor, without
+    ``null_refs``, references with null.
     """
-    return (_side(props, True) + "\n" + _side(refs, False)).encode("utf-8", "surrogatepass")
+    return (_side(props, True) + "\n" + _side(refs, not null_refs)).encode("utf-8", "surrogatepass")

@@ -70,14 +70,14 @@ def prop_texts(props: Column) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def _mark(deleted: pd.Series, props: pd.Series, refs: pd.Series) -> pd.Series:
-    return pd.Series([hashlib.blake2b((b"-" if d else b"+") + canonical_content(p, r), digest_size=16).digest() for d, p, r in zip(deleted, props, refs)])
+    return pd.Series([hashlib.blake2b((b"-" if d else b"+") + canonical_content(p, r, null_refs=False), digest_size=16).digest() for d, p, r in zip(deleted, props, refs)])
 
 
 def content_key(changes: DataFrame) -> DataFrame:
     """``changes`` with a ``content_key`` that is equal exactly for equal deletion state, refs and props.
 
     Numbers compare by value, key order and spelling do not matter, a string differs from a
-    one-element list. Two versions with equal keys are the same content written twice.
+    one-element list, null properties and references count as absent. Two versions with equal keys are the same content written twice.
     """
     return changes.withColumn("content_key", _mark("deleted", "props", "refs"))
 

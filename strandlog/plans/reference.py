@@ -93,8 +93,8 @@ _LINKS = f"{_LATEST}, {_rels('rels', 'latest')}"
 _OLD = f"old AS (SELECT * FROM vers WHERE recorded <= {AT}), {_newest('latest_at', 'old')}"
 _SITE = "(SELECT regexp_replace(min(dataset), '\\.[^.]*$', '') FROM change_log WHERE dataset LIKE '%.person')"
 # JSON values as text with numbers in their shortest form, names sorted
-_PROPS = r"""CASE WHEN json_keys({c}) = [] THEN '{{}}' ELSE (SELECT string_agg(q.k || '=' || regexp_replace(regexp_replace(CAST(json_extract({c}, '$."' || q.k || '"') AS VARCHAR), '(\.[0-9]*[1-9])0+([,}}\]]|$)', '\1\2', 'g'), '\.0+([,}}\]]|$)', '\1', 'g'), ';' ORDER BY q.k)
-  FROM (SELECT unnest(json_keys({c})) AS k) q WHERE json_type({c}, '$."' || q.k || '"') <> 'NULL') END"""
+_PROPS = r"""coalesce((SELECT string_agg(q.k || '=' || regexp_replace(regexp_replace(CAST(json_extract({c}, '$."' || q.k || '"') AS VARCHAR), '(\.[0-9]*[1-9])0+([,}}\]]|$)', '\1\2', 'g'), '\.0+([,}}\]]|$)', '\1', 'g'), ';' ORDER BY q.k)
+  FROM (SELECT unnest(json_keys({c})) AS k) q WHERE json_type({c}, '$."' || q.k || '"') <> 'NULL'), '')"""
 _KEY = "concat_ws('|', deleted, " + _PROPS.format(c="props") + ", " + _PROPS.format(c="refs") + ")"
 
 

@@ -19,7 +19,7 @@ WINDOW = 12
 SHINGLE = 5
 
 #: Characters of item text that one pass over the documents looks for.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def words_of(text: str) -> list[str]:

@@ -13,14 +13,14 @@ from ..jsoncanon import canonical, parse
 from ..session import materialise
 
 #: Up to this many element names the decision on each is sent to the tasks; more are joined.
-MAX_SENT_ELEMENTS = 20_000
+MAX_SENT_ELEMENTS = 1_000
 
 _KEY = "record_id"
 RECORD = ""  # the element name of the body itself
 
 _NODES = (
     "record_id bigint, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
-    "ancestors array<struct<element:string,path:string>>, entity_id string, scalars map<string,string>, refs array<struct<owner:string,predicate:string,path:string,target:string>>"
+    "ancestors array<struct<element:string,length:int>>, entity_id string, scalars map<string,string>, refs array<struct<owner:string,predicate:string,path:string,target:string>>"
 )
 _NODES_ARROW = pa.schema(
     [
@@ -30,7 +30,7 @@ _NODES_ARROW = pa.schema(
         ("repeated", pa.bool_()),
         ("node_path", pa.string()),
         ("parent_path", pa.string()),
-        ("ancestors", pa.list_(pa.struct([("element", pa.string()), ("path", pa.string())]))),
+        ("ancestors", pa.list_(pa.struct([("element", pa.string()), ("length", pa.int32())]))),
         ("entity_id", pa.string()),
         ("scalars", pa.map_(pa.string(), pa.string())),
         ("refs", pa.list_(pa.struct([("owner", pa.string()), ("predicate", pa.string()), ("path", pa.string()), ("target", pa.string())]))),
@@ -67,6 +67,7 @@ def walk(body: Any) -> Iterator[tuple]:
 
     Gives (element, parent element, repeated, path, parent path, ancestors, id, scalars, refs);
     the element is the property that holds the object, ``repeated`` tells whether a list does.
+    An ancestor is given by the length of its path, which begins the path of the object.
     Lists of plain values stay values of the object, as JSON text.
     """
     if not isinstance(body, dict):
@@ -78,7 +79,7 @@ def walk(body: Any) -> Iterator[tuple]:
         props = obj.get("props") if entity else obj
         refs = obj.get("refs") if entity else None
         scalars: list[tuple[str, str | None]] = []
-        line = [*ancestors, (element, path)]
+        line = [*ancestors, (element, len(path))]
         children: list[tuple] = []
         for name, value in props.items() if isinstance(props, dict) else ():
             inner = [(f"{path}/{name}", value, False)]
@@ -119,7 +120,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
     pack = lambda names, items: [None if i is None else [dict(zip(names, x)) for x in i] for i in items]
-    cols[6] = pack(("element", "path"), cols[6])
+    cols[6] = pack(("element", "length"), cols[6])
     cols[9] = pack(("owner", "predicate", "path", "target"), cols[9])
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES_ARROW)], schema=_NODES_ARROW)
 
@@ -167,7 +168,7 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
     they are joined to the ancestors of each object.
     """
     few = decisions.where("own_table").select("element").limit(max_sent + 1).collect()
-    line = F.concat(F.col("ancestors"), F.array(F.struct(F.col("element").alias("element"), F.col("node_path").alias("path"))))
+    line = F.concat(F.col("ancestors"), F.array(F.struct(F.col("element").alias("element"), F.length("node_path").alias("length"))))
     if len(few) <= max_sent:
         own = F.array(*[F.lit(e) for e in [RECORD, *sorted(r.element for r in few)]])
         owners = F.filter(line, lambda a: F.array_contains(own, a["element"]))
@@ -178,8 +179,9 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
         lists = kept.groupBy("record_id", "node_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("owners"))
         nodes = nodes.join(lists, ["record_id", "node_path"])
         owners = F.col("owners")
-    placed = nodes.withColumn("owners", owners).withColumn("home", F.element_at("owners", -1)).withColumn("up", F.try_element_at("owners", F.lit(-2)))
-    here = F.col("node_path") == F.col("home.path")
+    table = lambda a: F.struct(a["element"].alias("element"), F.left(F.col("node_path"), a["length"]).alias("path"))
+    placed = nodes.withColumn("owners", owners).withColumn("home", table(F.element_at("owners", -1))).withColumn("up", table(F.try_element_at("owners", F.lit(-2))))
+    here = F.element_at("owners", -1)["length"] == F.length("node_path")
     prefix = F.when(here, F.lit("")).otherwise(F.concat(F.expr("substring(node_path, length(home.path) + 2)"), F.lit("/")))
     cells = F.transform(F.map_entries("scalars"), lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")))
     placed = placed.select(

@@ -172,13 +172,13 @@ def property_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_LATEST} SELECT json_extract_string(props, '$."ns5:state"') AS state, count(*) AS n, count(DISTINCT dataset) AS n_datasets,
-CAST(round(sum(CAST(json_extract(props, '$."ns5:reading"') AS DOUBLE)) * 10) AS BIGINT) AS sum_tenths FROM latest WHERE NOT deleted AND dataset LIKE '%.device' GROUP BY 1"""
+CAST(sum(CAST(CAST(json_extract(props, '$."ns5:reading"') AS DOUBLE) AS DECIMAL(18, 3))) * 1000 AS BIGINT) AS sum_thousandths FROM latest WHERE NOT deleted AND dataset LIKE '%.device' GROUP BY 1"""
 )
 def property_group(spark: SparkSession, d: str) -> DataFrame:
     v = F.try_parse_json("props")
     rows = snapshot.latest(_log(spark, d).where(F.col("dataset").endswith(".device")), include_deleted=False)
     rows = rows.select("dataset", F.try_variant_get(v, '$["ns5:state"]', "string").alias("state"), F.try_variant_get(v, '$["ns5:reading"]', "double").alias("reading"))
-    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dataset").alias("n_datasets"), F.round(F.sum("reading") * 10).cast("bigint").alias("sum_tenths"))
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dataset").alias("n_datasets"), (F.sum(F.col("reading").cast("decimal(18,3)")) * 1000).cast("bigint").alias("sum_thousandths"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -1,0 +1,88 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandlog.operators.hierarchy import descendants, hierarchy, parent_links
+
+from .conftest import rows_of, set_of
+
+SCHEMA = "node string, parent string"
+
+
+def solve(up: dict[str, str]) -> set[tuple]:
+    out = set()
+    for x in up:
+        trail, at = [], x
+        while at in up and at not in trail:
+            trail.append(at)
+            at = up[at]
+        out.add((x, min(trail[trail.index(at) :]), -1) if at in trail else (x, at, len(trail)))
+    return out
+
+
+def forest(seed: int, n: int) -> dict[str, str]:
+    rng = random.Random(seed)
+    up = {}
+    for i in range(1, n):
+        kind = rng.random()
+        if kind < 0.4:
+            up[f"n{i:04}"] = f"n{i - 1:04}"  # long chains
+        elif kind < 0.7:
+            up[f"n{i:04}"] = f"n{rng.randrange(i):04}"
+        elif kind < 0.75:
+            up[f"n{i:04}"] = f"n{rng.randrange(n):04}"  # may close a loop
+    return up
+
+
+@pytest.mark.parametrize(("seed", "n", "capacity"), [(1, 300, 10), (2, 300, 40), (3, 60, 1000), (4, 500, 25)])
+def test_random_forests_with_loops(spark, seed, n, capacity):
+    up = forest(seed, n)
+    links = spark.createDataFrame(list(up.items()), SCHEMA)
+    found = hierarchy(links, with_path=True, capacity=capacity, fragment=capacity * 2)
+    assert set_of(found.drop("path")) == solve(up)
+    below = set()
+    for r in found.collect():
+        if r.node_depth < 0:
+            assert r.path is None
+            continue
+        assert len(r.path) == r.node_depth + 1 and r.path[0] == r.root_name and r.path[-1] == r.node_name
+        assert all(up[b] == a for a, b in zip(r.path, r.path[1:]))
+        below |= {(a, r.node_name, r.node_depth - i) for i, a in enumerate(r.path[:-1])}
+    assert set_of(descendants(found)) == below
+
+
+def test_long_chain_and_wide_star(spark):
+    chain = [(f"c{i:05}", f"c{i - 1:05}") for i in range(1, 1500)]
+    star = [(f"s{i:05}", "hub") for i in range(3000)] + [("hub", "top")]
+    found = {r.node_name: r for r in hierarchy(spark.createDataFrame(chain + star, SCHEMA), capacity=100, fragment=400).collect()}
+    assert len(found) == len(chain) + len(star)
+    assert (found["c01499"].root_name, found["c01499"].node_depth) == ("c00000", 1499)
+    assert all((found[f"s{i:05}"].root_name, found[f"s{i:05}"].node_depth) == ("top", 2) for i in range(3000))
+
+
+def test_loops_of_all_sizes(spark):
+    up = {"self": "self", "under": "self", "a": "b", "b": "a", "deep2": "deep1", "deep1": "a"}
+    up |= {f"r{i:03}": f"r{(i + 1) % 200:03}" for i in range(200)}
+    links = spark.createDataFrame(list(up.items()), SCHEMA)
+    assert set_of(hierarchy(links, capacity=5, fragment=20)) == solve(up)
+
+
+def test_odd_rows(spark):
+    long = "x" * 100_000
+    data = [(None, "a"), ("b", None), (None, None), ("b", "a"), ("b", "a"), ("c", "b"), ("c", "a2"), ("", "b"), (long, "c"), ("ü", "é")]
+    links = spark.createDataFrame(data, SCHEMA).withColumns({"dist": F.lit("x"), "exit": F.lit(1), "path": F.lit(2.0), "low": F.lit(None).cast("int")})
+    # of two parents the smallest counts: c goes to a2
+    assert set_of(hierarchy(links)) == {("b", "a", 1), ("c", "a2", 1), ("", "a", 2), (long, "a2", 2), ("ü", "é", 1)}
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert rows_of(hierarchy(empty)) == []
+    assert rows_of(descendants(hierarchy(empty, with_path=True))) == []
+
+
+def test_parent_links_takes_two_types(spark):
+    rows = [("a", "b", "copy"), ("a", "c", "transform"), ("a", "d", "copy-hop"), ("a", "e", None)]
+    df = spark.createDataFrame(rows, "from_name string, to_name string, rel_type string")
+    assert set_of(parent_links(df)) == {("b", "a"), ("c", "a")}

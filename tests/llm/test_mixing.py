@@ -1,0 +1,95 @@
+from itertools import product
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandlog.llm.mixing import flight, landing, mix, mix_documents, plan_mix, shares
+from strandlog.llm.tokens import tokenizer
+from tests.conftest import rows_of
+
+SIZES, TARGETS = "doc_id bigint, source string, n_tokens bigint", "source string, weight double, max_repeats int"
+
+
+def sizes_of(spark, seed=0, n=6000):
+    rng = np.random.default_rng(seed)
+    rows = [(i, str(rng.choice(["big", "mid", "small"], p=[0.8, 0.17, 0.03])), int(rng.lognormal(5, 1.2))) for i in range(n)]
+    return spark.createDataFrame(rows, SIZES)
+
+
+TARGET_ROWS = [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.15, 3), ("absent", 0.05, 4)]
+
+
+def test_flight_keeps_totals_and_settles():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 1000, 5000)
+    p = rng.random(5000)
+    out = flight(sizes, p, rng)
+    assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
+    assert abs(out.sum() - p.sum()) < 1e-6 and abs((out * sizes).sum() - (p * sizes).sum()) < 1e-3
+
+
+def test_flight_is_fair():
+    p, sizes = np.array([0.2, 0.5, 0.7, 0.4, 0.9, 0.3]), np.array([5, 1, 7, 3, 2, 9])
+    mean = np.mean([flight(sizes, p, np.random.default_rng(s)) for s in range(4000)], axis=0)
+    assert np.abs(mean - p).max() < 0.04
+
+
+def test_landing_comes_near():
+    sizes = np.array([1000, 900, 50, 40, 30, 20, 10, 1])
+    out = landing(sizes, np.array([0.4, 0.4, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0]), 821.0)
+    best = min(abs(sum(s for s, x in zip(sizes, c) if x) - 821) for c in product((0, 1), repeat=8))
+    assert set(out) <= {0.0, 1.0} and abs((out * sizes).sum() - 821) == best
+
+
+@pytest.mark.parametrize("block", [20_000, 500])
+def test_shares_are_met(spark, block):
+    sizes, targets = sizes_of(spark), spark.createDataFrame(TARGET_ROWS, TARGETS)
+    mixed = mix(sizes, targets, block=block).persist()
+    got = {r.source: r for r in shares(mixed, targets).collect()}
+    for source, weight, repeats in TARGET_ROWS[:3]:
+        assert abs(got[source].actual_share - weight / 0.95) < (0.002 if block > 1000 else 0.02)
+        assert got[source].most_uses <= repeats
+    assert got["absent"].actual_share == 0 and got["absent"].docs == 0
+    # a document of a source is used floor(r) or floor(r) + 1 times
+    for r in mixed.groupBy("source").agg(F.min("uses").alias("a"), F.max("uses").alias("z")).collect():
+        assert r.z - r.a <= 1
+    assert mixed.select("doc_id").distinct().count() == mixed.count()
+
+
+def test_same_seed_same_mix(spark):
+    sizes, targets = sizes_of(spark), spark.createDataFrame(TARGET_ROWS, TARGETS)
+    a, b, c = (set(rows_of(mix(df, targets, seed=s, block=500))) for df, s in ((sizes, 1), (sizes.repartition(7), 1), (sizes, 2)))
+    assert a == b != c
+
+
+def test_plan_is_the_largest_within_repeats(spark):
+    sizes = spark.createDataFrame([(1, "a", 100), (2, "b", 10)], SIZES)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], TARGETS)
+    plan = {p["source"]: p["base"] + p["p"] for p in plan_mix(sizes, targets)}
+    assert plan == {"a": pytest.approx(0.3), "b": 3.0}
+    over = {p["source"]: p["base"] + p["p"] for p in plan_mix(sizes, targets, total=1000)}
+    assert over == {"a": 1.0, "b": 3.0}
+
+
+def test_odd_rows(spark):
+    docs = [(None, "a", "one two"), (None, "a", "three four"), (1, None, "x"), (2, "a", None), (3, "a", ""), (4, "b", "y " * 100_000), (5, "zzz", "w"), (6, "b", "q"), (6, "b", "q")]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumns({"p": F.lit(1), "base": F.lit("x"), "block": F.lit(2), "uses": F.lit(3), "up": F.lit(4)})
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, None), (None, 0.3, 1), ("c", None, 1), ("d", 0.0, 1)], TARGETS)
+    mixed = rows_of(mix_documents(df, targets))
+    assert {r[1] for r in mixed} <= {"a", "b"} and all(1 <= r[3] <= (2 if r[1] == "a" else 1) for r in mixed)
+    assert sum(r[0] is None for r in mixed) == 2  # documents without an id are documents
+
+
+def test_empty_tables(spark):
+    targets, none = spark.createDataFrame(TARGET_ROWS, TARGETS), spark.createDataFrame([], TARGETS)
+    empty = spark.createDataFrame([], SIZES)
+    assert rows_of(mix(empty, targets)) == rows_of(mix(sizes_of(spark, n=50), none)) == rows_of(mix(empty, none)) == []
+    assert {r.actual_share for r in shares(mix(empty, targets), targets).collect()} == {0.0}
+
+
+def test_tokens_never_exceed_bytes():
+    t = tokenizer()
+    for text in ("", "plain words", "日本語🙂", "\x00\x01", "a" * 1000, "  \n\n\t x"):
+        assert t.count(text) <= len(text.encode())
+        assert int(t.token_bytes[t.encode(text)].sum()) == len(text.encode()) if text else True

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..sources.readers import MultiSource, Source
+from ..sources.readers import DatasetSource, MultiSource, Source, UnionDatasetSource
 from ..sources.sinks import HttpDatasetSink, Sink
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -145,15 +145,19 @@ class Pipeline:
     def run_full(self) -> int:
         """Reads everything, writes it as a full sync and then stores the token.
 
-        A remote sink gets no token from a plain source, because the remote may have lost
-        the sync.
+        A local sink gets every change of plain dataset sources, so its history follows
+        theirs; a remote sink, sources of newest versions only and multi sources give
+        entities. A remote sink gets no token from a plain source, because the remote may
+        have lost the sync.
         """
         self.state.update(self.job, token="")
-        rows, following = self.source.read_all()
+        remote = isinstance(self.sink, HttpDatasetSink)
+        newest = isinstance(self.source, MultiSource) or getattr(self.source, "latest_only", False)
+        history = isinstance(self.source, (DatasetSource, UnionDatasetSource)) and not remote and not newest
+        rows, following = self.source.read("") if history else self.source.read_all()
         n = rows.count()
         self._write(rows, whole=True)
-        keeps = not isinstance(self.sink, HttpDatasetSink) or isinstance(self.source, MultiSource) or getattr(self.source, "latest_only", False)
-        if keeps:
+        if not remote or newest:
             self.state.update(self.job, token=following)
         return n
 

@@ -1,0 +1,185 @@
+import json
+
+import pytest
+
+from strandlog.model import SCHEMA
+from strandlog.operators.incremental import Dependency, Join, Tracker, dependencies_from_config, multi_source, next_tokens, touched_by
+from strandlog.sources.readers import DatasetSource, MultiSource, RequeueSource, SampleSource, UnionDatasetSource, VirtualSource, make_source
+
+from .conftest import rows_of
+
+
+class Log:
+    def __init__(self, spark):
+        self.spark, self.rows, self.seq = spark, [], {}
+
+    def put(self, dataset, name, refs=None, deleted=False):
+        seq = self.seq[dataset] = self.seq.get(dataset, -1) + 1
+        self.rows.append((dataset, seq, name, len(self.rows) + 1, 0, deleted, "{}", json.dumps(refs or {})))
+        return self
+
+    def frame(self):
+        return self.spark.createDataFrame(self.rows, SCHEMA)
+
+    def tokens(self):
+        return {d: n + 1 for d, n in self.seq.items()}
+
+
+@pytest.fixture
+def log(spark):
+    held = Log(spark)
+    for person, street in (("Bob", "Street1"), ("Alice", "Street2")):
+        held.put("people", person).put("address", street).put("employment", f"{person}-job", {"who": person, "where": f"{person}-co"})
+        held.put("people", person, {"lives": street})
+    return held
+
+
+ADDRESS = Dependency("address", (Join("people", "lives", inverse=True),))
+EMPLOYMENT = Dependency("employment", (Join("people", "who"),))
+
+
+def touched(log, dependency, tokens, **options):
+    return sorted(r.entity_id for r in touched_by(log.frame(), None, "people", dependency, tokens[dependency.dataset], **options).collect())
+
+
+def test_nothing_changed(log):
+    assert touched(log, ADDRESS, log.tokens()) == []
+
+
+def test_changed_dependency(log):
+    tokens = log.tokens()
+    log.put("address", "Street1")
+    assert touched(log, ADDRESS, tokens) == ["Bob"]
+
+
+def test_removed_link_still_touches(log):
+    tokens = log.tokens()
+    log.put("employment", "Bob-job", {"where": "Bob-co"})
+    assert touched(log, EMPLOYMENT, tokens) == ["Bob"]
+    log.put("employment", "Bob-job", {"who": "Alice"})
+    assert touched(log, EMPLOYMENT, tokens) == ["Alice", "Bob"]
+
+
+def test_deleted_dependency_still_touches(log):
+    tokens = log.tokens()
+    log.put("employment", "Alice-job", {"who": "Alice"}, deleted=True)
+    assert touched(log, EMPLOYMENT, tokens) == ["Alice"]
+
+
+def test_two_joins(log):
+    log.put("income", "range", {"of": "Bob-job"})
+    tokens = log.tokens()
+    log.put("income", "range", {"of": "Bob-job"})
+    chain = Dependency("income", (Join("employment", "of"), Join("people", "who")))
+    assert touched(log, chain, tokens) == ["Bob"]
+    log.put("income", "range", {"of": "Alice-job"})
+    assert touched(log, chain, tokens) == ["Alice", "Bob"]
+
+
+def test_targets_outside_the_main_dataset_do_not_count(log):
+    tokens = log.tokens()
+    log.put("employment", "x", {"who": "Street1"}).put("employment", "y", {"who": "nobody"})
+    assert touched(log, EMPLOYMENT, tokens) == []
+
+
+def test_all_dependencies_against_the_same_tokens(log):
+    tokens = log.tokens()
+    log.put("employment", "Bob-job", {}).put("people", "Alice")
+    both = [EMPLOYMENT, Dependency("employment", (Join("people", "who"),)), ADDRESS]
+    got = {(r.entity_id, r.seq) for r in multi_source(log.frame(), None, "people", both, tokens).collect()}
+    assert got == {("Alice", 4), ("Bob", 1)}
+
+
+def test_self_references_end(spark):
+    log = Log(spark)
+    for i in range(20):
+        log.put("people", f"p{i}", {"knows": [f"p{(i + 1) % 20}"]})
+    d = Dependency("people", (Join("people", "knows"),))
+    assert len(touched(log, d, {"people": 0})) == 20
+    assert touched(log, d, {"people": 19}) == ["p0"]
+
+
+def test_tracked_queries_become_dependencies():
+    start = Tracker("people")
+    start.hop("employment", "who").ihop("company", "owner")
+    start.hop("employment", "who")
+    start.ihop("address", "lives")
+    assert start.dependencies() == [
+        Dependency("employment", (Join("people", "who", True),)),
+        Dependency("company", (Join("employment", "owner", False), Join("people", "who", True))),
+        Dependency("address", (Join("people", "lives", False),)),
+    ]
+    with pytest.raises(ValueError, match="proxy"):
+        Tracker("people", frozenset({"remote"})).hop("remote", "x")
+
+
+def test_configured_dependencies():
+    config = [{"dataset": "company", "joins": [{"dataset": "employment", "predicate": "owner", "inverse": False}, {"dataset": "people", "predicate": "who", "inverse": True}]}, {"dataset": "employment", "joins": [{"dataset": "people", "predicate": "who", "inverse": True}]}]
+    start = Tracker("people")
+    start.hop("employment", "who").ihop("company", "owner")
+    assert set(dependencies_from_config(config, "people")) == set(start.dependencies())
+    with pytest.raises(ValueError, match="main"):
+        dependencies_from_config([{"dataset": "a", "joins": [{"dataset": "b", "predicate": "p"}]}], "people")
+    with pytest.raises(ValueError, match="proxy"):
+        dependencies_from_config(config, "people", frozenset({"employment"}))
+
+
+def test_dataset_source(log):
+    s = DatasetSource(log.frame, "people")
+    rows, token = s.read("", 3)
+    assert ([r.seq for r in rows.collect()], token) == ([0, 1, 2], "3")
+    rows, token = s.read(token)
+    assert ([r.seq for r in rows.collect()], token) == ([3], "4")
+    assert s.read(token)[1] == "4"
+    rows, token = s.read_all()
+    assert (sorted(r.seq for r in rows.collect()), token) == ([1, 3], "4")
+    latest = DatasetSource(log.frame, "people", latest_only=True)
+    assert [r.seq for r in latest.read("")[0].collect()] == [1, 3]
+
+
+def test_union_source(log):
+    s = UnionDatasetSource(log.frame, ["people", "address"])
+    rows, token = s.read("")
+    assert rows.count() == 6 and json.loads(token) == {"Tokens": [{"Token": "4"}, {"Token": "2"}], "DatasetNames": ["people", "address"]}
+    log.put("address", "Street9")
+    rows, token = s.read(token)
+    assert [r.entity_id for r in rows.collect()] == ["Street9"]
+    assert s.read_all()[0].count() == 5
+    for names in (["address", "people"], ["people"], ["people", "address", "x"]):
+        with pytest.raises(ValueError, match="changed"):
+            UnionDatasetSource(log.frame, names).read(token)
+
+
+def test_multi_source_tokens(log):
+    s = MultiSource(log.frame, "people", [ADDRESS, EMPLOYMENT])
+    rows, token = s.read("")  # no token: everything
+    assert rows.count() == 2 and json.loads(token) == {"MainToken": "4", "DependencyTokens": {"address": {"Token": "2"}, "employment": {"Token": "2"}}}
+    assert s.read(token)[0].count() == 0
+    log.put("address", "Street2").put("address", "Street3")
+    rows, token = s.read(token)
+    assert [r.entity_id for r in rows.collect()] == ["Alice"] and s.read(token)[0].count() == 0
+
+
+def test_other_sources(spark, log):
+    assert [r.entity_id for r in SampleSource(spark, 5).read("2", 2)[0].collect()] == ["e-2", "e-3"] and SampleSource(spark, 5).read("5")[0].count() == 0
+    virtual = VirtualSource(lambda params, since, limit: (spark.range(params["n"]).selectExpr("cast(id as string) entity_id"), "end"), {"n": 3})
+    assert virtual.read_all()[0].count() == 3 and virtual.read("")[1] == "end"
+    again = RequeueSource(lambda: log.frame().where("seq = 0 AND dataset = 'people'"), DatasetSource(log.frame, "people"))
+    assert sorted(r.seq for r in again.read("3")[0].collect()) == [0, 3]
+
+
+def test_source_factory(spark, log):
+    make = lambda **c: make_source(c, spark, log.frame, registry={"v": lambda p, s, n: (spark.range(1), "")})
+    assert isinstance(make(Type="DatasetSource", Name="people"), DatasetSource) and make(Type="DatasetSource", Name="people", LatestOnly=True).latest_only
+    assert make(Type="UnionDatasetSource", DatasetSources=[{"Name": "a"}, {"Name": "b"}]).names == ["a", "b"]
+    assert make(Type="MultiSource", Name="people", Dependencies=[{"dataset": "address", "joins": [{"dataset": "people", "predicate": "lives", "inverse": True}]}]).dependencies == [ADDRESS]
+    assert make(Type="SampleSource", NumberOfEntities=3).read_all()[0].count() == 3 and make(Type="SlowSource", BatchSize=2, Sleep=0).read_all()[0].count() == 2
+    assert make(Type="VirtualSource", Name="v").read_all()[0].count() == 1 and make(Type="HttpDatasetSource", Url="http://x.invalid").url == "http://x.invalid"
+    for bad in ({"Type": "Other"}, {}):
+        with pytest.raises(ValueError, match="unknown"):
+            make(**bad)
+
+
+def test_tokens_of_unknown_datasets(log):
+    assert next_tokens(log.frame(), ["people", "none"]) == {"people": 4, "none": 0}
+    assert rows_of(multi_source(log.frame(), None, "none", [], {})) == []

@@ -82,6 +82,14 @@ def curie_sql(c: str) -> str:
     return f"CASE WHEN {c} LIKE '%#%' THEN {_CURIE.format(c=c, sep='#')} WHEN {c} LIKE '%/%' THEN {_CURIE.format(c=c, sep='/')} ELSE {c} END"
 
 
+def _canonical_sql(column: str, condition: str = "") -> str:
+    """A JSON text as one line per value: place, type and value, numbers by value."""
+    return f"""(SELECT string_agg(fullkey || ' ' || CASE WHEN type IN ('UBIGINT', 'BIGINT') THEN 'n' || CAST(atom AS VARCHAR)
+  WHEN type = 'DOUBLE' THEN 'n' || regexp_replace(CAST(CAST(atom AS DOUBLE) AS VARCHAR), '\\.0$', '')
+  WHEN type = 'VARCHAR' THEN 's' || (atom ->> '$') WHEN type = 'BOOLEAN' THEN 'b' || CAST(atom AS VARCHAR) ELSE type END, chr(10) ORDER BY fullkey)
+  FROM json_tree(CAST(coalesce({column}, '{{}}') AS JSON)) {condition})"""
+
+
 _LINKS = "links AS (SELECT to_name AS node, min(from_name) AS parent FROM lineage_rel WHERE from_name IS NOT NULL AND to_name IS NOT NULL AND rel_type IN ('copy','transform') GROUP BY to_name)"
 
 _WALK = f"""WITH RECURSIVE {_LINKS},
@@ -110,6 +118,54 @@ FROM ends""",
     "p1_descendants": f"""{_WALK}
 SELECT u.top AS node_name, u.node AS descendant, u.depth AS distance
 FROM up u JOIN ends e ON e.node = u.node AND NOT e.looped""",
+    "p2_found": """WITH RECURSIVE node AS (
+  SELECT DISTINCT record_id, '' AS path, '' AS owner, CAST(body AS JSON) AS v, true AS is_body FROM raw_payloads WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) = 'OBJECT'
+  UNION ALL
+  SELECT n.record_id, n.path || '/' || e.key, CASE WHEN json_type(n.v) = 'ARRAY' THEN n.owner ELSE n.path END, e.value, false
+  FROM node n, json_each(CASE WHEN json_type(n.v) = 'OBJECT' AND (n.is_body OR list_contains(json_keys(n.v), 'props') OR list_contains(json_keys(n.v), 'refs')) THEN n.v -> '$.props' ELSE n.v END) e
+  WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+),
+entity AS (SELECT record_id, path, v -> '$.refs' AS r FROM node WHERE json_type(v) = 'OBJECT' AND (is_body OR list_contains(json_keys(v), 'props') OR list_contains(json_keys(v), 'refs'))),
+ref AS (
+  SELECT e.record_id, e.path AS owner, e.path || '/@refs/' || p.key AS path, p.value AS v FROM entity e, json_each(e.r) p WHERE json_type(e.r) = 'OBJECT'
+),
+one AS (
+  SELECT record_id, owner, path, v FROM ref WHERE json_type(v) <> 'ARRAY'
+  UNION ALL
+  SELECT ref.record_id, ref.owner, ref.path || '/' || i.key, i.value FROM ref, json_each(ref.v) i WHERE json_type(ref.v) = 'ARRAY'
+)
+SELECT DISTINCT record_id, 'object' AS node_kind, path AS node_path, owner AS parent_path FROM node WHERE json_type(v) = 'OBJECT' AND path <> ''
+UNION
+SELECT record_id, 'ref', path, owner FROM one WHERE json_type(v) = 'VARCHAR'""",
+    "p3_found": f"""WITH s AS (
+  SELECT dataset, snapshot_no, {curie_sql('id')} AS id, delivered_at, {_canonical_sql('props', "WHERE NOT (type = 'NULL' AND path = '$')")} AS p, {_canonical_sql('refs')} AS r
+  FROM (SELECT DISTINCT * FROM dataset_snapshots)
+),
+one AS (SELECT dataset, snapshot_no, id, arg_max(p || chr(0) || r, delivered_at) AS c FROM s GROUP BY 1, 2, 3),
+nos AS (SELECT dataset, snapshot_no, lag(snapshot_no) OVER (PARTITION BY dataset ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT dataset, snapshot_no FROM one)),
+new AS (SELECT one.*, before FROM one JOIN nos USING (dataset, snapshot_no) WHERE before IS NOT NULL),
+old AS (SELECT one.dataset, one.id, one.c, nos.snapshot_no AS at FROM one JOIN nos ON nos.dataset = one.dataset AND nos.before = one.snapshot_no)
+SELECT coalesce(new.dataset, old.dataset) AS dataset, coalesce(new.snapshot_no, old.at) AS snapshot_no, coalesce(new.id, old.id) AS id,
+       CASE WHEN old.id IS NULL THEN 'added' WHEN new.id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM new FULL JOIN old ON old.dataset = new.dataset AND old.at = new.snapshot_no AND old.id = new.id
+WHERE old.id IS NULL OR new.id IS NULL OR old.c <> new.c""",
+    "p7_found": f"""WITH a AS (SELECT dataset, {curie_sql('id')} AS id, {curie_sql('attr')} AS attr, val, recorded FROM entity_attrs),
+n AS (SELECT dataset, id, attr, val FROM a QUALIFY row_number() OVER (PARTITION BY dataset, id, attr ORDER BY recorded DESC, val DESC) = 1),
+l AS (
+  SELECT dataset, id, attr, dtype, val LIKE '"%' AS quoted, CASE WHEN val LIKE '"%' THEN json_extract_string(val, '$') ELSE val END AS txt
+  FROM n JOIN attr_types USING (attr) WHERE val <> 'null' AND val NOT LIKE '[%' AND val NOT LIKE '{{%'
+),
+t AS (SELECT *, trim(txt, ' ') AS x, regexp_full_match(trim(txt, ' '), '-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][-+]?[0-9]+)?') AS num FROM l),
+c AS (
+  SELECT dataset, id, attr, CASE dtype
+    WHEN 'string' THEN txt
+    WHEN 'boolean' THEN CASE WHEN lower(x) IN ('true', 'false') THEN lower(x) END
+    WHEN 'date' THEN CASE WHEN quoted AND regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T.*)?') AND try_cast(x[:10] AS DATE) IS NOT NULL THEN x[:10] END
+    WHEN 'double' THEN CASE WHEN num THEN CAST(CAST(round(try_cast(x AS DECIMAL(38, 6)) * 1000) AS HUGEINT) AS VARCHAR) END
+    WHEN 'bigint' THEN CASE WHEN num AND try_cast(x AS DECIMAL(38, 6)) = trunc(try_cast(x AS DECIMAL(38, 6))) THEN CAST(try_cast(CAST(try_cast(x AS DECIMAL(38, 6)) AS HUGEINT) AS BIGINT) AS VARCHAR) END
+  END AS cell FROM t
+)
+SELECT dataset, id, attr, cell FROM c WHERE cell IS NOT NULL""",
     "p4_found": f"""WITH vers AS (
   SELECT DISTINCT dataset, seq, {curie_sql('id')} AS id, recorded, batch_seq, coalesce(deleted, false) AS deleted, refs FROM change_log
 ),

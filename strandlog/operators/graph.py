@@ -147,18 +147,34 @@ def merged_entities(parts: DataFrame) -> DataFrame:
     return heads.join(maps, "entity_id", "left")
 
 
-def multi_origin(parts: DataFrame, namespace: str = "ns0") -> DataFrame:
+def multi_origin(parts: DataFrame) -> DataFrame:
     """``(entity_id, position, dataset, deleted, recorded, props, refs)``: the parts of each entity, not merged.
 
-    Live parts if there are any, else the tombstones, in order of the datasets' ids; the
-    ``position`` is the part's place in the ``<namespace>:partials`` list.
+    Live parts if there are any, else the tombstones, in order of the datasets' ids.
     """
     any_live = parts.groupBy("entity_id").agg(F.max(~F.col("deleted")).alias("any_live"))
     shown = parts.join(any_live, "entity_id").where("NOT deleted OR NOT any_live")
+    # one entry per dataset that has the entity: bounded by the number of datasets
     lists = shown.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("dataset_id", "dataset", "deleted", "recorded", "props", "refs"))).alias("l"))
     return lists.select("entity_id", F.posexplode("l").alias("position", "p")).select("entity_id", "position", "p.dataset", "p.deleted", "p.recorded", "p.props", "p.refs")
 
 
+def with_partials(parts: DataFrame, partials: str = "core:partials", dataset_name: str = "core:datasetname") -> DataFrame:
+    """``(entity_id, deleted, props, refs)``: one entity whose property ``partials`` lists its parts.
+
+    Every part keeps its own properties and references and gets the property
+    ``dataset_name``; the entity itself has no references.
+    """
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    tag = F.concat(quoted(F.lit(dataset_name)), F.lit(":"), quoted(F.col("dataset")))
+    body = F.expr("substring(trim(props), 2, length(trim(props)) - 2)")
+    props = F.concat(F.lit("{"), tag, F.when(F.trim(body) == "", "").otherwise(F.concat(F.lit(","), body)), F.lit("}"))
+    text = F.concat(F.lit('{"id":'), quoted(F.col("entity_id")), F.lit(',"deleted":'), F.col("deleted").cast("string"), F.lit(',"props":'), props, F.lit(',"refs":'), F.col("refs"), F.lit("}"))
+    lists = multi_origin(parts).select("entity_id", "position", "deleted", text.alias("part")).groupBy("entity_id").agg(F.min("deleted").alias("deleted"), F.array_sort(F.collect_list(F.struct("position", "part"))).alias("l"))
+    joined = F.array_join(F.transform("l", lambda x: x["part"]), ",")
+    return lists.select("entity_id", "deleted", F.concat(F.lit("{"), quoted(F.lit(partials)), F.lit(":["), joined, F.lit("]}")).alias("props"), F.lit("{}").alias("refs"))
+
+
 def hydrate(hops: DataFrame, entities: DataFrame) -> DataFrame:
     """Hop results with their related entity; a missing target is a placeholder (recorded 0)."""
     side = entities.select(F.col("entity_id").alias("related_id"), F.col("recorded").alias("entity_recorded"), "deleted", "n_partials")

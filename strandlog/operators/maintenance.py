@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import content_key
+from ..model import content_key, newest
 from ..ordering import with_previous
 
 
@@ -40,6 +40,30 @@ def statistics(changes: DataFrame) -> DataFrame:
     return sized.rollup("dataset", "deleted").agg(F.count(F.lit(1)).alias("versions"), F.sum("k").alias("key_bytes"), F.sum("v").alias("value_bytes"))
 
 
+def index_statistics(changes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``(source, dataset, deleted, n, key_bytes, value_bytes)`` of the log, its newest versions and their links, with subtotals.
+
+    ``source`` is ``log``, ``latest`` or ``links``; links are of live versions only.
+    """
+    size = [(F.octet_length("dataset") + F.octet_length("entity_id")).alias("k"), (F.octet_length("props") + F.octet_length("refs")).alias("v")]
+    rows = changes.select(F.lit("log").alias("source"), "dataset", "deleted", *size).unionByName(newest(changes).select(F.lit("latest").alias("source"), "dataset", "deleted", *size))
+    if links is not None:
+        width = F.octet_length("subject") + F.octet_length("predicate") + F.octet_length("object")
+        rows = rows.unionByName(links.select(F.lit("links").alias("source"), "dataset", F.lit(False).alias("deleted"), (F.octet_length("dataset") + width).alias("k"), F.lit(0).alias("v")))
+    return rows.rollup("source", "dataset", "deleted").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("key_bytes"), F.sum("v").alias("value_bytes"))
+
+
+def lineage_row(config: dict) -> tuple:
+    """A job configuration as a row ``(sources, sinks, transforms, hops, transactions)`` for :func:`lineage`."""
+    source, sink = config.get("source") or {}, config.get("sink") or {}
+    names = [c["Name"] for c in source.get("DatasetSources", [])] or [x for x in (source.get("Name") or source.get("Url"),) if x]
+    target = sink.get("Name") or sink.get("Url")
+    return names, [target] if target else [], bool(config.get("transform")), list(config.get("hops") or []), list(config.get("transactions") or [])
+
+
+LINEAGE_JOBS = "sources array<string>, sinks array<string>, transforms boolean, hops array<string>, transactions array<string>"
+
+
 def lineage(jobs: DataFrame, dataset: str | None = None) -> DataFrame:
     """``(from_name, to_name, rel_type)`` edges of job configurations, sorted.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 import threading
 import time
 from collections.abc import Callable
@@ -206,6 +207,34 @@ class Raffle:
             return sorted(self._running)
 
 
+class EventBus:
+    """Calls what is subscribed to the topics of a regular expression, in order of subscription."""
+
+    def __init__(self) -> None:
+        self._subscribers: dict[str, tuple[re.Pattern, Callable[[str], None]]] = {}
+        self._lock = threading.Lock()
+
+    def subscribe(self, name: str, topics: str, call: Callable[[str], None]) -> None:
+        """Subscribes ``name``, replacing an earlier subscription of it."""
+        with self._lock:
+            self._subscribers[name] = (re.compile(topics), call)
+
+    def unsubscribe(self, name: str) -> None:
+        with self._lock:
+            self._subscribers.pop(name, None)
+
+    def emit(self, topic: str) -> list[str]:
+        """The subscribers called; a failing one does not keep others from being called."""
+        with self._lock:
+            due = [(n, call) for n, (pattern, call) in self._subscribers.items() if pattern.fullmatch(topic)]
+        for name, call in due:
+            try:
+                call(topic)
+            except Exception:
+                _log.exception("subscriber %s failed on %s", name, topic)
+        return [n for n, _ in due]
+
+
 class JobManager:
     """Adds, lists, runs, pauses, resumes, kills and resets jobs."""
 
@@ -267,6 +296,21 @@ class JobManager:
                     ran.append(name)
         return ran
 
+    def attach(self, bus: EventBus) -> None:
+        """Lets changes of a dataset, announced as ``dataset.<name>``, run the jobs that watch it."""
+        bus.subscribe("jobs", r"dataset\..*", lambda topic: self.on_change(topic.removeprefix("dataset.")))
+
+    def schedules(self) -> list[tuple[str, str, str]]:
+        """(job, job type, schedule) of all cron triggers."""
+        return [(n, t["jobType"], t["schedule"]) for n, (_, c) in sorted(self._jobs.items()) for t in c["triggers"] if t["triggerType"] == "cron"]
+
+    def config(self, job: str) -> dict:
+        return self._jobs[job][1]
+
+    def reset_meta(self, job: str) -> None:
+        """Forgets the job's history."""
+        self.state.update(job, history=[])
+
     def pause(self, job: str) -> None:
         self.state.update(job, paused=True)
 

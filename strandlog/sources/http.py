@@ -33,9 +33,9 @@ def with_query(url: str, **query: object) -> str:
     return url + ("&" if "?" in url else "?") + urllib.parse.urlencode(kept) if kept else url
 
 
-def get_page(url: str, since: str | None = None, limit: int | None = None, latest_only: bool = False, reverse: bool = False, token: TokenProvider | None = None) -> tuple[list[tuple], str | None]:
-    """(rows, continuation) of one page of a remote dataset."""
-    full = with_query(url, since=since or None, limit=limit, latestOnly="true" if latest_only else None, reverse="true" if reverse else None)
+def get_page(url: str, since: str | None = None, limit: int | None = None, latest_only: bool = False, reverse: bool = False, token: TokenProvider | None = None, start: str | None = None) -> tuple[list[tuple], str | None]:
+    """(rows, continuation) of one page of a remote dataset: changes go on at ``since``, entities at ``start``."""
+    full = with_query(url, **{"from": start or None}, since=since or None, limit=limit, latestOnly="true" if latest_only else None, reverse="true" if reverse else None)
     return parse_stream(_request(full, token=token).decode())
 
 

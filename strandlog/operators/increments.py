@@ -17,6 +17,8 @@ from ..session import materialise
 
 #: Rows of one dataset that one planned batch covers.
 BATCH_SPAN = 4096
+#: Batches that one row of a plan is cut into at a time.
+_STRIDE = 1024
 
 _UNION = "struct<Tokens:array<struct<Token:string>>,DatasetNames:array<string>>"
 _MULTI = "struct<MainToken:string,DependencyTokens:map<string,struct<Token:string>>>"
@@ -77,8 +79,13 @@ def plan_batches(offsets: DataFrame, log: DataFrame, span: int = BATCH_SPAN) ->
     ends = log.where("dataset IS NOT NULL AND seq IS NOT NULL").groupBy("dataset").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
     start = F.greatest("offset", "first")
     open_ = offsets.join(ends, "dataset").where(F.col("last") >= start).withColumn("start", start)
-    batch = lambda c: F.floor(F.col(c) / span).cast("bigint")
-    cut = open_.withColumn("batch", F.explode(F.sequence(batch("start"), batch("last"))))
+    # two steps, so that no single row ever holds the list of all batches of a long range
+    step = lambda c, n: F.floor(F.col(c) / n).cast("bigint")
+    wide = span * _STRIDE
+    strides = open_.withColumn("stride", F.explode(F.sequence(step("start", wide), step("last", wide))))
+    first = F.greatest(step("start", span), F.col("stride") * _STRIDE)
+    final = F.least(step("last", span), F.col("stride") * _STRIDE + (_STRIDE - 1))
+    cut = strides.withColumn("batch", F.explode(F.sequence(first, final)))
     return cut.select(
         "job_id",
         "dataset",
@@ -97,8 +104,7 @@ def read_planned(plan: DataFrame, log: DataFrame, span: int = BATCH_SPAN, payloa
     looked at. With repeats that differ, the greatest payload is taken.
     """
     rows = log.where("dataset IS NOT NULL AND seq IS NOT NULL").select("dataset", "seq", F.floor(F.col("seq") / span).cast("bigint").alias("batch"), *payload)
-    # partitioned by what the join needs, so neither the reduction nor the join shuffles again
-    rows = rows.repartition("dataset", "batch")
+    # reduced on the map side first, so any number of copies of a row travels once per task
     if payload:
         rows = rows.groupBy("dataset", "batch", "seq").agg(F.max(F.struct(*payload)).alias("p")).select("dataset", "batch", "seq", "p.*")
     else:

@@ -152,6 +152,9 @@ def widen(attrs: DataFrame, attr_types: DataFrame, namespaces: Namespaces, bucke
     columns = column_types(attr_types)
     rows = attrs.where("dataset IS NOT NULL AND id IS NOT NULL").select("dataset", "id", F.coalesce("attr", F.lit("")).alias("attr"), "val", "recorded")
     rows = namespaces.compress(rows, "id", "attr")
+    # unlisted attributes are one here, so an entity never has more rows than columns, whatever it lists
+    listed = F.col("attr").isin([a for a, _ in columns])
+    rows = rows.select("dataset", "id", F.when(listed, F.col("attr")).otherwise("\u0000").alias("attr"), F.when(listed, F.col("val")).alias("val"), "recorded")
     newest = rows.groupBy("dataset", "id", "attr").agg(F.max(F.struct("recorded", "val")).alias("v")).select("dataset", "id", "attr", "v.val")
     bucketed = newest.repartition(buckets, "dataset", "id") if buckets else newest.repartition("dataset", "id")
     fields = ", ".join(f"c{i} {dtype}" for i, (_, dtype) in enumerate(columns))

@@ -19,8 +19,8 @@ PARENT, REFERENCE = 0, 1
 def events_of(log: DataFrame, namespaces: Namespaces) -> DataFrame:
     """Versions (parents) and references of a change log in one stream of id events.
 
-    A row is read once: it gives one parent event under its own id and, if not deleted,
-    one reference event under each id that it names.
+    A row gives one parent event under its own id and, if not deleted, one reference event
+    under each id that it names. Copies of a row are reduced to one before its text is read.
     """
     rows = log.select(
         "dataset",
@@ -30,7 +30,7 @@ def events_of(log: DataFrame, namespaces: Namespaces) -> DataFrame:
         F.coalesce("batch_seq", F.lit(-1)).alias("batch_seq"),
         F.coalesce("deleted", F.lit(False)).alias("deleted"),
         "refs",
-    ).where("dataset IS NOT NULL AND recorded IS NOT NULL")
+    ).where("dataset IS NOT NULL AND recorded IS NOT NULL").distinct()
     nothing = F.lit(None).cast("string")
     own = F.array(F.struct(nothing.alias("predicate"), F.col("id").alias("target")))
     links = F.coalesce(F.when(~F.col("deleted") & F.col("seq").isNotNull(), ref_pairs(F.col("refs"))), F.array().cast("array<struct<predicate:string,target:string>>"))
@@ -55,7 +55,7 @@ def _sliced(events: DataFrame, hot_events: int) -> DataFrame:
     """
     counts = events.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("kind") == PARENT, 1).otherwise(0)).alias("parents"))
     limit = max(hot_events, (events.count() + _SHARE - 1) // _SHARE)
-    hot_ids = counts.where(F.col("n") > limit)
+    hot_ids = materialise(counts.where(F.col("n") > limit), "hot-counts")
     if hot_ids.isEmpty():
         return events.withColumns({"slice": F.lit(0), "known": F.lit(None).cast("boolean")})
     parts = F.ceil(F.col("n") / limit).cast("int")

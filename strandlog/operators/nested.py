@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -19,12 +20,13 @@ _KEY = "record_id"
 RECORD = ""  # the element name of the body itself
 
 _NODES = (
-    "record_id bigint, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
+    "record_id bigint, delivery bigint, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
     "ancestors array<struct<element:string,length:int>>, entity_id string, scalars map<string,string>, refs array<struct<owner:string,predicate:string,path:string,target:string>>"
 )
 _NODES_ARROW = pa.schema(
     [
         ("record_id", pa.int64()),
+        ("delivery", pa.int64()),
         ("element", pa.string()),
         ("parent_element", pa.string()),
         ("repeated", pa.bool_()),
@@ -107,8 +109,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = parse(body)
             except ValueError:
                 continue
+            delivery = int.from_bytes(hashlib.blake2b(body.encode(), digest_size=8).digest(), signed=True)
             for row in walk(value):
-                rows.append((record_id, *row))
+                rows.append((record_id, delivery, *row))
                 size += 1 + len(row[5])
                 if size > 50_000:
                     yield _batch(rows)
@@ -120,14 +123,15 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
     pack = lambda names, items: [None if i is None else [dict(zip(names, x)) for x in i] for i in items]
-    cols[6] = pack(("element", "length"), cols[6])
-    cols[9] = pack(("owner", "predicate", "path", "target"), cols[9])
+    cols[7] = pack(("element", "length"), cols[7])
+    cols[10] = pack(("owner", "predicate", "path", "target"), cols[10])
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES_ARROW)], schema=_NODES_ARROW)
 
 
 def document_nodes(payloads: DataFrame) -> DataFrame:
     """One row per object of every body (see :func:`walk`), the body itself included.
 
+    ``delivery`` is a mark of the body's text, so different bodies of one record stay apart.
     Null bodies, bodies that are no JSON and bodies that are no objects give nothing;
     null record ids likewise. Equal deliveries of one record are read once.
     """
@@ -157,9 +161,9 @@ def decide(graph: DataFrame) -> DataFrame:
 def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT_ELEMENTS) -> DataFrame:
     """The rows of all tables in one frame: take one table by its ``table_name``.
 
-    ``(record_id, table_name, row_path, parent_table, parent_path, enclosing_path, entity_id, cells, inlined, refs)``:
-    (record_id, row_path) is the key, (record_id, parent_path) within ``parent_table`` the
-    foreign key; ``cells`` maps column names (relative path of inlined properties) to
+    ``(record_id, delivery, table_name, row_path, parent_table, parent_path, enclosing_path, entity_id, cells, inlined, refs)``:
+    (record_id, delivery, row_path) is the key, (record_id, delivery, parent_path) within
+    ``parent_table`` the foreign key; ``cells`` maps column names (relative path of inlined properties) to
     values; ``inlined`` lists the paths of the objects that live in this row with the path
     of their nearest enclosing object; ``refs`` the references of all of them. The record
     itself is the table ``''``.
@@ -173,11 +177,11 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
         own = F.array(*[F.lit(e) for e in [RECORD, *sorted(r.element for r in few)]])
         owners = F.filter(line, lambda a: F.array_contains(own, a["element"]))
     else:
-        steps = nodes.select("record_id", "node_path", F.posexplode(line).alias("at", "a"))
+        steps = nodes.select("record_id", "delivery", "node_path", F.posexplode(line).alias("at", "a"))
         tables = decisions.where("own_table").select("element").unionByName(decisions.sparkSession.createDataFrame([(RECORD,)], "element string"))
         kept = steps.join(tables, F.col("a.element") == F.col("element"), "left_semi")
-        lists = kept.groupBy("record_id", "node_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("owners"))
-        nodes = nodes.join(lists, ["record_id", "node_path"])
+        lists = kept.groupBy("record_id", "delivery", "node_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("owners"))
+        nodes = nodes.join(lists, ["record_id", "delivery", "node_path"])
         owners = F.col("owners")
     table = lambda a: F.struct(a["element"].alias("element"), F.left(F.col("node_path"), a["length"]).alias("path"))
     placed = nodes.withColumn("owners", owners).withColumn("home", table(F.element_at("owners", -1))).withColumn("up", table(F.try_element_at("owners", F.lit(-2))))
@@ -186,6 +190,7 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
     cells = F.transform(F.map_entries("scalars"), lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")))
     placed = placed.select(
         "record_id",
+        "delivery",
         "home",
         F.when(here, F.struct("up.element", "up.path", "entity_id")).alias("own"),
         F.when(~here, F.struct("node_path", "parent_path")).alias("inlined"),
@@ -194,9 +199,10 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
         "refs",
     )
     # the pieces of a row lie in one document, so a group is at most one document
-    rows = placed.groupBy("record_id", "home").agg(F.max("own").alias("own"), F.max("nearest").alias("nearest"), F.collect_set("inlined").alias("inlined"), F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("refs")).alias("refs"))
+    rows = placed.groupBy("record_id", "delivery", "home").agg(F.max("own").alias("own"), F.max("nearest").alias("nearest"), F.collect_set("inlined").alias("inlined"), F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("refs")).alias("refs"))
     return rows.select(
         "record_id",
+        "delivery",
         F.col("home.element").alias("table_name"),
         F.col("home.path").alias("row_path"),
         F.col("own.element").alias("parent_table"),

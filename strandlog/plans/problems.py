@@ -35,8 +35,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_tables(spark: SparkSession, d: str) -> DataFrame:
     """The cells of every table row, with the row's key and foreign key."""
     rows, _ = nested.shared_inlining(load(spark, d, "raw_payloads"))
-    return rows.select("record_id", "table_name", "row_path", "parent_table", "parent_path", "entity_id", F.explode_outer("cells").alias("c")).select(
-        "record_id", "table_name", "row_path", "parent_table", "parent_path", "entity_id", F.col("c.key").alias("column_name"), F.col("c.value").alias("cell")
+    return rows.select("record_id", "delivery", "table_name", "row_path", "parent_table", "parent_path", "entity_id", F.explode_outer("cells").alias("c")).select(
+        "record_id", "delivery", "table_name", "row_path", "parent_table", "parent_path", "entity_id", F.col("c.key").alias("column_name"), F.col("c.value").alias("cell")
     )
 
 

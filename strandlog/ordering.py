@@ -17,6 +17,8 @@ _PID = "__pid"
 
 def _ranged(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    if n > 1:
+        df = materialise(df, label + "-rows")  # range partitioning reads its input twice; what made the rows runs once
     spread = df.repartitionByRange(n, *columns) if n > 1 else df.coalesce(1)
     return materialise(spread.withColumn(_PID, F.spark_partition_id()), label)
 

@@ -14,7 +14,7 @@ from ..identity import Namespaces
 from ..jsoncanon import canonical_content
 from ..session import materialise
 
-#: Ordinals of one container: its bitmap takes a sixteenth of a byte each, its vector 16 bytes each.
+#: Ordinals of one container: its bitmap takes at most a bit each, its vector 16 bytes for each present one.
 CONTAINER = 1 << 14
 
 _MARK = 16  # bytes of a content mark
@@ -64,6 +64,30 @@ def assign_ordinals(keys: DataFrame, known: DataFrame | None = None, container:
     return fresh.select("dataset", "id", "shards", "shard", "ordinal")
 
 
+def compress(slots: np.ndarray, container: int) -> bytes:
+    """A set of sorted slots as a compressed bitmap: two bytes a slot if that is shorter, else one bit a place."""
+    if len(slots) * 16 < container:
+        return b"A" + slots.astype("<u2").tobytes()
+    present = np.zeros(container, dtype=bool)
+    present[slots] = True
+    return b"B" + np.packbits(present).tobytes()
+
+
+def words(bitmap: bytes | None, container: int) -> np.ndarray:
+    """The bits of a compressed bitmap, eight to a byte; no bitmap is the empty set."""
+    if bitmap is None:
+        return np.zeros(-(-container // 8), dtype=np.uint8)
+    if bitmap[:1] == b"B":
+        return np.frombuffer(bitmap, np.uint8, offset=1)
+    present = np.zeros(container, dtype=bool)
+    present[np.frombuffer(bitmap, "<u2", offset=1)] = True
+    return np.packbits(present)
+
+
+def _slots(bits: np.ndarray) -> np.ndarray:
+    return np.nonzero(np.unpackbits(bits))[0]
+
+
 def _pack(batches: Iterator[pa.RecordBatch], container: int) -> Iterator[pa.RecordBatch]:
     """Rows (one snapshot's slots and marks of a container) to bitmap and aligned vector."""
     for batch in batches:
@@ -71,9 +95,7 @@ def _pack(batches: Iterator[pa.RecordBatch], container: int) -> Iterator[pa.Reco
         for slots, marks in zip(batch.column("slots"), batch.column("marks")):
             at = np.asarray(slots.values, dtype=np.int64)
             order = np.argsort(at)
-            present = np.zeros(container, dtype=bool)
-            present[at] = True
-            bitmaps.append(np.packbits(present).tobytes())
+            bitmaps.append(compress(at[order], container))
             m = marks.values.to_pylist()
             vectors.append(b"".join(m[i] for i in order))
         keep = [batch.column(c) for c in ("dataset", "shard", "container", "snapshot_no")]
@@ -85,27 +107,19 @@ _KINDS = ("added", "removed", "changed")
 
 def _compare(batches: Iterator[pa.RecordBatch], container: int) -> Iterator[pa.RecordBatch]:
     """Two packed containers per row to the slots added, removed and changed."""
-    empty = np.zeros(container, dtype=bool)
-
-    def unpack(bitmap: bytes | None, vector: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        present = empty if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
-        return present, np.frombuffer(vector or b"", dtype=f"V{_MARK}")
-
     for batch in batches:
         cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
         rows, slots, kinds = [], [], []
         for i in range(batch.num_rows):
-            was, old = unpack(cols["old_bitmap"][i], cols["old_vector"][i])
-            now, new = unpack(cols["new_bitmap"][i], cols["new_vector"][i])
-            both = was & now
-            where = np.nonzero(both)[0]
-            # rank of a slot among the present ones is its place in the vector
-            a = old[(np.cumsum(was) - 1)[where]]
-            b = new[(np.cumsum(now) - 1)[where]]
-            for kind, hit in enumerate((np.nonzero(now & ~was)[0], np.nonzero(was & ~now)[0], where[a != b])):
+            was, now = words(cols["old_bitmap"][i], container), words(cols["new_bitmap"][i], container)
+            both = _slots(was & now)
+            # a slot's rank among the present ones is its place in the vector
+            old, new = (np.frombuffer(cols[f"{side}_vector"][i] or b"", dtype=f"V{_MARK}") for side in ("old", "new"))
+            a, b = (vector[np.searchsorted(_slots(bits), both)] for vector, bits in ((old, was), (new, now)))
+            for kind, hit in zip(_KINDS, (_slots(now & ~was), _slots(was & ~now), both[a != b])):
                 rows += [i] * len(hit)
                 slots += hit.tolist()
-                kinds += [_KINDS[kind]] * len(hit)
+                kinds += [kind] * len(hit)
         take = pa.array(rows, pa.int64())
         keep = [batch.column(c).take(take) for c in ("dataset", "shard", "container", "snapshot_no")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(slots, pa.int32()), pa.array(kinds, pa.string())], ["dataset", "shard", "container", "snapshot_no", "slot", "change_kind"])
@@ -115,7 +129,7 @@ def snapshot_changes(snapshots: DataFrame, namespaces: Namespaces, known: DataFr
     """``(dataset, snapshot_no, id, change_kind)`` against the next lower snapshot the dataset has.
 
     Keys get persistent ordinals (pass ``known`` to go on with stored ones); each snapshot
-    becomes, per container of ordinals, a bitmap of the keys present and a vector of
+    becomes, per container of ordinals, a compressed bitmap of the keys present and a vector of
     content marks in ordinal order. Bitmap AND-NOT gives additions and removals, the
     common bits select the marks to compare. One task holds two containers at a time.
 

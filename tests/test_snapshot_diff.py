@@ -1,11 +1,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandlog.jsoncanon import canonical_content
-from strandlog.operators.snapshot_diff import assign_ordinals, snapshot_changes
+from strandlog.operators.snapshot_diff import assign_ordinals, compress, snapshot_changes, words
 
 from .conftest import rows_of, set_of
 
@@ -63,6 +64,14 @@ def test_what_counts_as_equal(spark, namespaces):
     assert changed == {str(i) for i, p in enumerate(pairs) if not p[2]}
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 16384])
+def test_bitmaps_round_trip_and_stay_short(n):
+    slots = np.sort(np.random.default_rng(n).choice(16384, n, replace=False))
+    packed = compress(slots, 16384)
+    assert np.nonzero(np.unpackbits(words(packed, 16384)))[0].tolist() == slots.tolist() and len(packed) <= min(2 * n, 2048) + 1
+    assert not words(None, 16384).any()
+
+
 def test_ordinals_persist(spark):
     keys = spark.createDataFrame([("d", f"k{i}") for i in range(100)], "dataset string, id string")
     known = assign_ordinals(keys, container=16)

@@ -7,13 +7,11 @@ offset, so a sink that already holds some of them takes each once.
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from ..shared import SharedFiles
 
 #: Rows of one dataset that one planned batch covers.
 BATCH_SPAN = 4096
@@ -129,31 +127,15 @@ class IncrementalRun:
     """
 
     def __init__(self, folder: str, job_id: str, datasets: list[str], span: int = BATCH_SPAN):
-        self.folder, self.job_id, self.datasets, self.span = folder, job_id, datasets, span
-        os.makedirs(folder, exist_ok=True)
-
-    def _path(self, kind: str) -> str:
-        return os.path.join(self.folder, f"{kind}.json")
-
-    def _get(self, kind: str) -> dict | None:
-        if not os.path.exists(self._path(kind)):
-            return None
-        with open(self._path(kind)) as f:
-            return json.load(f)
-
-    def _put(self, kind: str, value: dict) -> None:
-        with open(self._path(kind) + ".new", "w") as f:
-            json.dump(value, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(self._path(kind) + ".new", self._path(kind))  # readers see the old or the new, never a part
+        self.job_id, self.datasets, self.span = job_id, datasets, span
+        self._files = SharedFiles(folder)
 
     def offsets(self) -> dict[str, int]:
-        return (self._get("offsets") or {"offsets": {}})["offsets"]
+        return (self._files.get("offsets") or {"offsets": {}})["offsets"]
 
     def begin(self, log: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
         spark = log.sparkSession
-        pending, done = self._get("plan"), self.offsets()
+        pending, done = self._files.get("plan"), self.offsets()
         if pending and all(done.get(d, 0) > z for d, (_, z) in pending["ranges"].items()):
             pending = None  # committed, but stopped before the plan was removed
         if pending is None:
@@ -162,19 +144,19 @@ class IncrementalRun:
             wanted = plan_batches(spark.createDataFrame(rows, schema), log.where(F.col("dataset").isin(self.datasets)), self.span)
             ranges = wanted.groupBy("dataset").agg(F.min("from_seq").alias("a"), F.max("to_seq").alias("b")).collect()
             pending = {"ranges": {r.dataset: [r.a, r.b] for r in ranges}}
-            self._put("plan", pending)
+            self._files.put("plan", pending)
         planned = [(self.job_id, d, b, max(a, b * self.span), min(z, b * self.span + self.span - 1)) for d, (a, z) in pending["ranges"].items() for b in range(a // self.span, z // self.span + 1)]
         plan = spark.createDataFrame(planned, "job_id string, dataset string, batch bigint, from_seq bigint, to_seq bigint")
         return read_planned(plan, log, self.span, payload)
 
     def commit(self) -> None:
-        pending = self._get("plan")
+        pending = self._files.get("plan")
         if pending is None:
             return
         done = self.offsets()
         done.update({d: z + 1 for d, (_, z) in pending["ranges"].items()})
-        self._put("offsets", {"offsets": done})
-        os.remove(self._path("plan"))
+        self._files.put("offsets", {"offsets": done})
+        self._files.remove("plan")
 
 
 def sink_once(sink: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("job_id", "dataset", "seq")) -> DataFrame:

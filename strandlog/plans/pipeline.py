@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import logging
-import os
 import re
 import threading
 import time
@@ -13,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ..shared import SharedFiles
 from ..sources.readers import DatasetSource, MultiSource, Source, UnionDatasetSource
 from ..sources.sinks import HttpDatasetSink, Sink
 
@@ -28,24 +27,13 @@ class JobState:
     """Tokens, run history and pause flags of jobs, one JSON file each, replaced in one step."""
 
     def __init__(self, folder: str):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
-
-    def _path(self, job: str) -> str:
-        return os.path.join(self.folder, f"{job}.json")
+        self._files = SharedFiles(folder)
 
     def load(self, job: str) -> dict:
-        if not os.path.exists(self._path(job)):
-            return {"token": "", "history": [], "paused": False}
-        with open(self._path(job)) as f:
-            return json.load(f)
+        return self._files.get(job) or {"token": "", "history": [], "paused": False}
 
     def save(self, job: str, state: dict) -> None:
-        with open(self._path(job) + ".new", "w") as f:
-            json.dump(state, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(self._path(job) + ".new", self._path(job))
+        self._files.put(job, state)
 
     def update(self, job: str, **values: object) -> None:
         self.save(job, {**self.load(job), **values})

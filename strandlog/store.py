@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import time
 import uuid
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.uri import PrefixTable
 from .model import SCHEMA
 from .operators import maintenance, mutation, snapshot
+from .shared import SharedFiles
 
 CATALOG = "core.Dataset"
 
@@ -43,25 +43,11 @@ class EntityStore:
     def __init__(self, spark: SparkSession, folder: str, lease_seconds: float = 3600):
         self.spark, self.folder, self.lease_seconds = spark, folder, lease_seconds
         self._leases: dict[str, Lease] = {}
-        os.makedirs(folder, exist_ok=True)
-        if os.path.exists(self._manifest):
-            with open(self._manifest) as f:
-                self._meta = json.load(f)
-        else:
-            self._meta = {"batches": [], "datasets": {}, "next_id": 1, "namespaces": [], "content": {}, "last": 0}
-
-    # manifest
-
-    @property
-    def _manifest(self) -> str:
-        return os.path.join(self.folder, "manifest.json")
+        self._files = SharedFiles(folder, spark)
+        self._meta = self._files.get("manifest") or {"batches": [], "datasets": {}, "next_id": 1, "namespaces": [], "content": {}, "last": 0}
 
     def _commit(self) -> None:
-        with open(self._manifest + ".new", "w") as f:
-            json.dump(self._meta, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(self._manifest + ".new", self._manifest)
+        self._files.put("manifest", self._meta)
 
     # catalog
 

@@ -92,7 +92,7 @@ def test_commit_stopped_before_the_plan_was_removed(spark, tmp_path):
     log = spark.createDataFrame([("a", i, i) for i in range(5)], LOG)
     run = IncrementalRun(str(tmp_path), "j", ["a"])
     run.begin(log)
-    plan = run._get("plan")
+    plan = run._files.get("plan")
     run.commit()
-    run._put("plan", plan)
+    run._files.put("plan", plan)
     assert run.begin(log).collect() == []

@@ -21,7 +21,7 @@ def relations(changes: DataFrame, namespaces: Namespaces | None = None, at: int
     Repeated targets of one predicate are one link. This replaces both link indexes: what
     is visible at a time follows from the versions of that time alone.
     """
-    live = latest(changes, at, include_deleted=False)
+    live = latest(changes, at, include_deleted=False, payload=("refs",))
     links = live.select("dataset", F.col("entity_id").alias("subject"), "recorded", F.explode(F.array_distinct(ref_pairs(F.col("refs")))).alias("r")).select(
         "dataset", "subject", F.col("r.predicate").alias("predicate"), F.col("r.target").alias("object"), "recorded"
     )

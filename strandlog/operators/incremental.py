@@ -102,7 +102,7 @@ def touched_by(log: DataFrame, namespaces: Namespaces | None, main: str, depende
             old = relations(log, namespaces, at=before)
             reached = reached.unionByName(hop(starts, old, join.predicate, False).select(F.col("related_id").alias("entity_id")))
         ids = reached.distinct()
-    present = latest(log.where(F.col("dataset") == main)).select("entity_id")
+    present = log.where(F.col("dataset") == main).select("entity_id").distinct()
     return ids.join(present, "entity_id", "left_semi")
 
 

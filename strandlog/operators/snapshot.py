@@ -34,9 +34,12 @@ def in_scope(changes: DataFrame, catalog: DataFrame | None = None, datasets: lis
     return changes
 
 
-def latest(changes: DataFrame, at: int | None = None, include_deleted: bool = True) -> DataFrame:
-    """Newest version per (dataset, entity), tombstones included unless told otherwise."""
-    found = newest(as_of(changes, at) if at is not None else changes)
+def latest(changes: DataFrame, at: int | None = None, include_deleted: bool = True, payload: tuple[str, ...] = ("props", "refs")) -> DataFrame:
+    """Newest version per (dataset, entity), tombstones included unless told otherwise.
+
+    Only the ``payload`` columns asked for are read and shuffled.
+    """
+    found = newest(as_of(changes, at) if at is not None else changes, payload=("deleted", *payload))
     return found if include_deleted else found.where("NOT deleted")
 
 

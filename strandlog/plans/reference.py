@@ -103,12 +103,12 @@ _KEY = "concat_ws('|', deleted, " + _PROPS.format(c="props") + ", " + _PROPS.for
 
 @query(f"WITH {_LATEST} SELECT dataset, entity_id, seq, recorded, batch_seq, deleted FROM latest")
 def entities_latest(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot.latest(_log(spark, d)).select("dataset", "entity_id", "seq", "recorded", "batch_seq", "deleted")
+    return snapshot.latest(_log(spark, d), payload=()).select("dataset", "entity_id", "seq", "recorded", "batch_seq", "deleted")
 
 
 @query(f"WITH {_VERS}, {_OLD} SELECT dataset, entity_id, seq, recorded, deleted FROM latest_at")
 def as_of_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot.latest(_log(spark, d), AT).select("dataset", "entity_id", "seq", "recorded", "deleted")
+    return snapshot.latest(_log(spark, d), AT, payload=()).select("dataset", "entity_id", "seq", "recorded", "deleted")
 
 
 @query(f"WITH {_VERS} SELECT dataset, seq, entity_id, recorded FROM vers WHERE seq >= {SINCE}")
@@ -138,7 +138,7 @@ def changes_watermark(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LATEST} SELECT entity_id, dataset, recorded FROM latest WHERE entity_id > 'ns5:' AND dataset = {_SITE} || '.device' ORDER BY entity_id LIMIT {PAGE}")
 def entities_page(spark: SparkSession, d: str) -> DataFrame:
-    rows = snapshot.latest(_log(spark, d).where(F.col("dataset") == _site(spark, d) + ".device"))
+    rows = snapshot.latest(_log(spark, d).where(F.col("dataset") == _site(spark, d) + ".device"), payload=())
     return snapshot.entity_page(rows, "ns5:", PAGE).select("entity_id", "dataset", "recorded")
 
 
@@ -167,7 +167,7 @@ def dataset_scope(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LATEST} SELECT dataset, entity_id, CAST(json_extract(props, '$.\"ns5:reading\"') AS DOUBLE) AS reading FROM latest WHERE NOT deleted AND CAST(json_extract(props, '$.\"ns5:reading\"') AS DOUBLE) > 500")
 def property_filter(spark: SparkSession, d: str) -> DataFrame:
     reading = F.try_variant_get(F.try_parse_json("props"), '$["ns5:reading"]', "double")
-    return snapshot.latest(_log(spark, d), include_deleted=False).select("dataset", "entity_id", reading.alias("reading")).where("reading > 500")
+    return snapshot.latest(_log(spark, d), include_deleted=False, payload=("props",)).select("dataset", "entity_id", reading.alias("reading")).where("reading > 500")
 
 
 @query(
@@ -176,7 +176,7 @@ CAST(sum(CAST(CAST(json_extract(props, '$."ns5:reading"') AS DOUBLE) AS DECIMAL(
 )
 def property_group(spark: SparkSession, d: str) -> DataFrame:
     v = F.try_parse_json("props")
-    rows = snapshot.latest(_log(spark, d).where(F.col("dataset").endswith(".device")), include_deleted=False)
+    rows = snapshot.latest(_log(spark, d).where(F.col("dataset").endswith(".device")), include_deleted=False, payload=("props",))
     rows = rows.select("dataset", F.try_variant_get(v, '$["ns5:state"]', "string").alias("state"), F.try_variant_get(v, '$["ns5:reading"]', "double").alias("reading"))
     return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dataset").alias("n_datasets"), (F.sum(F.col("reading").cast("decimal(18,3)")) * 1000).cast("bigint").alias("sum_thousandths"))
 
@@ -233,7 +233,7 @@ def as_entity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LATEST}, n AS (SELECT dataset, upper(json_extract_string(props, '$.\"ns5:label\"')) AS label FROM latest WHERE NOT deleted) SELECT dataset, label, count(*) AS n FROM n WHERE label IS NOT NULL GROUP BY 1, 2")
 def user_transform(spark: SparkSession, d: str) -> DataFrame:
-    rows = snapshot.latest(_log(spark, d), include_deleted=False).select("dataset", F.try_variant_get(F.try_parse_json("props"), '$["ns5:label"]', "string").alias("label"))
+    rows = snapshot.latest(_log(spark, d), include_deleted=False, payload=("props",)).select("dataset", F.try_variant_get(F.try_parse_json("props"), '$["ns5:label"]', "string").alias("label"))
     out = per_batch(lambda pdf: pdf.assign(label=pdf.label.str.upper()), "dataset string, label string")(rows)
     return out.where("label IS NOT NULL").groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -597,11 +597,11 @@ def region_orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'user:' || user_id AS entity_id, event_id AS seq, event_type = 'error' AS deleted FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def events_latest(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot.latest(stars.event_changes(load(spark, d, "events"))).select("entity_id", "seq", "deleted")
+    return snapshot.latest(stars.event_changes(load(spark, d, "events")), payload=()).select("entity_id", "seq", "deleted")
 
 
 @query("SELECT 'user:' || user_id AS subject, 'customer:' || user_id AS object FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
 def events_links(spark: SparkSession, d: str) -> DataFrame:
     log = stars.event_changes(load(spark, d, "events"))
-    live = snapshot.latest(log, include_deleted=False)
+    live = snapshot.latest(log, include_deleted=False, payload=("refs",))
     return live.select(F.col("entity_id").alias("subject"), F.explode(ref_pairs(F.col("refs"))).alias("r")).select("subject", F.col("r.target").alias("object"))

@@ -21,6 +21,9 @@ SHINGLE = 5
 #: Characters of item text that one pass over the documents looks for.
 BLOCK_CHARS = 2_000_000
 
+#: Characters from which a text's words are read one by one, and words coded before they are looked up.
+_LONG, _HELD = 1_000_000, 1_000_000
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -100,45 +103,53 @@ def postings(docs: DataFrame, index: ItemIndex) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def hits(ix: ItemIndex, codes: list[int], starts: list[int], lengths: list[int], ids: list[int]) -> list[dict]:
+        """The shingles of the items in a run of coded texts, separated by a 0 each."""
+        n = ix.size
+        c = np.array(codes, dtype=np.int64)
+        if len(c) < n:
+            return []
+        known = np.concatenate([[0], np.cumsum(c > 0)])
+        at = np.nonzero(known[n:] - known[:-n] == n)[0]  # all words of the shingle are item words
+        found = _keys([c[at + i] for i in range(n)], ix.multiplier)
+        slot = np.minimum(np.searchsorted(ix.keys, found), len(ix.keys) - 1)
+        same = ix.keys[slot] == found
+        for i in range(n):  # equal keys, and equal words
+            same &= ix.rows[slot, i] == c[at + i]
+        at, slot = at[same], slot[same]
+        doc = np.searchsorted(starts, at, side="right") - 1
+        cuts = np.nonzero(np.diff(doc))[0] + 1
+        out = []
+        for positions, numbers in zip(np.split(at, cuts), np.split(slot, cuts)):
+            if len(positions):
+                k = int(np.searchsorted(starts, positions[0], side="right") - 1)
+                out.append({"doc_id": ids[k], "n_words": lengths[k], "positions": (positions - starts[k]).tolist(), "shingles": numbers.tolist()})
+        return out
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         get = ix.vocabulary.get
-        n = ix.size
         if not len(ix.keys):
             return
         for batch in batches:
             codes: list[int] = []
             starts, lengths, ids = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                words = WORD.findall(text.as_py().lower())
-                if len(words) < WINDOW:
+                lower = text.as_py().lower()
+                # the words of a very long text are never held all at once
+                coded = [get(w, 0) for w in WORD.findall(lower)] if len(lower) < _LONG else [get(m[0], 0) for m in WORD.finditer(lower)]
+                if len(coded) < WINDOW:
                     continue
                 starts.append(len(codes))
-                lengths.append(len(words))
+                lengths.append(len(coded))
                 ids.append(doc_id)
-                codes += [get(w, 0) for w in words]
+                codes += coded
                 codes.append(0)  # no shingle goes on into the next text
-            c = np.array(codes, dtype=np.int64)
-            if len(c) < n:
-                continue
-            known = np.concatenate([[0], np.cumsum(c > 0)])
-            at = np.nonzero(known[n:] - known[:-n] == n)[0]  # all words of the shingle are item words
-            columns = [c[at + i] for i in range(n)]
-            slot = np.minimum(np.searchsorted(ix.keys, found := _keys(columns, ix.multiplier)), len(ix.keys) - 1)
-            hit = ix.keys[slot] == found
-            at, slot = at[hit], slot[hit]
-            same = np.ones(len(at), dtype=bool)  # equal keys, now equal words
-            for i in range(n):
-                same &= ix.rows[slot, i] == c[at + i]
-            at, slot = at[same], slot[same]
-            doc = np.searchsorted(starts, at, side="right") - 1
-            cuts = np.nonzero(np.diff(doc))[0] + 1
-            out = []
-            for positions, numbers in zip(np.split(at, cuts), np.split(slot, cuts)):
-                if len(positions):
-                    k = int(np.searchsorted(starts, positions[0], side="right") - 1)
-                    out.append({"doc_id": ids[k], "n_words": lengths[k], "positions": (positions - starts[k]).tolist(), "shingles": numbers.tolist()})
-            if out:
+                if len(codes) > _HELD:
+                    if out := hits(ix, codes, starts, lengths, ids):
+                        yield pa.RecordBatch.from_pylist(out, schema=_POSTINGS_ARROW)
+                    codes, starts, lengths, ids = [], [], [], []
+            if out := hits(ix, codes, starts, lengths, ids):
                 yield pa.RecordBatch.from_pylist(out, schema=_POSTINGS_ARROW)
 
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(scan, _POSTINGS)

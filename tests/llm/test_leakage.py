@@ -58,7 +58,7 @@ def test_no_match_runs_over_two_documents(spark):
 
 def test_odd_rows(spark):
     words = " ".join(f"a{i}" for i in range(12))
-    long = "filler " * 50_000 + words + " tail" * 50_000
+    long = "filler " * 150_000 + words + " tail" * 50_000
     docs = [(None, words), (1, None), (2, ""), (3, long), (3, long), (4, words), (5, "日本 é " + words.upper())]
     items = [(None, words), (7, None), (8, ""), (9, words), (9, words), (10, "short item")]
     d = spark.createDataFrame(docs, DOCS).withColumns({"shingles": F.lit(1), "positions": F.lit("x"), "n_words": F.lit("y")})

@@ -209,7 +209,7 @@ def props_get_set(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).select("dataset", "entity_id", name.alias("name"), entity.to_string(entity.get_property(props, "ns3", "seen")).alias("seen"))
 
 
-@query(f"WITH {_LATEST} SELECT entity_id, deleted, json_array_length(json_keys(props)::JSON) AS n_props, 1 AS n_refs FROM latest WHERE NOT deleted")
+@query(f"WITH {_LATEST} SELECT entity_id, deleted, CAST(len(json_keys(props)) AS BIGINT) AS n_props, 1 AS n_refs FROM latest WHERE NOT deleted")
 def new_entity_from(spark: SparkSession, d: str) -> DataFrame:
     rows = entity.new_entity_from(_typed(spark, d), add_type="ns2:thing", copy_props=True)
     return rows.select("entity_id", "deleted", F.size("props").cast("bigint").alias("n_props"), F.size("refs").alias("n_refs"))
@@ -382,7 +382,7 @@ def merged_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_LATEST}, a AS (SELECT entity_id, bool_or(NOT deleted) AS any_live FROM latest GROUP BY 1)
-SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY dataset_id) - 1 AS position, dataset, l.deleted, recorded FROM latest l JOIN a USING (entity_id) JOIN (SELECT dataset, dataset_id FROM dataset_catalog) USING (dataset) WHERE NOT l.deleted OR NOT any_live"""
+SELECT entity_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY dataset_id) - 1 AS INTEGER) AS position, dataset, l.deleted, recorded FROM latest l JOIN a USING (entity_id) JOIN (SELECT dataset, dataset_id FROM dataset_catalog) USING (dataset) WHERE NOT l.deleted OR NOT any_live"""
 )
 def multi_origin(spark: SparkSession, d: str) -> DataFrame:
     return graph.multi_origin(graph.partials(snapshot.latest(_log(spark, d)), _catalog(spark, d))).select("entity_id", "position", "dataset", "deleted", "recorded")

@@ -148,12 +148,11 @@ class EntityStore:
         """
         if "pos" not in rows.columns:
             rows = rows.withColumn("pos", F.monotonically_increasing_id())
-        asked = [r.dataset for r in rows.select("dataset").distinct().limit(10_001).collect()]
-        unknown = [d for d in asked if d is not None and d not in self._meta["datasets"]]
+        stored = self.spark.createDataFrame([(d["storage"], n) for n, d in self._meta["datasets"].items()], "storage string, name string")
+        unknown = rows.where("dataset IS NOT NULL").select("dataset").distinct().join(stored.select(F.col("name").alias("dataset")), "dataset", "left_anti").limit(5).collect()
         if unknown:
-            raise ValueError(f"no such dataset: {sorted(unknown)}")
+            raise ValueError(f"no such dataset: {sorted(r.dataset for r in unknown)}")
         fresh = mutation.append(self.changes(), rows, self._now(), strict)
-        stored = self.spark.createDataFrame([(d["storage"], n) for n, d in self._meta["datasets"].items()], "storage string, name string")
         fresh = fresh.join(stored, F.col("dataset") == F.col("name")).select(F.col("storage").alias("dataset"), *[c.split()[0] for c in SCHEMA.split(", ")[1:]])
         batch = f"batch-{uuid.uuid4().hex}"
         path = os.path.join(self.folder, batch)

@@ -21,7 +21,7 @@ RECORD = ""  # the element name of the body itself
 
 _NODES = (
     "record_id bigint, delivery bigint, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
-    "ancestors array<struct<element:string,length:int>>, entity_id string, scalars map<string,string>, refs array<struct<owner:string,predicate:string,path:string,target:string>>"
+    "ancestors array<struct<element:string,length:int>>, entity_id string, scalars array<struct<key:string,value:string>>, refs array<struct<owner:string,predicate:string,path:string,target:string>>"
 )
 _NODES_ARROW = pa.schema(
     [
@@ -34,7 +34,7 @@ _NODES_ARROW = pa.schema(
         ("parent_path", pa.string()),
         ("ancestors", pa.list_(pa.struct([("element", pa.string()), ("length", pa.int32())]))),
         ("entity_id", pa.string()),
-        ("scalars", pa.map_(pa.string(), pa.string())),
+        ("scalars", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))),
         ("refs", pa.list_(pa.struct([("owner", pa.string()), ("predicate", pa.string()), ("path", pa.string()), ("target", pa.string())]))),
     ]
 )
@@ -64,13 +64,26 @@ def _references(owner: str, refs: Any) -> list[tuple[str, str, str, str]]:
     return found
 
 
+def _mixed(value: Any) -> set[int]:
+    """The ids of the lists, ``value`` itself and those within it, that hold an object at any depth."""
+    lists = [value] if isinstance(value, list) else []
+    for v in lists:  # grows while it is read
+        lists += [x for x in v if isinstance(x, list)]
+    mixed: set[int] = set()
+    for v in reversed(lists):
+        if any(isinstance(x, dict) or id(x) in mixed for x in v):
+            mixed.add(id(v))
+    return mixed
+
+
 def walk(body: Any) -> Iterator[tuple]:
     """The objects of one parsed body, the body first, each with what belongs to it alone.
 
     Gives (element, parent element, repeated, path, parent path, ancestors, id, scalars, refs);
     the element is the property that holds the object, ``repeated`` tells whether a list does.
     An ancestor is given by the length of its path, which begins the path of the object.
-    Lists of plain values stay values of the object, as JSON text.
+    Lists of plain values stay values of the object, as JSON text. Of a list that holds
+    objects every other element is a value too, named by its path (``list/2``, ``list/0/1``).
     """
     if not isinstance(body, dict):
         return
@@ -84,20 +97,19 @@ def walk(body: Any) -> Iterator[tuple]:
         line = [*ancestors, (element, len(path))]
         children: list[tuple] = []
         for name, value in props.items() if isinstance(props, dict) else ():
-            inner = [(f"{path}/{name}", value, False)]
-            plain = True
+            inner = [("", value)]
+            mixed = _mixed(value)
             while inner:
-                at, v, listed = inner.pop()
+                at, v = inner.pop()
                 if isinstance(v, dict):
-                    plain = False
-                    children.append((_clean(name), element, listed, _clean(at), path, line, v))
-                elif isinstance(v, list):
-                    inner += [(f"{at}/{i}", x, True) for i, x in enumerate(v)]
-            if plain:
-                scalars.append((_clean(name), _clean(value) if isinstance(value, str) else None if value is None else canonical(value)))
+                    children.append((_clean(name), element, bool(at), _clean(f"{path}/{name}{at}"), path, line, v))
+                elif id(v) in mixed:
+                    inner += [(f"{at}/{i}", x) for i, x in enumerate(v)]
+                else:
+                    scalars.append((_clean(f"{name}{at}"), _clean(v) if isinstance(v, str) else None if v is None else canonical(v)))
         own = obj.get("id") if entity else None
         todo += children
-        yield element, parent_element, repeated, path, parent_path, ancestors, _clean(own) if isinstance(own, str) else None, list(dict(scalars).items()), _references(path, refs)
+        yield element, parent_element, repeated, path, parent_path, ancestors, _clean(own) if isinstance(own, str) else None, scalars, _references(path, refs)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +136,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
     pack = lambda names, items: [None if i is None else [dict(zip(names, x)) for x in i] for i in items]
     cols[7] = pack(("element", "length"), cols[7])
+    cols[9] = pack(("key", "value"), cols[9])
     cols[10] = pack(("owner", "predicate", "path", "target"), cols[10])
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES_ARROW)], schema=_NODES_ARROW)
 
@@ -187,7 +200,7 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
     placed = nodes.withColumn("owners", owners).withColumn("home", table(F.element_at("owners", -1))).withColumn("up", table(F.try_element_at("owners", F.lit(-2))))
     here = F.element_at("owners", -1)["length"] == F.length("node_path")
     prefix = F.when(here, F.lit("")).otherwise(F.concat(F.expr("substring(node_path, length(home.path) + 2)"), F.lit("/")))
-    cells = F.transform(F.map_entries("scalars"), lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")))
+    cells = F.transform("scalars", lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")))
     placed = placed.select(
         "record_id",
         "delivery",

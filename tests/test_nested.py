@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from strandlog.jsoncanon import canonical, parse
 from strandlog.operators.nested import decide, document_nodes, node_links, schema_graph, shared_inlining
 
 from .conftest import rows_of, set_of
@@ -104,3 +105,46 @@ def test_odd_bodies(spark):
 def test_empty_table(spark):
     rows, decisions = shared_inlining(spark.createDataFrame([], SCHEMA))
     assert rows_of(node_links(rows)) == [] and rows_of(decisions) == []
+
+
+def rebuilt(rows) -> dict:
+    """The properties of one body, from the cells and the objects of its table rows."""
+    props: dict = {}
+    objects = {(r.table_name and r.row_path) for r in rows} | {i.node_path for r in rows for i in r.inlined}
+    leaves = {f"{r.row_path}/{c.key}": c.value for r in rows for c in r.cells}
+    assert len(leaves) == sum(len(r.cells) for r in rows)
+    for path in sorted(objects - {""}) + sorted(leaves):
+        at = props
+        *steps, last = path.split("/")[1:]
+        for s in steps:
+            at = at.setdefault(s, {})
+        if path in leaves:
+            at[last] = leaves[path]
+        else:
+            at.setdefault(last, {})
+    return props
+
+
+def as_steps(value):
+    """A parsed value with lists that hold objects as objects of their places and other values as cells."""
+    holds = lambda v: isinstance(v, dict) or isinstance(v, list) and any(map(holds, v))
+    if isinstance(value, dict):
+        inner = (value.get("props") or {}) if "props" in value or "refs" in value else value
+        return {k: as_steps(v) for k, v in inner.items()}
+    if holds(value):
+        return {str(i): as_steps(v) for i, v in enumerate(value)}
+    return value if value is None or isinstance(value, str) else canonical(parse(json.dumps(value)))
+
+
+def test_cells_and_objects_rebuild_the_body(spark):
+    mixed = {"props": {"name": [["batch probe", {"x": [1, "t"]}]], "l": [True, None, [], [1, ["u"]], {"l": ["v", {}]}, [[{}, 2], "w"]], "box": {"in": ["y", {"z": None}]}, "plain": ["p", [1]]}}
+    for body in (BODY["props"], mixed["props"]):
+        props = {k: v for k, v in body.items() if "/" not in k}
+        rows = shared_inlining(spark.createDataFrame([(1, json.dumps({"props": props}))], SCHEMA))[0].collect()
+        assert rebuilt(rows) == as_steps(props)
+
+
+def test_equal_names_keep_all_values(spark):
+    body = {"props": {"l": [{}, "in the list"], "l/1": "beside it"}}
+    rows = shared_inlining(spark.createDataFrame([(1, json.dumps(body))], SCHEMA))[0].collect()
+    assert sorted(tuple(c) for r in rows for c in r.cells) == [("l/1", "beside it"), ("l/1", "in the list")]

@@ -152,10 +152,42 @@ def hierarchy(links: DataFrame, *, with_path: bool = False, capacity: int = CAPA
     return solved.select(F.col("node").alias("node_name"), F.col("root").alias("root_name"), F.col("depth").alias("node_depth"), *path)
 
 
+def _pairs(paths: DataFrame, *kept: str) -> DataFrame:
+    above = paths.where("path IS NOT NULL").select(F.col("node_name").alias("descendant"), "node_depth", *kept, F.posexplode("path").alias("at", "node_name"))
+    return above.where(F.col("at") < F.col("node_depth")).select("node_name", "descendant", (F.col("node_depth") - F.col("at")).alias("distance"), *kept)
+
+
 def descendants(paths: DataFrame) -> DataFrame:
     """``(node_name, descendant, distance)``: all nodes below each node, from ``hierarchy(with_path=True)``.
 
-    Nodes on or below a loop have no path and so no descendants here.
+    Nodes on or below a loop have no path and so no descendants here; :func:`below` has them too.
+    """
+    return _pairs(paths)
+
+
+def below(links: DataFrame, *, capacity: int = CAPACITY, fragment: int = CAPACITY) -> DataFrame:
+    """``(node_name, descendant, distance, loop_name)``: all nodes below each node, loops included.
+
+    ``links`` is as in :func:`hierarchy`. ``loop_name`` is the smallest name on the loop
+    that both nodes are on or below, null where there is none. Of a chain that runs round
+    a loop only the first round counts: each pair comes once, with its smallest distance,
+    and no node comes below itself.
+
+    Each loop is cut above its smallest name, which leaves a tree with that root. The
+    pairs within the tree are read off its paths; the cut link adds, for each node of the
+    loop, the nodes that hang from the loop's nodes above it. The output of a loop grows
+    with its length times the nodes on and below it.
     """
-    above = paths.where("path IS NOT NULL").select(F.col("node_name").alias("descendant"), "node_depth", F.posexplode("path").alias("at", "node_name"))
-    return above.where(F.col("at") < F.col("node_depth")).select("node_name", "descendant", (F.col("node_depth") - F.col("at")).alias("distance"))
+    paths = materialise(hierarchy(links, with_path=True, capacity=capacity, fragment=fragment), "paths")
+    looped = paths.where("node_depth = -1")
+    first = looped.where("node_name = root_name").select(F.col("node_name").alias("node"))
+    cut = links.join(looped.where("node_name <> root_name").select(F.col("node_name").alias("node")), "node", "left_semi")
+    tree = materialise(hierarchy(cut, with_path=True, capacity=capacity, fragment=fragment), "looped_paths").withColumnRenamed("root_name", "loop_name")
+    # the path to the node above the cut holds exactly the nodes of the loop
+    closing = links.join(first, "node", "left_semi").groupBy("node").agg(F.min("parent").alias("node_name"))
+    loops = closing.join(tree, "node_name").select("loop_name", F.col("path").alias("loop"))
+    nodes = tree.select("node_name", "loop_name", "node_depth", "path").unionByName(loops.select(F.col("loop_name").alias("node_name"), "loop_name", F.lit(0).alias("node_depth"), F.array("loop_name").alias("path")))
+    length, hang = F.size("loop"), F.size(F.array_intersect("path", "loop"))  # a common beginning
+    round_ = nodes.join(loops, "loop_name").select(F.col("node_name").alias("descendant"), "loop_name", "node_depth", length.alias("length"), hang.alias("hang"), F.posexplode(F.slice("loop", hang + 1, length)).alias("at", "node_name"))
+    round_ = round_.select("node_name", "descendant", (F.col("length") - F.col("hang") - F.col("at") + F.col("node_depth")).alias("distance"), "loop_name")
+    return _pairs(paths).withColumn("loop_name", F.lit(None).cast("string")).unionByName(_pairs(tree, "loop_name")).unionByName(round_)

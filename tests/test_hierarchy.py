@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog.operators.hierarchy import descendants, hierarchy, parent_links
+from strandlog.operators.hierarchy import below, descendants, hierarchy, parent_links
 
 from .conftest import rows_of, set_of
 
@@ -86,3 +86,30 @@ def test_parent_links_takes_two_types(spark):
     rows = [("a", "b", "copy"), ("a", "c", "transform"), ("a", "d", "copy-hop"), ("a", "e", None)]
     df = spark.createDataFrame(rows, "from_name string, to_name string, rel_type string")
     assert set_of(parent_links(df)) == {("b", "a"), ("c", "a")}
+
+
+def all_below(up: dict[str, str]) -> set[tuple]:
+    loops = {x: root for x, root, depth in solve(up) if depth < 0}
+    out = set()
+    for x in up:
+        seen, at = {x}, x
+        while at in up and up[at] not in seen:
+            at = up[at]
+            seen.add(at)
+            out.add((at, x, len(seen) - 1, loops.get(x)))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n", "capacity"), [(1, 300, 40), (4, 200, 1000)])
+def test_below_keeps_loops(spark, seed, n, capacity):
+    up = forest(seed, n)
+    up |= {"self": "self", "under": "self", "deep": "under", "a": "b", "b": "c", "c": "a", "t1": "b", "t2": "t1", "s": "c"}
+    found = set_of(below(spark.createDataFrame(list(up.items()), SCHEMA), capacity=capacity, fragment=capacity * 2))
+    assert found == all_below(up)
+    assert {("t1", "t2", 1, "a"), ("c", "t2", 3, "a"), ("a", "t2", 4, "a"), ("b", "s", 3, "a"), ("self", "deep", 2, "self")} <= found
+
+
+def test_below_odd_links(spark):
+    links = spark.createDataFrame([(None, "a"), ("a", None), ("a", "z"), ("a", "b"), ("a", "b"), ("b", "a"), ("c", "b"), ("c", "b")], SCHEMA)
+    assert set_of(below(links)) == {("a", "b", 1, "a"), ("b", "a", 1, "a"), ("b", "c", 1, "a"), ("a", "c", 2, "a")}
+    assert rows_of(below(links.where("false"))) == []

@@ -21,7 +21,7 @@ RECORD = ""  # the element name of the body itself
 
 _NODES = (
     "record_id bigint, delivery bigint, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
-    "ancestors array<struct<element:string,length:int>>, entity_id string, scalars array<struct<key:string,value:string>>, refs array<struct<owner:string,predicate:string,path:string,target:string>>"
+    "ancestors array<struct<element:string,length:int>>, entity_id string, scalars array<struct<key:string,value:string>>, refs array<struct<owner:string,predicate:string,path:string,target:string>>, recorded string, deleted string"
 )
 _NODES_ARROW = pa.schema(
     [
@@ -36,6 +36,8 @@ _NODES_ARROW = pa.schema(
         ("entity_id", pa.string()),
         ("scalars", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))),
         ("refs", pa.list_(pa.struct([("owner", pa.string()), ("predicate", pa.string()), ("path", pa.string()), ("target", pa.string())]))),
+        ("recorded", pa.string()),
+        ("deleted", pa.string()),
     ]
 )
 
@@ -49,6 +51,11 @@ def _clean(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _text(value: Any) -> str | None:
+    """A plain value as a cell: strings as they are, null as null, others as JSON text."""
+    return _clean(value) if isinstance(value, str) else None if value is None else canonical(value)
+
+
 def _references(owner: str, refs: Any) -> list[tuple[str, str, str, str]]:
     found: list[tuple[str, str, str, str]] = []
     if not isinstance(refs, dict):
@@ -79,7 +86,7 @@ def _mixed(value: Any) -> set[int]:
 def walk(body: Any) -> Iterator[tuple]:
     """The objects of one parsed body, the body first, each with what belongs to it alone.
 
-    Gives (element, parent element, repeated, path, parent path, ancestors, id, scalars, refs);
+    Gives (element, parent element, repeated, path, parent path, ancestors, id, scalars, refs, recorded, deleted);
     the element is the property that holds the object, ``repeated`` tells whether a list does.
     An ancestor is given by the length of its path, which begins the path of the object.
     Lists of plain values stay values of the object, as JSON text. Of a list that holds
@@ -106,10 +113,10 @@ def walk(body: Any) -> Iterator[tuple]:
                 elif id(v) in mixed:
                     inner += [(f"{at}/{i}", x) for i, x in enumerate(v)]
                 else:
-                    scalars.append((_clean(f"{name}{at}"), _clean(v) if isinstance(v, str) else None if v is None else canonical(v)))
-        own = obj.get("id") if entity else None
+                    scalars.append((_clean(f"{name}{at}"), _text(v)))
+        own, recorded, deleted = (obj.get("id"), obj.get("recorded"), obj.get("deleted")) if entity else (None, None, None)
         todo += children
-        yield element, parent_element, repeated, path, parent_path, ancestors, _clean(own) if isinstance(own, str) else None, scalars, _references(path, refs)
+        yield element, parent_element, repeated, path, parent_path, ancestors, _clean(own) if isinstance(own, str) else None, scalars, _references(path, refs), _text(recorded), _text(deleted)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +181,11 @@ def decide(graph: DataFrame) -> DataFrame:
 def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT_ELEMENTS) -> DataFrame:
     """The rows of all tables in one frame: take one table by its ``table_name``.
 
-    ``(record_id, delivery, table_name, row_path, parent_table, parent_path, enclosing_path, entity_id, cells, inlined, refs)``:
+    ``(record_id, delivery, table_name, row_path, parent_table, parent_path, enclosing_path, entity_id, recorded, deleted, cells, inlined, refs)``:
     (record_id, delivery, row_path) is the key, (record_id, delivery, parent_path) within
     ``parent_table`` the foreign key; ``cells`` maps column names (relative path of inlined properties) to
     values; ``inlined`` lists the paths of the objects that live in this row with the path
-    of their nearest enclosing object; ``refs`` the references of all of them. The record
+    of their nearest enclosing object and their own id, recorded and deleted; ``refs`` the references of all of them. The record
     itself is the table ``''``.
 
     The decisions go to the tasks if there are at most ``max_sent`` (checked), otherwise
@@ -205,8 +212,8 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
         "record_id",
         "delivery",
         "home",
-        F.when(here, F.struct("up.element", "up.path", "entity_id")).alias("own"),
-        F.when(~here, F.struct("node_path", "parent_path")).alias("inlined"),
+        F.when(here, F.struct("up.element", "up.path", "entity_id", "recorded", "deleted")).alias("own"),
+        F.when(~here, F.struct("node_path", "parent_path", "entity_id", "recorded", "deleted")).alias("inlined"),
         F.when(here, F.col("parent_path")).alias("nearest"),
         cells.alias("cells"),
         "refs",
@@ -222,6 +229,8 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
         F.col("own.path").alias("parent_path"),
         F.col("nearest").alias("enclosing_path"),
         F.col("own.entity_id").alias("entity_id"),
+        F.col("own.recorded").alias("recorded"),
+        F.col("own.deleted").alias("deleted"),
         "cells",
         "inlined",
         "refs",
@@ -243,3 +252,22 @@ def node_links(rows: DataFrame) -> DataFrame:
     inlined = F.transform("inlined", lambda i: link("object", i["node_path"], i["parent_path"]))
     refs = F.transform("refs", lambda r: link("ref", r["path"], r["owner"]))
     return rows.select("record_id", F.explode(F.concat(own, inlined, refs)).alias("n")).select("record_id", "n.*").distinct()
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """``(record_id, delivery, table_name, row_path, owner_path, predicate, ref_path, target)``: the table of references.
+
+    (record_id, delivery, row_path) within ``table_name`` is the row that holds the owner,
+    ``owner_path`` the entity itself, which may live inlined in that row.
+    """
+    each = rows.select("record_id", "delivery", "table_name", "row_path", F.explode("refs").alias("r"))
+    return each.select("record_id", "delivery", "table_name", "row_path", F.col("r.owner").alias("owner_path"), F.col("r.predicate").alias("predicate"), F.col("r.path").alias("ref_path"), F.col("r.target").alias("target"))
+
+
+def entities(rows: DataFrame) -> DataFrame:
+    """``(record_id, delivery, table_name, row_path, node_path, entity_id, recorded, deleted)`` of the bodies and nested entities that have any of the three keys."""
+    keys = ("entity_id", "recorded", "deleted")
+    own = F.array(F.struct(F.col("row_path").alias("node_path"), *keys))
+    inlined = F.transform("inlined", lambda i: F.struct(i["node_path"].alias("node_path"), *[i[k].alias(k) for k in keys]))
+    each = rows.select("record_id", "delivery", "table_name", "row_path", F.explode(F.concat(own, inlined)).alias("n"))
+    return each.select("record_id", "delivery", "table_name", "row_path", "n.*").where(F.coalesce(*keys).isNotNull())

@@ -40,11 +40,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_tables(spark: SparkSession, d: str) -> DataFrame:
     """The cells of every table row, with the row's key and foreign key."""
     rows, _ = nested.shared_inlining(load(spark, d, "raw_payloads"))
-    return rows.select("record_id", "delivery", "table_name", "row_path", "parent_table", "parent_path", "entity_id", F.explode_outer("cells").alias("c")).select(
-        "record_id", "delivery", "table_name", "row_path", "parent_table", "parent_path", "entity_id", F.col("c.key").alias("column_name"), F.col("c.value").alias("cell")
+    key = ("record_id", "delivery", "table_name", "row_path", "parent_table", "parent_path", "entity_id", "recorded", "deleted")
+    return rows.select(*key, F.explode_outer("cells").alias("c")).select(
+        *key, F.col("c.key").alias("column_name"), F.col("c.value").alias("cell")
     )
 
 
+def p2_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference with its target and the row that holds its owner."""
+    return nested.references(nested.shared_inlining(load(spark, d, "raw_payloads"))[0])
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Id, recorded and deleted of every body and nested entity, also of those inlined in another's row."""
+    return nested.entities(nested.shared_inlining(load(spark, d, "raw_payloads"))[0])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_diff.snapshot_changes(load(spark, d, "dataset_snapshots"), _namespaces(spark, d))
 
@@ -76,7 +87,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return widen.long_cells(p7_wide(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_tables, p3_found, p4_found, p4_report, p5_found, p6_found, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_tables, p2_refs, p2_entities, p3_found, p4_found, p4_report, p5_found, p6_found, p7_found, p7_wide)}
 
 # A CURIE for a URI whose part before the last '#' or '/' is a known expansion.
 _CURIE = """coalesce((SELECT n.prefix FROM namespace_map n WHERE n.expansion = left({c}, length({c}) - length(regexp_extract({c}, '[^{sep}]*$'))))

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from strandlog.jsoncanon import canonical, parse
-from strandlog.operators.nested import decide, document_nodes, node_links, schema_graph, shared_inlining
+from strandlog.operators.nested import decide, document_nodes, entities, node_links, references, schema_graph, shared_inlining
 
 from .conftest import rows_of, set_of
 
@@ -148,3 +148,17 @@ def test_equal_names_keep_all_values(spark):
     body = {"props": {"l": [{}, "in the list"], "l/1": "beside it"}}
     rows = shared_inlining(spark.createDataFrame([(1, json.dumps(body))], SCHEMA))[0].collect()
     assert sorted(tuple(c) for r in rows for c in r.cells) == [("l/1", "beside it"), ("l/1", "in the list")]
+
+
+def test_references_and_entity_keys(spark):
+    inner = {"id": "i", "recorded": 5, "props": {"z": {"deleted": True}}, "refs": {"q": ["t2", ["t3"]]}}
+    body = {"id": "b", "recorded": "7", "deleted": False, "props": {"box": {"in": inner}, "l": [{"deleted": True, "refs": {"q": "t4"}}]}, "refs": {"p": "t1"}}
+    rows = shared_inlining(spark.createDataFrame([(1, json.dumps(body))], SCHEMA))[0]
+    assert set_of(references(rows).drop("delivery")) == {
+        (1, "", "", "", "p", "/@refs/p", "t1"),
+        (1, "", "", "/box/in", "q", "/box/in/@refs/q/0", "t2"),
+        (1, "", "", "/box/in", "q", "/box/in/@refs/q/1/0", "t3"),
+        (1, "l", "/l/0", "/l/0", "q", "/l/0/@refs/q", "t4"),
+    }
+    assert set_of(entities(rows).drop("delivery")) == {(1, "", "", "", "b", "7", "false"), (1, "", "", "/box/in", "i", "5", None), (1, "l", "/l/0", "/l/0", None, None, "true")}
+    assert {(r.table_name, r.recorded, r.deleted) for r in rows.collect()} == {("", "7", "false"), ("l", None, "true")}

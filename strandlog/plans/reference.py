@@ -11,6 +11,7 @@ from ..model import change_table, ref_pairs
 from ..operators import graph, incremental, maintenance, mutation, snapshot
 from ..sources import formats
 from ..sources.readers import SampleSource, UnionDatasetSource
+from ..session import materialise
 from ..tables import load
 from . import stars
 from .pipeline import per_batch
@@ -458,8 +459,19 @@ def sample_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_VERS} SELECT CASE WHEN seq < {SINCE} THEN 1 ELSE 2 END AS run_no, dataset, count(*) AS n FROM vers GROUP BY 1, 2")
 def incremental_two_runs(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d, distinct=True)
-    first, second = log.where(F.col("seq") < SINCE), log.where(F.col("seq") >= SINCE)
+    """What each of two runs over all datasets delivers: one when the log ended before SINCE, one from its token when the log is whole."""
+    log = materialise(_log(spark, d, distinct=True).select("dataset", "seq").repartitionByRange("dataset", "seq").sortWithinPartitions("dataset", "seq"), "log")  # every dataset is read by itself
+    names = sorted(r.dataset for r in log.select("dataset").distinct().collect())
+    return two_runs(log.where(F.col("seq") < SINCE), log, names)
+
+
+def two_runs(before: DataFrame, now: DataFrame, names: list[str]) -> DataFrame:
+    """``(run_no, dataset, n)``: the rows that a first run over ``before`` and a second one over ``now``, from the first one's token, read."""
+    logs = [before, now]
+    source = UnionDatasetSource(lambda: logs[0], names)
+    first, token = source.read("")
+    logs.pop(0)
+    second, _ = source.read(token)
     rows = first.withColumn("run_no", F.lit(1)).unionByName(second.withColumn("run_no", F.lit(2)))
     return rows.groupBy("run_no", "dataset").agg(F.count(F.lit(1)).alias("n"))
 

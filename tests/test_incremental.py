@@ -3,10 +3,12 @@ import json
 import pytest
 
 from strandlog.model import SCHEMA
+from strandlog.operators import snapshot
 from strandlog.operators.incremental import Dependency, Join, Tracker, dependencies_from_config, multi_source, next_tokens, touched_by
+from strandlog.plans.reference import two_runs
 from strandlog.sources.readers import DatasetSource, MultiSource, RequeueSource, SampleSource, UnionDatasetSource, VirtualSource, make_source
 
-from .conftest import rows_of
+from .conftest import rows_of, set_of
 
 
 class Log:
@@ -183,3 +185,12 @@ def test_source_factory(spark, log):
 def test_tokens_of_unknown_datasets(log):
     assert next_tokens(log.frame(), ["people", "none"]) == {"people": 4, "none": 0}
     assert rows_of(multi_source(log.frame(), None, "none", [], {})) == []
+
+
+def test_two_runs_count_what_the_token_gives(spark, monkeypatch):
+    rows = [("a", i, f"e{i}", i, 0, False, "{}", "{}") for i in range(6)] + [("b", i, f"e{i}", i, 0, False, "{}", "{}") for i in range(2)]
+    now = spark.createDataFrame(rows, SCHEMA)
+    before = now.where("dataset = 'a' AND seq < 4")
+    assert set_of(two_runs(before, now, ["a", "b"])) == {(1, "a", 4), (2, "a", 2), (2, "b", 2)}
+    monkeypatch.setattr(snapshot, "next_offset", lambda page, since: 3)  # a token too low repeats a row, and skips some of b
+    assert set_of(two_runs(before, now, ["a", "b"])) == {(1, "a", 4), (2, "a", 3)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.access import Rule, visible_datasets
 from .identity import Namespaces
 from .operators import graph, maintenance, snapshot
-from .plans.pipeline import EventBus, JobManager, JobState, Pipeline
+from .plans.pipeline import ErrorPolicy, EventBus, JobManager, JobState, Pipeline, error_policies
 from .plans.query import Query, Result, run_query
 from .sources import formats
 from .sources.readers import make_source
@@ -160,11 +160,12 @@ class Hub:
     # jobs
 
     def add_job(self, config: dict, transforms: list | None = None) -> None:
-        """Builds the job's source and sink from its configuration and registers it."""
+        """Builds the job's source, sink and error policies from its configuration and registers it."""
         self.jobs.verify(config)
+        policies = error_policies(config["triggers"])
         source = make_source(config["source"], self.spark, self.store.changes)
         sink = make_sink(config["sink"], self.store, self.store.context())
-        self.jobs.add(config, Pipeline(config["id"], source, sink, self.jobs.state, list(transforms or []), batch=int(config.get("batchSize") or 10_000)))
+        self.jobs.add(config, Pipeline(config["id"], source, sink, self.jobs.state, list(transforms or []), batch=int(config.get("batchSize") or 10_000), errors=policies.get("incremental", ErrorPolicy()), full_errors=policies.get("fullsync", ErrorPolicy())))
 
     # maintenance
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+import sys
 import threading
 import time
 from collections.abc import Callable
@@ -53,10 +54,39 @@ class ErrorPolicy:
     retries: int = 0
     delay: float = 30.0
 
+    @classmethod
+    def from_trigger(cls, trigger: dict) -> "ErrorPolicy":
+        """From a trigger's ``onError``; ``maxItems`` 0 or absent skips all failing rows, reruns are 3 after 10 seconds unless told otherwise."""
+        held = {h["errorHandler"]: h for h in trigger.get("onError") or []}
+        if "reQueue" in held:
+            raise ValueError("the error handler reQueue is not supported")
+        policy = cls()
+        if "log" in held:
+            policy.skip, policy.max_items = True, int(held["log"].get("maxItems") or 0) or sys.maxsize
+        if "reRun" in held:
+            given = held["reRun"]
+            policy.retries, policy.delay = int(given.get("maxRetries") or 3), float(given.get("retryDelay") or 10)
+        return policy
+
+
+def error_policies(triggers: list[dict]) -> dict[str, ErrorPolicy]:
+    """The policy of each job type; full runs are one write, so they cannot leave single rows out."""
+    found: dict[str, ErrorPolicy] = {}
+    for t in triggers:
+        kind, policy = t["jobType"], ErrorPolicy.from_trigger(t)
+        if policy.skip and kind == "fullsync":
+            raise ValueError("the error handler log is not supported for fullsync triggers")
+        if found.setdefault(kind, policy) != policy:
+            raise ValueError(f"{kind} triggers with different error handlers")
+    return found
+
 
 @dataclass
 class Pipeline:
-    """One job. ``key`` orders rows for halving; rows of a batch are few by construction."""
+    """One job. ``key`` orders rows for halving; rows of a batch are few by construction.
+
+    ``full_errors``, if given, is the policy of full runs in place of ``errors``.
+    """
 
     job: str
     source: Source
@@ -65,6 +95,7 @@ class Pipeline:
     transforms: list[Transform] = field(default_factory=list)
     batch: int | None = BATCH
     errors: ErrorPolicy = field(default_factory=ErrorPolicy)
+    full_errors: ErrorPolicy | None = None
     key: str = "entity_id"
     failed: list[dict] = field(default_factory=list)
     last_error: str | None = None
@@ -153,15 +184,17 @@ class Pipeline:
     def run(self, full: bool = False) -> dict:
         """One run with its policy for errors; its record goes to the job's history."""
         started, tries = time.time(), 0
+        errors = self.full_errors if full and self.full_errors is not None else self.errors
+        self.failed, self.last_error = [], None
         while True:
             try:
                 processed, error = (self.run_full() if full else self.run_incremental()), None
             except Exception as e:
                 processed, error = 0, str(e)
-            if error is None or tries >= self.errors.retries:
+            if error is None or tries >= errors.retries:
                 break
             tries += 1
-            time.sleep(self.errors.delay)
+            time.sleep(errors.delay)
         record = {"full": full, "ok": error is None, "error": error or self.last_error, "started": started, "ended": time.time(), "processed": processed, "skipped": len(self.failed)}
         held = self.state.load(self.job)
         self.state.update(self.job, history=[*held["history"], record])

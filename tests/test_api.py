@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlog.api import Hub
 from strandlog.functions.access import Rule
@@ -156,3 +157,30 @@ def test_diagnostics(caplog):
 def test_lineage_rows():
     assert maintenance.lineage_row({"source": {"DatasetSources": [{"Name": "a"}, {"Name": "b"}]}, "sink": {"Url": "http://x"}, "transform": {"Type": "t"}}) == (["a", "b"], ["http://x"], True, [], [])
     assert maintenance.lineage_row({"source": {}, "sink": {"Type": "DevNullSink"}}) == ([], [], False, [], [])
+
+
+def test_error_handlers_of_a_job_are_used(hub):
+    def no_bad(df):
+        return df.withColumn("props", F.when(F.col("entity_id").endswith("2"), F.raise_error(F.lit("bad row"))).otherwise(F.col("props")))
+
+    def job(name, handlers, kind="incremental"):
+        return {"id": name, "source": {"Type": "DatasetSource", "Name": "people"}, "sink": {"Type": "DatasetSink", "Name": "companies"}, "triggers": [{"triggerType": "cron", "jobType": kind, "schedule": "@daily", "onError": handlers}]}
+
+    hub.post_entities("people", doc(*[{"id": f"p:{i}"} for i in range(4)]))
+    hub.add_job(job("log", [{"errorHandler": "log"}]), [no_bad])
+    record = hub.jobs.run("log")
+    assert record["ok"] and record["skipped"] == 1 and hub.entities("companies").count() == 3
+
+    tries = []
+
+    def second_time(df):
+        tries.append(1)
+        if len(tries) < 2:
+            raise RuntimeError("down")
+        return df
+
+    hub.add_job(job("again", [{"errorHandler": "reRun", "maxRetries": 1, "retryDelay": 0.01}]), [second_time])
+    assert hub.jobs.run("again")["ok"] and len(tries) == 2
+    for wrong in (job("q", [{"errorHandler": "reQueue"}]), job("f", [{"errorHandler": "log"}], "fullsync")):
+        with pytest.raises(ValueError, match="not supported"):
+            hub.add_job(wrong)

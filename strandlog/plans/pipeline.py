@@ -40,6 +40,14 @@ class JobState:
         self.save(job, {**self.load(job), **values})
 
 
+class Killed(Exception):
+    """The run was told to stop; ``processed`` is what it had stored with its token."""
+
+    def __init__(self, processed: int):
+        super().__init__("killed")
+        self.processed = processed
+
+
 @dataclass
 class ErrorPolicy:
     """What a failing step does.
@@ -160,6 +168,8 @@ class Pipeline:
             self.state.update(self.job, token=following)
             if not n or following == token or not following or isinstance(self.source, MultiSource):
                 break
+        else:
+            raise Killed(processed)
         return processed
 
     def run_full(self) -> int:
@@ -186,9 +196,13 @@ class Pipeline:
         started, tries = time.time(), 0
         errors = self.full_errors if full and self.full_errors is not None else self.errors
         self.failed, self.last_error = [], None
+        self.cancelled.clear()  # an earlier kill ended an earlier run
         while True:
             try:
                 processed, error = (self.run_full() if full else self.run_incremental()), None
+            except Killed as e:
+                processed, error = e.processed, str(e)
+                break
             except Exception as e:
                 processed, error = 0, str(e)
             if error is None or tries >= errors.retries:

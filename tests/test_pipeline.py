@@ -210,3 +210,22 @@ def test_sinks(spark, store):
     assert isinstance(make_sink({"Type": "HttpDatasetSink", "Url": "http://r.invalid"}), HttpDatasetSink) and isinstance(make_sink({"Type": "DevNullSink"}), DevNullSink) and isinstance(make_sink({"Type": "ConsoleSink"}), ConsoleSink)
     with pytest.raises(ValueError, match="unknown"):
         make_sink({"Type": "x"})
+
+
+def test_a_kill_ends_one_run_only(spark, state):
+    m = JobManager(state)
+    held = []
+
+    class Killing(Failing):
+        def write(self, df):
+            n = super().write(df)
+            if not held:
+                held.append(m.kill("j"))
+            return n
+
+    sink = Killing()
+    m.add(CONFIG, Pipeline("j", SampleSource(spark, 5), sink, state, batch=2))
+    record = m.run("j")
+    assert not record["ok"] and record["error"] == "killed" and record["processed"] == 2 == len(sink.got)
+    record = m.run("j")
+    assert record["ok"] and record["processed"] == 3 and len(sink.got) == 5

@@ -61,7 +61,13 @@ def running_state(changes: DataFrame) -> DataFrame:
     return changes.groupBy("dataset", "entity_id").applyInPandasWithState(_newest, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def change_counts(changes: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
-    """Changes per dataset and window of their recorded time; rows later than ``late`` are not waited for."""
+def change_counts(changes: DataFrame, late: str | None = None, window: str = "1 day") -> DataFrame:
+    """Changes per dataset and window of their recorded time, for update or complete mode.
+
+    However late a change arrives it is counted; the state is one row per window and
+    dataset. With ``late`` Spark may forget windows older than that, and changes that
+    arrive for them are not counted.
+    """
     timed = changes.withColumn("at", F.timestamp_micros(F.floor(F.col("recorded") / 1000).cast("bigint")))
-    return timed.withWatermark("at", late).groupBy(F.window("at", window), "dataset").agg(F.count(F.lit(1)).alias("n_changes"), F.sum(F.col("deleted").cast("int")).alias("n_deleted"))
+    timed = timed if late is None else timed.withWatermark("at", late)
+    return timed.groupBy(F.window("at", window), "dataset").agg(F.count(F.lit(1)).alias("n_changes"), F.sum(F.col("deleted").cast("int")).alias("n_deleted"))

@@ -60,3 +60,18 @@ def test_change_counts(spark, tmp_path):
     q = change_counts(stream_changes(spark, path, SCHEMA)).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n_changes, r.n_deleted) for r in spark.table("counts").collect()) == [(1, 0), (2, 1)]
+
+
+def test_change_counts_take_late_rows(spark, tmp_path):
+    path, day = str(tmp_path / "log"), 86_400 * 10**9
+    counts = {}
+
+    def keep(df, _):
+        counts.update({r.window.start: (r.n_changes, r.n_deleted) for r in df.collect()})
+
+    spark.createDataFrame([], SCHEMA).write.parquet(path)
+    stream = stream_changes(spark, path, SCHEMA)
+    for batch in ([("a", day, 0, False), ("b", 30 * day, 0, False)], [("c", 30 * day, 1, False)], [("d", day + 5, 0, True)]):
+        spark.createDataFrame(rows(*batch), SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        change_counts(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(counts.values()) == [(2, 0), (2, 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..identity import uri_head, uri_tail
+from ..identity import INLINE_NAMESPACES, first_by_ord, uri_head, uri_tail
 
 
 def url_parts(uri: Column) -> Column:
@@ -20,13 +20,22 @@ def local_name(curie: Column) -> Column:
 
 def expand_curie(df: DataFrame, column: str, namespaces: DataFrame, out: str) -> DataFrame:
     """``df`` with the full URI of a CURIE column; unknown prefixes and URIs stay as written."""
-    side = namespaces.groupBy(F.col("prefix").alias("__prefix")).agg(F.min_by("expansion", "ord").alias("__expansion"))
+    side = namespaces.where("prefix IS NOT NULL AND expansion IS NOT NULL").groupBy(F.col("prefix").alias("__prefix")).agg(first_by_ord("expansion").alias("__expansion"))
     prefix = F.when(F.col(column).contains(":"), F.substring_index(column, ":", 1))
     rows = df.join(side, prefix == F.col("__prefix"), "left")
     full = F.when(F.col("__expansion").isNotNull(), F.concat("__expansion", F.expr(f"substring(`{column}`, length(__prefix) + 2)"))).otherwise(F.col(column))
     return rows.withColumn(out, full).drop("__prefix", "__expansion")
 
 
+def bounded_rows(namespaces: DataFrame, most: int = INLINE_NAMESPACES) -> Column:
+    """The (prefix, expansion) rows of a namespace table as one array; more than ``most`` rows are an error."""
+    rows = namespaces.select("prefix", "expansion").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} namespaces")
+    one = "struct<prefix:string,expansion:string>"
+    return F.array(*[F.struct(F.lit(r.prefix).alias("prefix"), F.lit(r.expansion).alias("expansion")).cast(one) for r in rows]).cast(f"array<{one}>")
+
+
 def expand_names(m: Column, table: dict[str, str]) -> Column:
     """A map with its CURIE keys expanded by a small prefix table."""
     return F.transform_keys(m, lambda k, _: _expanded(k, table))

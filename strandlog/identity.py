@@ -21,20 +21,26 @@ def uri_head(uri: Column) -> Column:
     return F.left(uri, F.length(uri) - F.length(uri_tail(uri)))
 
 
+def first_by_ord(column: str) -> Column:
+    """Of a group's values the one of the lowest ``ord``, null ones last, then the smallest value."""
+    return F.min(F.struct(F.col("ord").isNull(), F.col("ord"), F.col(column).alias("value")))["value"]
+
+
 class Namespaces:
     """Compresses URIs to CURIEs with a ``(prefix, expansion, ord)`` table.
 
     A value whose head is no known expansion stays as written, null stays null. If an
-    expansion has several prefixes the one of the lowest ``ord`` counts. Small tables
-    (at most ``INLINE_NAMESPACES`` rows, checked) become part of the expression, so no
-    join is planned; larger ones are joined on the head.
+    expansion has several prefixes the one of the lowest ``ord`` counts, null ones last,
+    then the smallest prefix. Small tables (at most ``inline`` rows, checked) become part
+    of the expression, so no join is planned; larger ones are joined on the head. Both
+    ways give the same spelling.
     """
 
-    def __init__(self, table: DataFrame):
+    def __init__(self, table: DataFrame, inline: int = INLINE_NAMESPACES):
         self._table = table.where("prefix IS NOT NULL AND expansion IS NOT NULL").select("prefix", "expansion", "ord")
-        rows = self._table.limit(INLINE_NAMESPACES + 1).collect()
+        rows = self._table.limit(inline + 1).collect()
         self._inline: dict[str, str] | None = None
-        if len(rows) <= INLINE_NAMESPACES:
+        if len(rows) <= inline:
             self._inline = {}
             for row in sorted(rows, key=lambda r: (r.ord is None, r.ord, r.prefix)):
                 self._inline.setdefault(row.expansion, row.prefix)
@@ -43,9 +49,9 @@ class Namespaces:
         """``df`` with the named string columns replaced by their canonical spelling."""
         if self._inline is not None:
             return df.withColumns({n: self.column(F.col(n)) for n in names})
-        lookup = self._table.groupBy("expansion").agg(F.min_by("prefix", "ord").alias("__prefix"))
+        lookup = self._table.groupBy("expansion").agg(first_by_ord("prefix").alias("__prefix"))
         for n in names:
-            side = lookup.select(F.col("expansion").alias("__head"), "__prefix")
+            side = lookup.where(F.col("expansion").contains("/") | F.col("expansion").contains("#")).select(F.col("expansion").alias("__head"), "__prefix")
             hit = F.col("__prefix").isNotNull()
             df = (
                 df.join(side, uri_head(F.col(n)) == F.col("__head"), "left")

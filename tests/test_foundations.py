@@ -178,3 +178,18 @@ def test_access_as_filter(spark):
         got = {r.dataset for r in access.visible_datasets(df, rules, action).collect()}
         assert got == {n for n in names if n and access.allowed(rules, f"/datasets/{n}", action)}
     assert json.dumps(sorted(got)) == '["b"]'
+
+
+def test_one_namespace_rule_for_all_sizes(spark):
+    """The spelling is the same whether the table is part of the expression or joined."""
+    rows = [("b", "http://x/", None), ("a", "http://x/", None), ("d", "http://y#", 2), ("c", "http://y#", 2), ("z", "http://y#", 1), ("e", "http://z/", None), ("f", "http://z/", 9), ("n", "", 0)]
+    table = spark.createDataFrame(rows, "prefix string, expansion string, ord int")
+    ids = spark.createDataFrame([(x,) for x in ("http://x/1", "http://y#2", "http://z/3", "http://no/4", "plain", "a:5", None)], "id string")
+    few, many = Namespaces(table), Namespaces(table, inline=1)
+    assert few._inline is not None and many._inline is None
+    want = ["a:1", "z:2", "f:3", "http://no/4", "plain", "a:5", None]
+    for names in (few, many):
+        assert [r.c for r in sorted(names.compress(ids.withColumn("c", F.col("id")), "c").collect(), key=lambda r: [x.id for x in ids.collect()].index(r.id))] == want
+    curies = spark.createDataFrame([("a:1",), ("c:2",), ("e:3",)], "id string")
+    twice = table.unionByName(spark.createDataFrame([("c", "http://w/", None), ("e", "http://a/", None)], "prefix string, expansion string, ord int"))
+    assert {r.full for r in uri.expand_curie(curies, "id", twice, "full").collect()} == {"http://x/1", "http://y#2", "http://a/3"}

@@ -214,3 +214,10 @@ def test_lineage(spark):
 def test_statistics(spark):
     log = spark.createDataFrame([("d", 0, "é", 1, 0, False, "{}", "{}"), ("d", 1, "x", 2, 0, True, "{}", "{}")], SCHEMA)
     assert set_of(maintenance.statistics(log)) == {("d", False, 1, 3, 4), ("d", True, 1, 2, 4), ("d", None, 2, 5, 8), (None, None, 2, 5, 8)}
+
+
+def test_closure_says_when_it_is_not_whole(spark):
+    links = spark.createDataFrame([(str(i), "p", str(i + 1)) for i in range(12)], "subject string, predicate string, object string")
+    assert graph.closure(links, "p").count() == 78
+    with pytest.raises(ValueError, match="rounds"):
+        graph.closure(links, "p", max_rounds=2)

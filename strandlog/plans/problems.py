@@ -24,10 +24,6 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(hierarchy.parent_links(load(spark, d, "lineage_rel")), with_path=True))
-
-
-def p1_below(spark: SparkSession, d: str) -> DataFrame:
     """All datasets below each dataset, those on and below loops marked with the loop's name."""
     return hierarchy.below(hierarchy.parent_links(load(spark, d, "lineage_rel")))
 
@@ -87,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return widen.long_cells(p7_wide(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_tables, p2_refs, p2_entities, p3_found, p4_found, p4_report, p5_found, p6_found, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_tables, p2_refs, p2_entities, p3_found, p4_found, p4_report, p5_found, p6_found, p7_found, p7_wide)}
 
 # A CURIE for a URI whose part before the last '#' or '/' is a known expansion.
 _CURIE = """coalesce((SELECT n.prefix FROM namespace_map n WHERE n.expansion = left({c}, length({c}) - length(regexp_extract({c}, '[^{sep}]*$'))))
@@ -132,9 +128,6 @@ SELECT node AS node_name,
        CASE WHEN NOT looped THEN array_to_string(list_reverse(list_append(trail, top)), ' > ') END AS full_path
 FROM ends""",
     "p1_descendants": f"""{_WALK}
-SELECT u.top AS node_name, u.node AS descendant, u.depth AS distance
-FROM up u JOIN ends e ON e.node = u.node AND NOT e.looped""",
-    "p1_below": f"""{_WALK}
 SELECT u.top AS node_name, u.node AS descendant, min(u.depth) AS distance, any_value(CASE WHEN e.looped THEN list_min(e.trail[list_position(e.trail, e.top):]) END) AS loop_name
 FROM up u JOIN ends e ON e.node = u.node WHERE u.top <> u.node GROUP BY u.top, u.node""",
     "p2_found": """WITH RECURSIVE node AS (

@@ -14,7 +14,7 @@ from .jsoncanon import canonical_content
 
 #: Columns of the log that operators work on.
 COLUMNS = ("dataset", "seq", "entity_id", "recorded", "batch_seq", "deleted", "props", "refs")
-SCHEMA = "dataset string, seq bigint, entity_id string, recorded bigint, batch_seq int, deleted boolean, props string, refs string"
+SCHEMA = "dataset string, seq bigint, entity_id string, recorded bigint, batch_seq bigint, deleted boolean, props string, refs string"
 
 #: Newest version first by these; ``seq`` separates a version from the same one sent again.
 VERSION_ORDER = ("recorded", "batch_seq", "seq")
@@ -32,7 +32,7 @@ def change_table(raw: DataFrame, namespaces: Namespaces, distinct: bool = True)
         "seq",
         F.col("id").alias("entity_id"),
         "recorded",
-        F.coalesce("batch_seq", F.lit(0)).alias("batch_seq"),
+        F.coalesce("batch_seq", F.lit(0)).cast("bigint").alias("batch_seq"),
         F.coalesce("deleted", F.lit(False)).alias("deleted"),
         F.coalesce("props", F.lit("{}")).alias("props"),
         F.coalesce("refs", F.lit("{}")).alias("refs"),

@@ -13,10 +13,13 @@ def compact(changes: DataFrame) -> DataFrame:
     """The log without versions that repeat the version just before them; the first always stays.
 
     Lookups at any time give the same contents before and after. Works per entity in
-    order, but an entity of any number of versions is spread over tasks.
+    order, but an entity of any number of versions is spread over tasks. Only keys, order
+    and content keys are ordered; (dataset, seq), which must be unique, brings the rows back.
     """
-    chained = with_previous(content_key(changes), ["dataset", "entity_id"], ["recorded", "batch_seq", "seq"], "content_key", "previous_key")
-    return chained.where("previous_key IS NULL OR content_key <> previous_key").drop("content_key", "previous_key")
+    keyed = changes if "content_key" in changes.columns else content_key(changes)
+    chained = with_previous(keyed.select("dataset", "entity_id", "recorded", "batch_seq", "seq", "content_key"), ["dataset", "entity_id"], ["recorded", "batch_seq", "seq"], "content_key", "previous_key")
+    repeats = chained.where("content_key = previous_key").select("dataset", "seq")
+    return changes.join(repeats, ["dataset", "seq"], "left_anti")
 
 
 def collect_garbage(changes: DataFrame, catalog: DataFrame) -> DataFrame:

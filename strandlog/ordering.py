@@ -15,20 +15,22 @@ from .session import materialise
 _PID = "__pid"
 
 
-def _ranged(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+def _ranged(df: DataFrame, columns: list[str], label: str, stored: bool) -> DataFrame:
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    if n > 1:
+    if n > 1 and not stored:
         df = materialise(df, label + "-rows")  # range partitioning reads its input twice; what made the rows runs once
     spread = df.repartitionByRange(n, *columns) if n > 1 else df.coalesce(1)
     return materialise(spread.withColumn(_PID, F.spark_partition_id()), label)
 
 
-def with_previous(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+def with_previous(df: DataFrame, group: list[str], order: list[str], value: str, name: str, stored: bool = False) -> DataFrame:
     """``df`` with column ``name``: ``value`` of the row before in its group, null for the first.
 
     ``order`` should be unique within a group; tied rows keep an arbitrary order. ``value`` should not be null.
+    All columns are written out, so give only those needed; ``stored`` says that ``df``
+    is read from a table already, which is then not written again.
     """
-    placed = _ranged(df, [*group, *order], "ordered")
+    placed = _ranged(df, [*group, *order], "ordered", stored)
     local = Window.partitionBy(_PID, *group).orderBy(*order)
     inside = placed.withColumn(name, F.lag(value).over(local)).withColumn("__first", F.row_number().over(local) == 1)
     # the last row of each partition, handed to the next partition that has rows
@@ -42,9 +44,9 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], value: str,
     return joined.withColumn(name, carried).drop("__first", "__end", _PID)
 
 
-def number_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """``df`` with column ``name``: 0, 1, 2 ... within each group in ``order``, without gaps."""
-    placed = _ranged(df, [group, *order], "numbered")
+def number_rows(df: DataFrame, group: str, order: list[str], name: str, stored: bool = False) -> DataFrame:
+    """``df`` with column ``name``: 0, 1, 2 ... within each group in ``order``, without gaps; ``stored`` as in :func:`with_previous`."""
+    placed = _ranged(df, [group, *order], "numbered", stored)
     counts = placed.groupBy(_PID, group).agg(F.count(F.lit(1)).alias("__n"))
     # at most one row per partition and group that begins in it; summed per group
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -102,7 +102,7 @@ _KEY = "concat_ws('|', deleted, " + _PROPS.format(c="props") + ", " + _PROPS.for
 # Scans, feeds and versions
 
 
-@query(f"WITH {_LATEST} SELECT dataset, entity_id, seq, recorded, batch_seq, deleted FROM latest")
+@query(f"WITH {_LATEST} SELECT dataset, entity_id, seq, recorded, CAST(batch_seq AS BIGINT) AS batch_seq, deleted FROM latest")
 def entities_latest(spark: SparkSession, d: str) -> DataFrame:
     return snapshot.latest(_log(spark, d), payload=()).select("dataset", "entity_id", "seq", "recorded", "batch_seq", "deleted")
 
@@ -265,11 +265,10 @@ def namespaces(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c.dataset, n.prefix, n.expansion FROM dataset_catalog c, namespace_map n WHERE c.public_namespaces IS NULL OR len(c.public_namespaces) = 0 OR list_contains(c.public_namespaces, n.expansion)")
 def public_context(spark: SparkSession, d: str) -> DataFrame:
     """The context each dataset shows: its public namespaces, all if it lists none."""
-    # every namespace with every dataset is the result itself for datasets without a list; the table is small and fixed
-    names = load(spark, d, "namespace_map").select("prefix", "expansion")
-    every = names.agg(F.collect_list(F.struct("prefix", "expansion")).alias("all"))
-    rows = load(spark, d, "dataset_catalog").select("dataset", "public_namespaces").join(F.broadcast(every))
-    shown = F.when(F.coalesce(F.size("public_namespaces"), F.lit(0)) <= 0, F.col("all")).otherwise(F.filter("all", lambda n: F.array_contains("public_namespaces", n["expansion"])))
+    rows = load(spark, d, "dataset_catalog").select("dataset", "public_namespaces")
+    # every namespace with every dataset is the result itself for datasets without a list
+    every = uri.bounded_rows(load(spark, d, "namespace_map"))
+    shown = F.when(F.coalesce(F.size("public_namespaces"), F.lit(0)) <= 0, every).otherwise(F.filter(every, lambda n: F.array_contains("public_namespaces", n["expansion"])))
     return rows.select("dataset", F.explode(shown).alias("n")).select("dataset", "n.prefix", "n.expansion")
 
 
@@ -402,8 +401,13 @@ def entity_details(spark: SparkSession, d: str) -> DataFrame:
 # Writes
 
 
-def _incoming(log: DataFrame) -> DataFrame:
-    return log.where(F.col("seq") >= SINCE).withColumn("pos", F.col("seq"))
+def _committed(spark: SparkSession, d: str) -> DataFrame:
+    """The log before SINCE; what is compared with it are newest versions and ends, which repeated rows do not change."""
+    return _log(spark, d).where(F.col("seq") < SINCE)
+
+
+def _incoming(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d, distinct=True).where(F.col("seq") >= SINCE).withColumn("pos", F.col("seq"))
 
 
 _WRITTEN = f"""{_VERS}, keyed AS (SELECT *, {_KEY} AS k FROM vers),
@@ -415,14 +419,12 @@ kept AS (SELECT dataset, entity_id, pos FROM batch LEFT JOIN committed USING (da
 @query(f"WITH {_WRITTEN.replace('{rule}', 'old IS NULL OR k <> old OR (prev IS NOT NULL AND k <> prev)')} SELECT dataset, entity_id, pos FROM kept")
 def write_noop_suppression(spark: SparkSession, d: str) -> DataFrame:
     """The rows from offset SINCE on written onto the log before it."""
-    log = _log(spark, d, distinct=True)
-    return mutation.new_versions(log.where(F.col("seq") < SINCE), _incoming(log)).select("dataset", "entity_id", "pos")
+    return mutation.new_versions(_committed(spark, d), _incoming(spark, d)).select("dataset", "entity_id", "pos")
 
 
 @query(f"WITH {_WRITTEN.replace('{rule}', 'CASE WHEN prev IS NULL THEN old IS NULL OR k <> old ELSE k <> prev END')} SELECT dataset, entity_id, pos FROM kept")
 def write_strict(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d, distinct=True)
-    return mutation.new_versions(log.where(F.col("seq") < SINCE), _incoming(log), strict=True).select("dataset", "entity_id", "pos")
+    return mutation.new_versions(_committed(spark, d), _incoming(spark, d), strict=True).select("dataset", "entity_id", "pos")
 
 
 @query(
@@ -430,8 +432,7 @@ def write_strict(spark: SparkSession, d: str) -> DataFrame:
 SELECT kept.dataset, coalesce(n, 0) + row_number() OVER (PARTITION BY kept.dataset ORDER BY pos, entity_id) - 1 AS seq, entity_id, {AT} AS recorded FROM kept LEFT JOIN ends USING (dataset)"""
 )
 def transaction_apply(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d, distinct=True)
-    return mutation.append(log.where(F.col("seq") < SINCE), _incoming(log), AT).select("dataset", "seq", "entity_id", "recorded")
+    return mutation.append(_committed(spark, d), _incoming(spark, d), AT).select("dataset", "seq", "entity_id", "recorded")
 
 
 @query(f"WITH {_LATEST} SELECT dataset, entity_id FROM latest WHERE NOT deleted AND dataset = {_SITE} || '.person' AND entity_id NOT IN (SELECT entity_id FROM vers WHERE dataset = {_SITE} || '.person' AND recorded > {AT})")

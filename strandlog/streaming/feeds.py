@@ -37,7 +37,7 @@ def run_job(changes: DataFrame, sink: Sink, checkpoint: str, transform: Callable
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-_STATE = "recorded bigint, batch_seq int, deleted boolean, props string, refs string"
+_STATE = "recorded bigint, batch_seq bigint, deleted boolean, props string, refs string"
 _OUT = "dataset string, entity_id string, " + _STATE
 
 

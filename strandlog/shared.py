@@ -54,3 +54,16 @@ class SharedFiles:
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), False)
+
+    def names(self) -> list[str]:
+        """The names that have a file, in order."""
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.folder))]
+        return sorted(n.removesuffix(".json") for n in found if n.endswith(".json") and not n.endswith(".new.json"))
+
+    def folders(self, below: str = "") -> list[tuple[str, float]]:
+        """(name, time of the last change) of the folders in ``below``."""
+        root = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{below}" if below else self.folder)
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self._fs.listStatus(root) if s.isDirectory()]
+
+    def remove_folder(self, name: str) -> None:
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)

@@ -136,3 +136,76 @@ def test_odd_rows(spark, store):
     assert store.store_entities("people", rows) == 2
     assert store.store_entities("people", rows) == 0
     assert store.store_entities("people", spark.createDataFrame([], ROWS)) == 0
+
+
+def folders(tmp_path):
+    return sorted(p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("batch="))
+
+
+def test_a_small_write_reads_only_what_it_touches(spark, store, monkeypatch):
+    monkeypatch.setattr("strandlog.store.BUCKET_ROWS", 10)
+    store.create_dataset("other")
+    store.store_entities("people", ids(spark, *range(160)))
+    store.store_entities("other", ids(spark, *range(160)))
+    assert [b["buckets"] for b in store._meta["batches"]] == [16, 16]
+    read = []
+    inner = store._touched
+    monkeypatch.setattr(store, "_touched", lambda rows: read.append(inner(rows)) or read[0])
+    assert store.store_entities("people", ids(spark, 7, 8, v=1)) == 2
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = read[0].select("*")
+        assert {r.entity_id for r in rows.collect()} == {"7", "8"}
+        leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    scans = [leaves.apply(i) for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles")]
+    assert sum(s.metrics().apply("numFiles").value() for s in scans) <= 2  # of 32
+    assert scans and not any("props" in s.requiredSchema().simpleString() for s in scans)
+
+
+def test_files_out_of_use_are_deleted(spark, store, tmp_path):
+    store.create_dataset("gone")
+    store.store_entities("people", ids(spark, 1))
+    store.store_entities("gone", ids(spark, 1))
+    store.transaction(ids(spark, 2).selectExpr("'people' dataset", "*").unionByName(ids(spark, 2).selectExpr("'gone' dataset", "*")))
+    store.compact()
+    store.compact()
+    (tmp_path / "store" / "batch=torn").mkdir()
+    assert len(folders(tmp_path)) == 6 and len(store._meta["batches"]) == 1  # the old ones have their grace
+    store.delete_dataset("gone")
+    assert store.collect_garbage() == 0
+    assert store.sweep(0) == 6 and folders(tmp_path) == [f"batch={store._meta['batches'][0]['name']}"]
+    assert {p.name for p in (tmp_path / "store" / folders(tmp_path)[0]).iterdir() if p.name.startswith("ds=")} == {"ds=people%231"}
+    again = EntityStore(spark, str(tmp_path / "store"))
+    assert sorted(r.entity_id for r in again.changes().collect()) == ["1", "2"] and again.sweep(0) == 0
+
+
+def test_small_batches_are_merged(spark, store, tmp_path, monkeypatch):
+    monkeypatch.setattr("strandlog.store.MERGE", 3)
+    for i in range(9):
+        assert store.store_entities("people", ids(spark, i)) == 1
+    assert len(store._meta["batches"]) == 1
+    rows = store.feed("people").collect()
+    assert [(r.seq, r.entity_id) for r in rows] == [(i, str(i)) for i in range(9)] and store.store_entities("people", ids(spark, *range(9))) == 0
+
+
+def test_renamed_datasets_keep_their_rows_apart(spark, store):
+    store.store_entities("people", ids(spark, 1))
+    store.rename_dataset("people", "odd#name")
+    store.create_dataset("people")
+    store.store_entities("people", ids(spark, 2))
+    assert {(r.dataset, r.entity_id) for r in store.changes().collect()} == {("odd#name", "1"), ("people", "2")}
+    assert store.store_entities("odd#name", ids(spark, 1)) == 0 and store.feed("odd#name").count() == 1
+
+
+def test_more_datasets_than_an_expression_names(spark, store, monkeypatch):
+    monkeypatch.setattr("strandlog.store.INLINE_DATASETS", 1)
+    store.create_dataset("b")
+    store.create_dataset("c")
+    store.rename_dataset("b", "b2")
+    store.rename_dataset("c", "c2")
+    for n in ("people", "b2", "c2"):
+        store.store_entities(n, ids(spark, n))
+    assert {(r.dataset, r.entity_id) for r in store.changes().collect()} == {("people", "people"), ("b2", "b2"), ("c2", "c2")}

@@ -67,6 +67,13 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def keep_path(spark: SparkSession, label: str) -> str:
+    """The path of a new intermediate table; :func:`release` deletes it."""
+    path = new_table_path(spark, label)
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -74,7 +81,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     later passes read only the columns they need. Survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = new_table_path(spark, label)
-    _WRITTEN.append(path)
+    path = keep_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

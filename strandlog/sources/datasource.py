@@ -28,21 +28,32 @@ class _Batch(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """The remote's continuation token is the offset."""
+    """The offset is the remote's continuation token and the number of rows read up to it.
+
+    After a failure the rows between two offsets are asked for again by their number, so
+    a batch comes again as it was, also if the remote has more by then.
+    """
 
     def __init__(self, options: dict):
         self.options = options
+        self.limit = int(options["limit"]) if "limit" in options else None
 
     def initialOffset(self) -> dict:
-        return {"token": self.options.get("since", "")}
+        return {"token": self.options.get("since", ""), "rows": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, following = get_page(self.options["url"], start["token"] or None)
-        return iter(rows), {"token": following or start["token"]}
+        rows, following = get_page(self.options["url"], start["token"] or None, self.limit)
+        return iter(rows), {"token": following or start["token"], "rows": start["rows"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, _ = get_page(self.options["url"], start["token"] or None)
-        return iter(rows)
+        token, left = start["token"], end["rows"] - start["rows"]
+        while left > 0:
+            rows, following = get_page(self.options["url"], token or None, left)
+            yield from rows[:left]
+            left -= len(rows)
+            if left > 0 and (not rows or following in (None, token)):
+                raise RuntimeError("the remote no longer has all rows of a batch that must be repeated")
+            token = following
 
 
 class EntityEndpoint(DataSource):

@@ -103,6 +103,39 @@ def parse_stream(text: str) -> tuple[list[tuple], str | None]:
     return rows, token
 
 
+def parse_entities(text: str) -> list[tuple]:
+    """Rows of a JSON array of entities without a context; names stay as they are."""
+    try:
+        doc = parse(text)
+    except ValueError as error:
+        raise FormatError(f"not a whole JSON array: {error}") from error
+    if not isinstance(doc, list) or not all(isinstance(e, dict) and isinstance(e.get("id"), str) for e in doc):
+        raise FormatError("not an array of entities")
+    return [(e["id"], e.get("recorded"), bool(e.get("deleted")), canonical(e.get("props") or {}), canonical(e.get("refs") or {})) for e in doc]
+
+
+def compact_rows(rows: list[tuple], prefixes: dict[str, str]) -> list[tuple]:
+    """Rows of :func:`parse_stream` with the names in CURIEs of ``prefixes`` (expansion to prefix); others stay URIs."""
+
+    def name(uri: str) -> str:
+        head, sep, tail = uri.rpartition("#" if "#" in uri else "/")
+        prefix = prefixes.get(head + sep)
+        return uri if prefix is None else f"{prefix}:{tail}"
+
+    def targets(refs: dict) -> dict:
+        return {name(n): [name(t) for t in v] if isinstance(v, list) else name(v) for n, v in refs.items()}
+
+    def value(v: Any) -> Any:
+        if isinstance(v, list):
+            return [value(x) for x in v]
+        if isinstance(v, dict):
+            change = {"id": name, "props": lambda p: {name(n): value(x) for n, x in p.items()}, "refs": targets}
+            return {k: change[k](x) if k in change else x for k, x in v.items()}
+        return v
+
+    return [(name(i), rec, d, canonical({name(n): value(v) for n, v in parse(p).items()}), canonical(targets(parse(r)))) for i, rec, d, p, r in rows]
+
+
 def parse_transaction(text: str) -> dict[str, list[tuple]]:
     """Dataset to rows of a transaction document; the context must come first."""
     try:
@@ -178,9 +211,17 @@ def jsonld(entities: DataFrame) -> DataFrame:
     return entities.select("entity_id", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("json"))
 
 
-def jsonld_context(context: dict) -> dict:
-    """The ``@context`` of JSON-LD output: the namespaces and the two prefixes the format itself uses."""
-    return {"@context": {**context["namespaces"], "core": "urn:core:", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}}
+#: What ``core`` expands to unless the caller or the namespaces say otherwise.
+CORE = "urn:core:"
+
+
+def jsonld_context(context: dict, core: str = CORE) -> dict:
+    """The ``@context`` of JSON-LD output: the namespaces and the two prefixes the format itself uses.
+
+    ``core`` names the terms of the continuation. Its expansion is a matter of
+    configuration: a namespace of that prefix counts first, then the argument.
+    """
+    return {"@context": {"core": core, **context["namespaces"], "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}}
 
 
 def jsonld_continuation(token: str) -> dict:

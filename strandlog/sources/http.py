@@ -9,9 +9,10 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from .formats import entity_json, parse_stream
+from .formats import compact_rows, entity_json, parse_entities, parse_stream
 
 TokenProvider = Callable[[], str]
 
@@ -19,7 +20,7 @@ TokenProvider = Callable[[], str]
 TIMEOUT, TRIES, PAUSE = 3600, 3, 2.0
 
 
-def _request(url: str, data: bytes | None = None, headers: dict | None = None, token: TokenProvider | None = None, timeout: float = TIMEOUT) -> bytes:
+def _request(url: str, data: bytes | None = None, headers: dict | None = None, token: TokenProvider | None = None, timeout: float | None = TIMEOUT) -> bytes:
     h = dict(headers or {})
     if token is not None:
         h["Authorization"] = f"Bearer {token()}"
@@ -27,6 +28,18 @@ def _request(url: str, data: bytes | None = None, headers: dict | None = None, t
         return r.read()
 
 
+def _send(url: str, body: bytes, headers: dict, token: TokenProvider | None = None, tries: int = TRIES, pause: float = PAUSE) -> None:
+    """A post that is tried again when it fails."""
+    for n in range(tries):
+        try:
+            _request(url, body, {"Content-Type": "application/json", **headers}, token)
+            return
+        except (urllib.error.URLError, OSError):
+            if n + 1 == tries:
+                raise
+            time.sleep(pause)
+
+
 def with_query(url: str, **query: object) -> str:
     """``url`` with query parameters added; nulls are left out."""
     kept = {k: v for k, v in query.items() if v is not None}
@@ -39,45 +52,28 @@ def get_page(url: str, since: str | None = None, limit: int | None = None, lates
     return parse_stream(_request(full, token=token).decode())
 
 
-def read_pages(spark: SparkSession, url: str, since: str | None = None, token: TokenProvider | None = None, limit: int | None = None) -> Iterator[tuple[DataFrame, str | None]]:
-    """Pages of a remote dataset with the token to go on from, until nothing new comes."""
-    schema = "entity_id string, recorded bigint, deleted boolean, props string, refs string"
-    while True:
-        rows, following = get_page(url, since, limit, token=token)
-        yield spark.createDataFrame(rows, schema), following
-        if not rows or following is None or following == since:
-            return
-        since = following
-
-
-def post_entities(entities: DataFrame, url: str, context: dict, headers: dict | None = None, batch: int = 1000, tries: int = TRIES, pause: float = PAUSE) -> None:
+def post_entities(entities: DataFrame, url: str, context: dict, headers: dict | None = None, batch: int = 1000, tries: int = TRIES, pause: float = PAUSE, token: TokenProvider | None = None) -> None:
     """Every partition posts its entities in batches; a failed request is tried again.
 
     The receiver sees a batch more than once if a task is repeated; it must treat equal
-    versions as no change.
+    versions as no change. ``token`` is called where a request is made, so it must be
+    something that can be sent to other machines.
     """
     head = json.dumps(context)
 
-    def send(rows: list[str]) -> None:
-        body = ("[" + ",".join([head, *rows]) + "]").encode()
-        for n in range(tries):
-            try:
-                _request(url, body, {"Content-Type": "application/json", **(headers or {})})
-                return
-            except (urllib.error.URLError, OSError):
-                if n + 1 == tries:
-                    raise
-                time.sleep(pause)
-
     def work(part: Iterator) -> None:
         held: list[str] = []
+
+        def send() -> None:
+            _send(url, ("[" + ",".join([head, *held]) + "]").encode(), headers or {}, token, tries, pause)
+            held.clear()
+
         for row in part:
             held.append(row.json)
             if len(held) >= batch:
-                send(held)
-                held = []
+                send()
         if held:
-            send(held)
+            send()
 
     entity_json(entities).foreachPartition(work)
 
@@ -92,26 +88,39 @@ def full_sync_headers(sync_id: str, start: bool = False, end: bool = False) -> d
     return h
 
 
-def post_full_sync(entities: DataFrame, url: str, context: dict, sync_id: str, batch: int = 1000) -> None:
-    """A whole dataset as one full sync: start, entities from all partitions, end."""
-    _request(url, json.dumps([context]).encode(), {"Content-Type": "application/json", **full_sync_headers(sync_id, start=True)})
-    post_entities(entities, url, context, full_sync_headers(sync_id), batch)
-    _request(url, json.dumps([context]).encode(), {"Content-Type": "application/json", **full_sync_headers(sync_id, end=True)})
+def post_full_sync(entities: DataFrame, url: str, context: dict, sync_id: str, batch: int = 1000, tries: int = TRIES, pause: float = PAUSE, token: TokenProvider | None = None) -> None:
+    """A whole dataset as one full sync: start, entities from all partitions, end; each request is tried again when it fails."""
+    empty = json.dumps([context]).encode()
+    _send(url, empty, full_sync_headers(sync_id, start=True), token, tries, pause)
+    post_entities(entities, url, context, full_sync_headers(sync_id), batch, tries, pause, token)
+    _send(url, empty, full_sync_headers(sync_id, end=True), token, tries, pause)
 
 
-def http_transform(url: str, timeout: float = 60, batch: int = 1000) -> Callable[[DataFrame], DataFrame]:
-    """A transform that posts batches of entity rows as JSON and takes the rows that come back."""
+_ROWS = "entity_id string, recorded bigint, deleted boolean, props string, refs string"
+_ARROW = pa.schema([("entity_id", pa.string()), ("recorded", pa.int64()), ("deleted", pa.bool_()), ("props", pa.string()), ("refs", pa.string())])
 
-    def transform(df: DataFrame) -> DataFrame:
-        def work(batches: Iterator) -> Iterator:
-            import pandas as pd
 
-            for pdf in batches:
-                for at in range(0, len(pdf), batch):
-                    body = pdf.iloc[at : at + batch].to_json(orient="records").encode()
-                    back = json.loads(_request(url, body, {"Content-Type": "application/json"}, timeout=timeout))
-                    yield pd.DataFrame(back, columns=list(pdf.columns))
+def http_transform(url: str, timeout: float | None = 60, batch: int = 1000, context: dict | None = None, token: TokenProvider | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A transform that posts batches of entities as a JSON array and takes the entities that come back.
 
-        return df.mapInPandas(work, df.schema)
+    With a ``context`` it is the first element both ways, and names come back in its
+    spelling; expansions that it does not have stay full URIs. A ``timeout`` of 0 or None
+    sets no limit. Rows come back as ``(entity_id, recorded, deleted, props, refs)``.
+    """
+    head = [json.dumps(context)] if context is not None else []
+    prefixes = {e: p for p, e in (context or {}).get("namespaces", {}).items()}
+
+    def transform(df: DataFrame) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                texts = part.column("json").to_pylist()
+                for at in range(0, len(texts), batch):
+                    body = ("[" + ",".join([*head, *texts[at : at + batch]]) + "]").encode()
+                    back = _request(url, body, {"Content-Type": "application/json"}, token, timeout or None).decode()
+                    rows = compact_rows(parse_stream(back)[0], prefixes) if head else parse_entities(back)
+                    cols = list(zip(*rows)) or [()] * len(_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+
+        return entity_json(df).select("json").mapInArrow(work, _ROWS)
 
     return transform

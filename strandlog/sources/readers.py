@@ -5,18 +5,23 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterable
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..identity import Namespaces
 from ..operators import incremental, snapshot
-from ..operators.incremental import Dependency, dependencies_from_config
-from .http import TokenProvider, read_pages
+from ..operators.incremental import Dependency, Tracker, dependencies_from_config
+from ..session import keep_path
+from .durations import seconds
+from .http import TokenProvider, get_page
+
+if TYPE_CHECKING:
+    from ..store import EntityStore
 
 Log = Callable[[], DataFrame]
-ENTITY = ("entity_id", "deleted", "props", "refs")
+ENTITY_ROWS = "entity_id string, recorded bigint, deleted boolean, props string, refs string"
 
 
 class Source(Protocol):
@@ -107,18 +112,23 @@ class MultiSource:
 class HttpDatasetSource:
     """A remote dataset; the token is the remote's own. Also reads proxy datasets."""
 
-    def __init__(self, spark: SparkSession, url: str, token_provider: TokenProvider | None = None, page: int | None = None):
-        self.spark, self.url, self.provider, self.page = spark, url, token_provider, page
+    def __init__(self, spark: SparkSession, url: str, token_provider: TokenProvider | None = None, page: int | None = None, latest_only: bool = False):
+        self.spark, self.url, self.provider, self.page, self.latest_only = spark, url, token_provider, page, latest_only
 
     def read(self, token: str, limit: int | None = None) -> tuple[DataFrame, str]:
-        rows, following = next(iter(read_pages(self.spark, self.url, token or None, self.provider, limit or self.page)))
-        return rows, following or token
+        rows, following = get_page(self.url, token or None, limit or self.page, self.latest_only, token=self.provider)
+        return self.spark.createDataFrame(rows, ENTITY_ROWS), following or token
 
     def read_all(self) -> tuple[DataFrame, str]:
-        out, last = None, ""
-        for rows, following in read_pages(self.spark, self.url, None, self.provider, self.page):
-            out, last = rows if out is None else out.unionByName(rows), following or last
-        return out, last
+        """All pages, one after another, into a table on shared storage: the driver holds one page at a time."""
+        path, last, pos, token = keep_path(self.spark, "remote"), "", 0, None
+        while True:
+            rows, following = get_page(self.url, token, self.page, self.latest_only, token=self.provider)
+            self.spark.createDataFrame([(*r, pos + n) for n, r in enumerate(rows)], ENTITY_ROWS + ", pos bigint").coalesce(1).write.mode("append").parquet(path)
+            pos, last = pos + len(rows), following or last
+            if not rows or following is None or following == token:
+                return self.spark.read.schema(ENTITY_ROWS + ", pos bigint").parquet(path), last
+            token = following
 
 
 class VirtualSource:
@@ -137,14 +147,12 @@ class VirtualSource:
 class SampleSource:
     """``n`` made-up entities ``e-0 ...``; the token is the number already given."""
 
-    def __init__(self, spark: SparkSession, n: int, pause: float = 0.0):
-        self.spark, self.n, self.pause = spark, n, pause
+    def __init__(self, spark: SparkSession, n: int):
+        self.spark, self.n = spark, n
 
     def read(self, token: str, limit: int | None = None) -> tuple[DataFrame, str]:
         a = int(token or 0)
         b = self.n if limit is None else min(self.n, a + limit)
-        if self.pause:
-            time.sleep(self.pause)
         rows = self.spark.range(a, max(a, b)).select(F.concat(F.lit("e-"), F.col("id").cast("string")).alias("entity_id"), F.lit(False).alias("deleted"), F.lit("{}").alias("props"), F.lit("{}").alias("refs"))
         return rows, str(max(a, b))
 
@@ -152,6 +160,20 @@ class SampleSource:
         return self.read("", None)
 
 
+class SlowSource:
+    """``n`` entities after a pause, the same at every read; there is nothing to go on from."""
+
+    def __init__(self, spark: SparkSession, n: int, pause: float):
+        self.sample, self.pause = SampleSource(spark, n), pause
+
+    def read(self, token: str, limit: int | None = None) -> tuple[DataFrame, str]:
+        time.sleep(self.pause)
+        return self.sample.read("")[0], ""
+
+    def read_all(self) -> tuple[DataFrame, str]:
+        return self.read("")
+
+
 class RequeueSource:
     """Rows a job failed on before, then its main source."""
 
@@ -166,21 +188,90 @@ class RequeueSource:
         return self.main.read_all()
 
 
-def make_source(config: dict, spark: SparkSession, log: Log, namespaces: Namespaces | None = None, registry: dict[str, Callable] | None = None) -> Source:
-    """A source from its job configuration; unknown or incomplete ones are errors."""
+#: The keys that each type of source takes.
+_KEYS = {
+    "DatasetSource": {"Name", "LatestOnly"},
+    "UnionDatasetSource": {"DatasetSources", "LatestOnly"},
+    "MultiSource": {"Name", "Dependencies", "LatestOnly"},
+    "HttpDatasetSource": {"Url", "TokenProvider"},
+    "SampleSource": {"NumberOfEntities"},
+    "SlowSource": {"BatchSize", "Sleep"},
+    "VirtualSource": {"Name", "Params"},
+}
+
+
+def flag(value: object) -> bool:
+    """A flag given as such or as text."""
+    if isinstance(value, str):
+        if value.lower() not in ("true", "false", "1", "0", "t", "f"):
+            raise ValueError(f"no flag: {value!r}")
+        return value.lower() in ("true", "1", "t")
+    return bool(value)
+
+
+def checked(config: dict, keys: dict[str, set[str]], what: str) -> str:
+    """The type of a part of a job configuration; unknown types and keys are errors, so none is ignored."""
     kind = config.get("Type")
+    if kind not in keys:
+        raise ValueError(f"unknown {what} type {kind}")
+    if unknown := set(config) - keys[kind] - {"Type"}:
+        raise ValueError(f"{kind} does not know {sorted(unknown)}")
+    return kind
+
+
+def named(table: dict | None, name: str | None, what: str) -> Callable | None:
+    """The registered function of a name (case does not matter); None for no name, an error for an unknown one."""
+    if not name:
+        return None
+    found = {k.lower(): f for k, f in (table or {}).items()}.get(name.lower())
+    if found is None:
+        raise ValueError(f"no {what} {name} is registered")
+    return found
+
+
+def make_source(
+    config: dict,
+    spark: SparkSession,
+    log: Log,
+    namespaces: Namespaces | Callable[[], Namespaces] | None = None,
+    registry: dict[str, Callable] | None = None,
+    store: "EntityStore | None" = None,
+    tokens: dict[str, TokenProvider] | None = None,
+    track: Callable[[Tracker], None] | None = None,
+) -> Source:
+    """A source from its job configuration; unknown or incomplete ones are errors.
+
+    With a ``store`` a proxy dataset becomes the remote it stands for and a virtual one
+    the function that builds it. ``track`` registers the queries of the job's transform
+    as dependencies of a multi source.
+    """
+    kind = checked(config, _KEYS, "source")
+    latest = flag(config.get("LatestOnly", False))
+    held = lambda name: (store.dataset(name) if store is not None else None) or {"kind": "regular"}
     if kind == "DatasetSource":
-        return DatasetSource(log, config["Name"], bool(config.get("LatestOnly")))
+        d = held(config["Name"])
+        if d["kind"] == "proxy":
+            return HttpDatasetSource(spark, d["url"].rstrip("/") + "/changes", named(tokens, d.get("token_provider"), "token provider"), latest_only=latest)
+        if d["kind"] == "virtual":
+            return VirtualSource(named(registry, d["build"], "function"), d.get("params"))
+        return DatasetSource(log, config["Name"], latest)
     if kind == "UnionDatasetSource":
-        return UnionDatasetSource(log, [c["Name"] for c in config["DatasetSources"]], bool(config.get("LatestOnly")))
+        names = [c["Name"] for c in config["DatasetSources"]]
+        if odd := [n for n in names if held(n)["kind"] != "regular"]:
+            raise ValueError(f"{odd} cannot be part of a union")
+        return UnionDatasetSource(log, names, latest or any(flag(c.get("LatestOnly", False)) for c in config["DatasetSources"]))
     if kind == "MultiSource":
-        return MultiSource(log, config["Name"], dependencies_from_config(config.get("Dependencies", []), config["Name"]), namespaces, bool(config.get("LatestOnly")))
+        proxies = frozenset(n for n in (store.dataset_names() if store is not None else ()) if held(n)["kind"] == "proxy")
+        found = dependencies_from_config(config.get("Dependencies") or [], config["Name"], proxies)
+        if track is not None:
+            tracker = Tracker(config["Name"], proxies)
+            track(tracker)
+            found += [d for d in tracker.dependencies() if d not in found]
+        return MultiSource(log, config["Name"], found, namespaces, latest)
     if kind == "HttpDatasetSource":
-        return HttpDatasetSource(spark, config["Url"], (registry or {}).get(config.get("TokenProvider")))
+        return HttpDatasetSource(spark, config["Url"], named(tokens, config.get("TokenProvider"), "token provider"))
     if kind == "SampleSource":
-        return SampleSource(spark, int(config["NumberOfEntities"]))
+        return SampleSource(spark, int(config.get("NumberOfEntities") or 0))
     if kind == "SlowSource":
-        return SampleSource(spark, int(config["BatchSize"]), float(config.get("Sleep", 0)))
-    if kind == "VirtualSource":
-        return VirtualSource((registry or {})[config["Name"]], config.get("Params"))
-    raise ValueError(f"unknown source type {kind}")
+        return SlowSource(spark, int(config.get("BatchSize") or 0), seconds(config.get("Sleep", 0)))
+    return VirtualSource(named(registry, config["Name"], "function"), config.get("Params"))

@@ -9,7 +9,8 @@ from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import DataFrame
 
-from .http import post_entities, post_full_sync
+from .http import TokenProvider, post_entities, post_full_sync
+from .readers import checked, flag, named
 
 if TYPE_CHECKING:
     from ..store import EntityStore
@@ -26,28 +27,34 @@ class Sink(Protocol):
 class DatasetSink:
     """Appends real changes to a dataset; a full write also deletes what was not delivered."""
 
-    def __init__(self, store: "EntityStore", name: str):
-        self.store, self.name = store, name
+    def __init__(self, store: "EntityStore", name: str, changed: Callable[[str], object] | None = None):
+        self.store, self.name, self.changed = store, name, changed
+
+    def _announce(self, n: int) -> int:
+        if n and self.changed is not None:
+            self.changed(f"dataset.{self.name}")
+        return n
 
     def write(self, entities: DataFrame) -> int:
-        return self.store.store_entities(self.name, entities)
+        return self._announce(self.store.store_entities(self.name, entities))
 
     def write_all(self, entities: DataFrame) -> int:
-        return self.store.full_sync(self.name, entities)
+        return self._announce(self.store.full_sync(self.name, entities))
 
 
 class HttpDatasetSink:
     """Posts entities to a remote dataset; also writes proxy datasets."""
 
-    def __init__(self, url: str, context: dict, batch: int = 1000):
-        self.url, self.context, self.batch = url, context, batch
+    def __init__(self, url: str, context: dict | Callable[[], dict], batch: int = 1000, token: TokenProvider | None = None):
+        self.url, self.batch, self.token = url, batch, token
+        self.context = context if callable(context) else lambda: context  # a function gives the namespaces as they are at the write
 
     def write(self, entities: DataFrame) -> int:
-        post_entities(entities, self.url, self.context, batch=self.batch)
+        post_entities(entities, self.url, self.context(), batch=self.batch, token=self.token)
         return -1
 
     def write_all(self, entities: DataFrame) -> int:
-        post_full_sync(entities, self.url, self.context, uuid.uuid4().hex, self.batch)
+        post_full_sync(entities, self.url, self.context(), uuid.uuid4().hex, self.batch, token=self.token)
         return -1
 
 
@@ -80,16 +87,26 @@ class ConsoleSink:
     write_all = write
 
 
-def make_sink(config: dict, store: "EntityStore | None" = None, context: dict | None = None) -> Sink:
-    """A sink from its job configuration; a proxy dataset becomes the remote it stands for."""
-    kind = config.get("Type")
+#: The keys that each type of sink takes.
+_KEYS = {"DatasetSink": {"Name"}, "HttpDatasetSink": {"Url", "TokenProvider"}, "DevNullSink": set(), "ConsoleSink": {"Prefix", "Detailed"}}
+
+
+def make_sink(config: dict, store: "EntityStore | None" = None, context: dict | Callable[[], dict] | None = None, tokens: dict[str, TokenProvider] | None = None, changed: Callable[[str], object] | None = None) -> Sink:
+    """A sink from its job configuration; a proxy dataset becomes the remote it stands for.
+
+    ``changed`` is called with ``dataset.<name>`` after a write that changed a local dataset.
+    """
+    kind = checked(config, _KEYS, "sink")
+    context = context or {"id": "@context", "namespaces": {}}
     if kind == "DatasetSink":
-        proxy = store.proxy_url(config["Name"]) if store is not None else None
-        return HttpDatasetSink(proxy, context or {"id": "@context", "namespaces": {}}) if proxy else DatasetSink(store, config["Name"])
+        held = (store.dataset(config["Name"]) if store is not None else None) or {"kind": "regular"}
+        if held["kind"] == "virtual":
+            raise ValueError("a virtual dataset cannot be written")
+        if held["kind"] == "proxy":
+            return HttpDatasetSink(held["url"].rstrip("/") + "/entities", context, token=named(tokens, held.get("token_provider"), "token provider"))
+        return DatasetSink(store, config["Name"], changed)
     if kind == "HttpDatasetSink":
-        return HttpDatasetSink(config["Url"], context or {"id": "@context", "namespaces": {}})
+        return HttpDatasetSink(config["Url"], context, token=named(tokens, config.get("TokenProvider"), "token provider"))
     if kind == "DevNullSink":
         return DevNullSink()
-    if kind == "ConsoleSink":
-        return ConsoleSink(config.get("Prefix", ""), bool(config.get("Detailed")))
-    raise ValueError(f"unknown sink type {kind}")
+    return ConsoleSink(config.get("Prefix", ""), flag(config.get("Detailed", False)))

@@ -5,13 +5,14 @@ from urllib.parse import parse_qs, urlparse
 
 import pytest
 
+from strandlog.api import Hub
 from strandlog.identity import Namespaces
 from strandlog.model import SCHEMA
 from strandlog.plans.pipeline import JobState, Pipeline
 from strandlog.sources import formats
-from strandlog.sources.datasource import register_endpoint, register_virtual
+from strandlog.sources.datasource import _Stream, register_endpoint, register_virtual
 from strandlog.sources.http import get_page, http_transform, post_entities, post_full_sync, with_query
-from strandlog.sources.readers import HttpDatasetSource
+from strandlog.sources.readers import HttpDatasetSource, make_source
 from strandlog.sources.sinks import HttpDatasetSink
 
 CONTEXT = {"id": "@context", "namespaces": {"a": "http://a.invalid/", "_": "http://d.invalid/"}}
@@ -100,7 +101,9 @@ class Remote(BaseHTTPRequestHandler):
             Remote.fail -= 1
             self.answer("", 500)
         elif self.path == "/transform":
-            self.answer(json.dumps([{**e, "entity_id": e["entity_id"] + "!"} for e in body]))
+            Remote.posts.append((dict(self.headers), body))
+            back = [{**e, "id": e["id"] + "!"} if e["id"] != "@context" else {"id": "@context", "namespaces": {**e["namespaces"], "n": "http://new.invalid/"}} for e in body]
+            self.answer(json.dumps(back + [{"id": "n:9", "refs": {"a:r": ["a:1", "n:2"]}}] * (body[0]["id"] == "@context")))
         else:
             Remote.posts.append((dict(self.headers), body))
             self.answer("")
@@ -153,8 +156,47 @@ def test_remote_sink(spark, remote, tmp_path):
 
 
 def test_remote_transform(spark, remote):
-    df = spark.createDataFrame([("x", "{}"), ("y", "{}")], "entity_id string, props string")
-    assert sorted(r.entity_id for r in http_transform(remote + "/transform")(df).collect()) == ["x!", "y!"]
+    df = spark.createDataFrame([("d", 0, "a:x", 5, 0, False, '{"a:p":1}', "{}"), ("d", 1, "a:y", 6, 0, True, "{}", '{"a:r":"a:x"}')], SCHEMA).coalesce(1)
+    got = http_transform(remote + "/transform", token=lambda: "secret")(df).collect()
+    assert [tuple(r) for r in got] == [("a:x!", 5, False, '{"a:p":1}', "{}"), ("a:y!", 6, True, "{}", '{"a:r":"a:x"}')]
+    heads, body = Remote.posts[0]
+    assert heads["Authorization"] == "Bearer secret" and body[0] == {"id": "a:x", "recorded": 5, "deleted": False, "refs": {}, "props": {"a:p": 1}}
+    got = http_transform(remote + "/transform", 0, context=CONTEXT)(df).collect()
+    assert [r.entity_id for r in got] == ["a:x!", "a:y!", "http://new.invalid/9"] and json.loads(got[2].refs) == {"a:r": ["a:1", "http://new.invalid/2"]} and Remote.posts[1][1][0] == CONTEXT
+
+
+def test_proxies_and_token_providers_of_jobs(spark, remote, tmp_path):
+    hub = Hub(spark, str(tmp_path), tokens={"Keeper": lambda: "secret"})
+    hub.create_dataset("local")
+    hub.create_dataset("away", kind="proxy", url=remote, token_provider="keeper")
+    trigger = [{"triggerType": "cron", "jobType": "incremental", "schedule": "@daily"}]
+    hub.add_job({"id": "in", "title": "in", "source": {"Type": "DatasetSource", "Name": "away"}, "sink": {"Type": "DatasetSink", "Name": "local"}, "triggers": trigger})
+    assert hub.jobs.run("in")["processed"] == 5 and hub.entities("local").count() == 5
+    assert "Bearer secret" in hub.entities("local").first().props and hub.jobs.run("in")["processed"] == 0
+    assert hub.changes("away", "3")[0].count() == 2
+    hub.add_job({"id": "out", "title": "out", "source": {"Type": "DatasetSource", "Name": "local"}, "sink": {"Type": "DatasetSink", "Name": "away"}, "transform": {"Type": "HttpTransform", "Url": remote + "/transform", "TokenProvider": "KEEPER"}, "triggers": trigger})
+    assert hub.jobs.run("out")["ok"] and {h["Authorization"] for h, _ in Remote.posts} == {"Bearer secret"}
+    assert all(e["id"].endswith("!") for _, b in Remote.posts if b[0]["id"] == "@context" for e in b[1:])
+
+
+def test_a_repeated_stream_batch_is_the_same(remote):
+    stream = _Stream({"url": remote})
+    rows, end = stream.read(stream.initialOffset())
+    first = list(rows)
+    Remote.entities = [*Remote.entities, "a:late"]
+    try:
+        assert end == {"token": "2", "rows": 2} and list(stream.readBetweenOffsets(stream.initialOffset(), end)) == first
+        rows, end2 = stream.read(end)
+        assert list(stream.readBetweenOffsets(stream.initialOffset(), end2)) == first + list(rows)
+        with pytest.raises(RuntimeError, match="repeated"):
+            list(stream.readBetweenOffsets(stream.initialOffset(), {"token": "x", "rows": 99}))
+    finally:
+        Remote.entities = Remote.entities[:-1]
+
+
+def test_a_slow_source_gives_its_entities_every_time(spark):
+    source = make_source({"Type": "SlowSource", "BatchSize": 3, "Sleep": "10ms"}, spark, None)
+    assert [source.read(t)[0].count() for t in ("", source.read("")[1])] == [3, 3]
 
 
 def test_virtual_dataset_in_sql(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +15,14 @@ from .operators import graph, maintenance, snapshot
 from .plans.pipeline import ErrorPolicy, EventBus, JobManager, JobState, Pipeline, error_policies
 from .plans.query import Query, Result, run_query
 from .sources import formats
-from .sources.readers import make_source
+from .sources.http import http_transform
+from .sources.readers import checked, flag, make_source, named
 from .sources.sinks import make_sink
 from .store import EntityStore
 
+#: The keys that each type of transform takes.
+_TRANSFORM_KEYS = {"HttpTransform": {"Url", "TokenProvider", "TimeOut", "SupportContext"}, "FunctionTransform": {"Name", "Parallelism"}}
+
 _INCOMING = "entity_id string, recorded bigint, deleted boolean, props string, refs string"
 
 
@@ -26,16 +30,27 @@ class Hub:
     """Datasets, queries, jobs and maintenance over one folder of shared storage.
 
     Documents are entity streams or transactions as text; entities come back as frames,
-    or as documents by :meth:`document`.
+    or as documents by :meth:`document`. ``functions`` are user code that configurations
+    name: transforms (frame to frame; an attribute ``track_queries`` registers what they
+    look up), builders of virtual datasets and queries. ``tokens`` are token providers by
+    name. Jobs added by configuration alone are kept and are there again after a restart;
+    those that cannot be built then are in ``broken``. ``core_namespace`` is what ``core``
+    expands to in JSON-LD.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, rules: list[Rule] | None = None):
-        self.spark, self.rules = spark, rules
+    def __init__(self, spark: SparkSession, folder: str, rules: list[Rule] | None = None, functions: dict[str, Callable] | None = None, tokens: dict[str, Callable[[], str]] | None = None, core_namespace: str = formats.CORE):
+        self.spark, self.rules, self.functions, self.tokens, self.core_namespace = spark, rules, functions or {}, tokens or {}, core_namespace
         self.store = EntityStore(spark, os.path.join(folder, "store"))
         self.jobs = JobManager(JobState(os.path.join(folder, "jobs")))
         self.bus = EventBus()
         self.jobs.attach(self.bus)
         self._seen: dict[str, DataFrame] = {}
+        self.broken: dict[str, str] = {}
+        for config in self.jobs.stored():
+            try:
+                self.add_job(config)
+            except ValueError as error:  # a function or token provider that is not registered any more
+                self.broken[config["id"]] = str(error)
 
     # namespaces
 
@@ -98,7 +113,12 @@ class Hub:
         return snapshot.entity_page(self.store.entities(dataset), after, limit)
 
     def changes(self, dataset: str, since: str = "", limit: int | None = None, latest_only: bool = False, reverse: bool = False) -> tuple[DataFrame, str]:
-        """(rows, token to go on from)."""
+        """(rows, token to go on from). Proxy datasets ask their remote, virtual ones their function."""
+        if self.store.dataset(dataset)["kind"] != "regular":
+            if reverse:
+                raise ValueError(f"{dataset} cannot be read in reverse")
+            source = make_source({"Type": "DatasetSource", "Name": dataset, "LatestOnly": latest_only}, self.spark, self.store.changes, registry=self.functions, store=self.store, tokens=self.tokens)
+            return source.read(since, limit)
         start = int(snapshot.decode_token(since) or 0)
         page = self.store.feed(dataset, start, limit=limit, only_latest=latest_only, reverse=reverse)
         if reverse:
@@ -110,7 +130,7 @@ class Hub:
         """Rows as the parts of an entity stream, or of a JSON-LD list; one partition is held at a time."""
         context = self.store.context(dataset)
         if jsonld:
-            yield "[" + json.dumps(formats.jsonld_context(context))
+            yield "[" + json.dumps(formats.jsonld_context(context, self.core_namespace))
             for r in formats.jsonld(rows).toLocalIterator():
                 yield "," + r.json
             if token is not None:
@@ -160,12 +180,52 @@ class Hub:
     # jobs
 
     def add_job(self, config: dict, transforms: list | None = None) -> None:
-        """Builds the job's source, sink and error policies from its configuration and registers it."""
+        """Builds the job's source, transform, sink and error policies from its configuration and registers it.
+
+        ``transforms`` are functions given as such, after the configured one; a job that
+        has any is not kept over a restart, because functions cannot be stored.
+        """
         self.jobs.verify(config)
         policies = error_policies(config["triggers"])
-        source = make_source(config["source"], self.spark, self.store.changes)
-        sink = make_sink(config["sink"], self.store, self.store.context())
-        self.jobs.add(config, Pipeline(config["id"], source, sink, self.jobs.state, list(transforms or []), batch=int(config.get("batchSize") or 10_000), errors=policies.get("incremental", ErrorPolicy()), full_errors=policies.get("fullsync", ErrorPolicy())))
+        steps, track = self._transform(config.get("transform"))
+        source = make_source(config["source"], self.spark, self.store.changes, registry=self.functions, store=self.store, tokens=self.tokens, track=track)
+        sink = make_sink(config["sink"], self.store, self.store.context, self.tokens, self.bus.emit)
+        pipeline = Pipeline(config["id"], source, sink, self.jobs.state, [*steps, *(transforms or [])], batch=int(config.get("batchSize") or 10_000), errors=policies.get("incremental", ErrorPolicy()), full_errors=policies.get("fullsync", ErrorPolicy()))
+        self.jobs.add(config, pipeline, keep=not transforms)
+        self.broken.pop(config["id"], None)
+
+    def _transform(self, config: dict | None) -> tuple[list, Callable | None]:
+        """(steps, what registers the queries) of a configured transform.
+
+        ``HttpTransform`` posts entities to ``Url``; ``FunctionTransform`` calls the
+        registered function ``Name``, with ``Parallelism`` on rows spread over as many tasks.
+        """
+        if not config:
+            return [], None
+        if config.get("Type") == "JavascriptTransform":
+            raise ValueError("JavaScript is not run here: register a Python function and name it in a FunctionTransform")
+        if checked(config, _TRANSFORM_KEYS, "transform") == "HttpTransform":
+            token = named(self.tokens, config.get("TokenProvider"), "token provider")
+
+            def post(df: DataFrame) -> DataFrame:  # the namespaces as they are at the run
+                return http_transform(config["Url"], float(config.get("TimeOut") or 0), context=self.store.context() if flag(config.get("SupportContext", False)) else None, token=token)(df)
+
+            return [post], None
+        function, n = named(self.functions, config["Name"], "function"), int(config.get("Parallelism") or 0)
+        return [(lambda df: function(df.repartition(n))) if n > 1 else function], getattr(function, "track_queries", None)
+
+    def user_query(self, name: str, **params: object) -> Iterator[str]:
+        """The result of the registered query function, called with this object, as the parts of a JSON array.
+
+        It gives a frame, whose rows become objects, or JSON values one by one; one
+        partition of a frame is held at a time.
+        """
+        result = named(self.functions, name, "function")(self, **params)
+        parts = (r.json for r in result.select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()) if isinstance(result, DataFrame) else (json.dumps(x) for x in result)
+        yield "["
+        for n, part in enumerate(parts):
+            yield ("," if n else "") + part
+        yield "]"
 
     # maintenance
 

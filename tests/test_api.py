@@ -100,7 +100,7 @@ def test_paged_query_stops_when_told(spark):
 
 
 def test_jobs_run_on_change(hub):
-    config = {"id": "copy", "source": {"Type": "DatasetSource", "Name": "people"}, "sink": {"Type": "DatasetSink", "Name": "companies"}, "triggers": [{"triggerType": "onchange", "jobType": "incremental", "monitoredDataset": "people"}, {"triggerType": "cron", "jobType": "fullsync", "schedule": "@daily"}]}
+    config = {"id": "copy", "title": "Copy", "source": {"Type": "DatasetSource", "Name": "people"}, "sink": {"Type": "DatasetSink", "Name": "companies"}, "triggers": [{"triggerType": "onchange", "jobType": "incremental", "monitoredDataset": "people"}, {"triggerType": "cron", "jobType": "fullsync", "schedule": "@daily"}]}
     hub.add_job(config)
     hub.post_entities("people", doc({"id": "p:1"}))
     assert hub.entities("companies").count() == 1 and hub.jobs.history("copy")[0]["processed"] == 1
@@ -164,7 +164,7 @@ def test_error_handlers_of_a_job_are_used(hub):
         return df.withColumn("props", F.when(F.col("entity_id").endswith("2"), F.raise_error(F.lit("bad row"))).otherwise(F.col("props")))
 
     def job(name, handlers, kind="incremental"):
-        return {"id": name, "source": {"Type": "DatasetSource", "Name": "people"}, "sink": {"Type": "DatasetSink", "Name": "companies"}, "triggers": [{"triggerType": "cron", "jobType": kind, "schedule": "@daily", "onError": handlers}]}
+        return {"id": name, "title": name, "source": {"Type": "DatasetSource", "Name": "people"}, "sink": {"Type": "DatasetSink", "Name": "companies"}, "triggers": [{"triggerType": "cron", "jobType": kind, "schedule": "@daily", "onError": handlers}]}
 
     hub.post_entities("people", doc(*[{"id": f"p:{i}"} for i in range(4)]))
     hub.add_job(job("log", [{"errorHandler": "log"}]), [no_bad])
@@ -184,3 +184,70 @@ def test_error_handlers_of_a_job_are_used(hub):
     for wrong in (job("q", [{"errorHandler": "reQueue"}]), job("f", [{"errorHandler": "log"}], "fullsync")):
         with pytest.raises(ValueError, match="not supported"):
             hub.add_job(wrong)
+
+
+def job(name, source, sink, **more):
+    return {"id": name, "title": name, "source": source, "sink": sink, "triggers": [{"triggerType": "onchange", "jobType": "incremental", "monitoredDataset": "people"}], **more}
+
+
+PEOPLE, COMPANIES = {"Type": "DatasetSource", "Name": "people"}, {"Type": "DatasetSink", "Name": "companies"}
+
+
+def test_a_whole_job_configuration_is_applied(hub, spark, tmp_path):
+    """Function transform, virtual source, chained jobs, restart; nothing configured is ignored."""
+    def shout(df):
+        return df.withColumn("props", F.lit('{"loud":1}'))
+
+    def made(params, since, limit):
+        return spark.createDataFrame([(f"v{params['n']}", False, "{}", "{}")], "entity_id string, deleted boolean, props string, refs string"), "t"
+
+    functions = {"shout": shout, "made": made}
+    hub.create_dataset("copies")
+    hub.create_dataset("dreamt", kind="virtual", build="Made", params={"n": 7})
+    one = Hub(spark, str(tmp_path), functions=functions)
+    one.add_job(job("loud", PEOPLE, COMPANIES, transform={"Type": "FunctionTransform", "Name": "SHOUT", "Parallelism": 2}))
+    one.add_job(job("chain", {"Type": "DatasetSource", "Name": "companies"}, {"Type": "DatasetSink", "Name": "copies"}, triggers=[{"triggerType": "onchange", "jobType": "incremental", "monitoredDataset": "companies"}]))
+    one.add_job(job("dream", {"Type": "DatasetSource", "Name": "dreamt"}, COMPANIES))
+    one.jobs.pause("dream")
+    one.post_entities("people", doc({"id": "p:1"}))
+    assert [r.props for r in one.entities("companies").collect()] == ['{"loud":1}'] and one.entities("copies").count() == 1  # the write of one job set off the other
+    assert one.changes("dreamt")[1] == "t" and [r.entity_id for r in one.changes("dreamt")[0].collect()] == ["v7"]
+    again = Hub(spark, str(tmp_path), functions=functions)
+    assert again.jobs.jobs() == ["chain", "dream", "loud"] and again.jobs.run("dream") is None and again.broken == {}
+    again.jobs.resume("dream")
+    assert again.jobs.run("dream")["processed"] >= 1 and again.jobs.run("loud")["processed"] == 0  # tokens are kept
+    assert set(Hub(spark, str(tmp_path)).broken) == {"loud", "dream"}
+    again.jobs.delete("loud")
+    assert Hub(spark, str(tmp_path), functions=functions).jobs.jobs() == ["chain", "dream"]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"transform": {"Type": "JavascriptTransform", "Code": "x"}}, {"transform": {"Type": "FunctionTransform", "Name": "nobody"}}, {"transform": {"Type": "HttpTransform", "Url": "http://x.invalid", "TokenProvider": "nobody"}}, {"transform": {"Type": "HttpTransform", "Url": "http://x.invalid", "What": 1}},
+     {"source": {**PEOPLE, "What": 1}}, {"sink": {"Type": "HttpDatasetSink", "Url": "http://x.invalid", "TokenProvider": "nobody"}}, {"source": {"Type": "HttpDatasetSource", "Url": "http://x.invalid", "TokenProvider": "nobody"}}, {"what": 1}],
+)
+def test_what_has_no_effect_is_an_error(hub, change):
+    with pytest.raises(ValueError):
+        hub.add_job({**job("j", PEOPLE, COMPANIES), **change})
+
+
+def test_queries_tracked_by_a_transform(hub, spark, tmp_path):
+    def join(df):
+        return df.select("entity_id", "deleted", "props", "refs")
+
+    join.track_queries = lambda tracker: tracker.hop("companies", "ns0:works")
+    h = Hub(spark, str(tmp_path), functions={"join": join})
+    h.create_dataset("out")
+    h.add_job(job("multi", {"Type": "MultiSource", "Name": "people"}, {"Type": "DatasetSink", "Name": "out"}, transform={"Type": "FunctionTransform", "Name": "join"}))
+    assert [d.dataset for d in h.jobs._jobs["multi"][0].source.dependencies] == ["companies"]
+
+
+def test_user_queries_and_contents(hub, spark, tmp_path):
+    functions = {"names": lambda h, least: h.entities("people").where(F.col("entity_id") >= least).select("entity_id"), "plain": lambda h: iter([1, {"a": "b"}]), "none": lambda h: []}
+    h = Hub(spark, str(tmp_path), functions=functions)
+    h.post_entities("people", doc({"id": "p:1"}, {"id": "p:2"}))
+    assert sorted(e["entity_id"] for e in json.loads("".join(h.user_query("names", least="ns0:2")))) == ["ns0:2"]
+    assert json.loads("".join(h.user_query("plain"))) == [1, {"a": "b"}] and "".join(h.user_query("none")) == "[]"
+    h.store.put_content("b", {"x": 1})
+    h.store.put_content("a", {"y": 2})
+    assert h.store.contents() == {"a": {"y": 2}, "b": {"x": 1}}

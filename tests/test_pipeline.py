@@ -1,4 +1,7 @@
+import datetime as dt
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +9,8 @@ from pyspark.sql import functions as F
 from strandlog.operators import snapshot
 from strandlog.operators.incremental import Dependency, Join
 from strandlog.plans.pipeline import ErrorPolicy, JobManager, JobState, Pipeline, Raffle, per_batch
+from strandlog.plans.schedule import Schedule
+from strandlog.sources.durations import seconds
 from strandlog.sources.readers import DatasetSource, MultiSource, SampleSource
 from strandlog.sources.sinks import ConsoleSink, DatasetSink, DevNullSink, HttpDatasetSink, make_sink
 from strandlog.store import EntityStore
@@ -169,7 +174,7 @@ def test_raffle():
     assert r.take("d", True)
 
 
-CONFIG = {"id": "j", "source": {"Type": "SampleSource"}, "sink": {"Type": "DevNullSink"}, "triggers": [{"triggerType": "onchange", "jobType": "incremental", "monitoredDataset": "people"}, {"triggerType": "cron", "jobType": "fullsync", "schedule": "@daily"}]}
+CONFIG = {"id": "j", "title": "J", "source": {"Type": "SampleSource"}, "sink": {"Type": "DevNullSink"}, "triggers": [{"triggerType": "onchange", "jobType": "incremental", "monitoredDataset": "people"}, {"triggerType": "cron", "jobType": "fullsync", "schedule": "@daily"}]}
 
 
 def test_job_manager(spark, store, state):
@@ -191,7 +196,7 @@ def test_job_manager(spark, store, state):
 
 @pytest.mark.parametrize(
     "change",
-    [{"id": ""}, {"source": None}, {"sink": {}}, {"triggers": []}, {"triggers": [{"triggerType": "cron", "jobType": "fullsync"}]}, {"triggers": [{"triggerType": "onchange", "jobType": "incremental"}]}, {"triggers": [{"triggerType": "x", "jobType": "fullsync"}]}, {"triggers": [{"triggerType": "cron", "jobType": "x", "schedule": "@daily"}]},
+    [{"id": ""}, {"title": ""}, {"nonsense": 1}, {"source": None}, {"sink": {}}, {"triggers": []}, {"triggers": [{"triggerType": "cron", "jobType": "fullsync"}]}, {"triggers": [{"triggerType": "onchange", "jobType": "incremental"}]}, {"triggers": [{"triggerType": "x", "jobType": "fullsync"}]}, {"triggers": [{"triggerType": "cron", "jobType": "x", "schedule": "@daily"}]},
      {"triggers": [CONFIG["triggers"][0], {**CONFIG["triggers"][1], "onError": [{"errorHandler": "log"}, {"errorHandler": "log"}]}]}, {"triggers": [CONFIG["triggers"][0], {**CONFIG["triggers"][1], "onError": [{"errorHandler": "what"}]}]}],
 )
 def test_wrong_configurations(change):
@@ -229,3 +234,83 @@ def test_a_kill_ends_one_run_only(spark, state):
     assert not record["ok"] and record["error"] == "killed" and record["processed"] == 2 == len(sink.got)
     record = m.run("j")
     assert record["ok"] and record["processed"] == 3 and len(sink.got) == 5
+
+
+def test_error_limits_count_per_run(spark, store, state):
+    fill(spark, store, 6)
+    sink = Failing(bad=["e01", "e04"])
+    job = Pipeline("j", DatasetSource(store.changes, "people"), sink, state, errors=ErrorPolicy(skip=True, max_items=3))
+    assert [job.run()["skipped"], job.state.update("j", token=""), job.run()["skipped"]] == [2, None, 2]
+    sink.bad = set()
+    assert job.run() | {"started": 0, "ended": 0} == {"full": False, "ok": True, "error": None, "started": 0, "ended": 0, "processed": 0, "skipped": 0}
+    job = Pipeline("k", DatasetSource(store.changes, "people"), Failing(bad=["e01", "e04"]), state, errors=ErrorPolicy(skip=True))  # 0: any number
+    assert job.run()["skipped"] == 2
+    job = Pipeline("l", DatasetSource(store.changes, "people"), Failing(bad=["e01", "e04"]), state, errors=ErrorPolicy(skip=True, max_items=2))
+    record = job.run()
+    assert not record["ok"] and "2 rows failed" in record["error"] and state.load("l")["token"] == ""
+
+
+def test_a_kill_ends_a_full_run_and_its_spark_jobs(spark, state):
+    m = JobManager(state)
+
+    class Slow:
+        def write(self, df):
+            threading.Timer(1.0, m.kill, ["j"]).start()
+            return spark.range(200, numPartitions=200).mapInPandas(lambda it: (__import__("time").sleep(0.5) or x for x in it), "id bigint").count()
+
+        write_all = write
+
+    m.add(CONFIG, Pipeline("j", SampleSource(spark, 5), Slow(), state))
+    began = time.time()
+    record = m.run("j", full=True)
+    assert not record["ok"] and record["error"] == "killed" and time.time() - began < 15
+
+
+def test_titles_are_unique(spark, state):
+    m = JobManager(state)
+    m.add(CONFIG, Pipeline("j", SampleSource(spark, 1), DevNullSink(), state))
+    m.add(CONFIG, Pipeline("j", SampleSource(spark, 1), DevNullSink(), state))  # replaces itself
+    with pytest.raises(ValueError, match="title"):
+        m.add({**CONFIG, "id": "k"}, Pipeline("k", SampleSource(spark, 1), DevNullSink(), state))
+
+
+def test_cron_triggers_fire(spark, state):
+    m = JobManager(state)
+    m.add({**CONFIG, "triggers": [{"triggerType": "cron", "jobType": "fullSync", "schedule": "*/5 * * * *"}]}, Pipeline("j", SampleSource(spark, 1), DevNullSink(), state))
+    noon = 1_735_732_800.0
+    assert m.tick(noon) == [] and m.tick(noon + 299) == [] and m.tick(noon + 300) == ["j"] and m.tick(noon + 310) == [] and m.tick(noon + 3600) == ["j"] and m.tick(noon + 3601) == []
+    assert [h["full"] for h in m.history("j")] == [True, True]
+
+
+def test_a_clock_runs_what_is_due(spark, state):
+    m = JobManager(state)
+    m.add({**CONFIG, "triggers": [{"triggerType": "cron", "jobType": "incremental", "schedule": "@every 1s"}]}, Pipeline("j", SampleSource(spark, 1), DevNullSink(), state))
+    m.start(0.2)
+    until = time.time() + 20
+    while not m.history("j") and time.time() < until:
+        time.sleep(0.2)
+    m.stop()
+    assert m.history("j")[0]["ok"]
+
+
+@pytest.mark.parametrize(
+    ("text", "after", "due"),
+    [("0 0 * * *", "2025-01-01 00:00", "2025-01-02 00:00"), ("@hourly", "2025-01-01 00:30", "2025-01-01 01:00"), ("30 8-10/2 * * mon,wed", "2025-01-01 09:00", "2025-01-01 10:30"), ("0 12 29 2 *", "2025-01-01 00:00", "2028-02-29 12:00"),
+     ("0 0 13 * fri", "2025-01-01 00:00", "2025-01-03 00:00"), ("0 0 */2 * 5", "2025-01-01 00:00", "2025-01-03 00:00"), ("@every 90s", "2025-01-01 00:00", "2025-01-01 00:01:30"), ("0 0 30 2 *", "2025-01-01 00:00", None)],
+)
+def test_schedules(text, after, due):
+    at = lambda t: dt.datetime.fromisoformat(t).replace(tzinfo=dt.UTC).timestamp()
+    assert Schedule.parse(text).after(at(after)) == (due and at(due))
+
+
+@pytest.mark.parametrize("text", ["", "* * * *", "60 * * * *", "* * 0 * *", "* * * * mon-", "*/0 * * * *", "@every", "@every x", "@sometimes", "5-1 * * * *"])
+def test_wrong_schedules(text):
+    with pytest.raises(ValueError):
+        Schedule.parse(text)
+
+
+def test_durations():
+    assert [seconds(x) for x in ("1s", "1h30m", "1.5s", "200ms", "0", 3)] == [1, 5400, 1.5, 0.2, 0, 3]
+    for bad in ("", "1", "s", "1 s", "1x"):
+        with pytest.raises(ValueError):
+            seconds(bad)

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,10 @@ def walk(body: Any) -> Iterator[tuple]:
         yield element, parent_element, repeated, path, parent_path, ancestors, _clean(own) if isinstance(own, str) else None, scalars, _references(path, refs), _text(recorded), _text(deleted)
 
 
+def _delivery(body: str) -> int:
+    return int.from_bytes(hashlib.blake2b(body.encode(), digest_size=8).digest(), signed=True)
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
@@ -128,9 +133,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = parse(body)
             except ValueError:
                 continue
-            delivery = int.from_bytes(hashlib.blake2b(body.encode(), digest_size=8).digest(), signed=True)
             for row in walk(value):
-                rows.append((record_id, delivery, *row))
+                rows.append((record_id, _delivery(body), *row))
                 size += 1 + len(row[5])
                 if size > 50_000:
                     yield _batch(rows)
@@ -148,6 +152,129 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES_ARROW)], schema=_NODES_ARROW)
 
 
+def element_edges(body: Any) -> set[tuple[str, str, bool]]:
+    """(element, parent element, repeated) of every object below a parsed body: its share of the schema graph."""
+    found: set[tuple[str, str, bool]] = set()
+    if not isinstance(body, dict):
+        return found
+    todo: list[tuple[str, dict]] = [(RECORD, body)]
+    while todo:
+        element, obj = todo.pop()
+        props = obj.get("props") if obj is body or "props" in obj or "refs" in obj else obj
+        for name, value in props.items() if isinstance(props, dict) else ():
+            inner = [(value, False)] if isinstance(value, (dict, list)) else []
+            while inner:
+                v, repeated = inner.pop()
+                if isinstance(v, dict):
+                    found.add((name, element, repeated))
+                    todo.append((name, v))
+                else:
+                    inner += [(x, True) for x in v if isinstance(x, (dict, list))]
+    return found
+
+
+def table_rows(body: Any, own: frozenset[str]) -> list[tuple]:
+    """The table rows of one parsed body, given the elements that have tables of their own.
+
+    As in :func:`flat_tables`, without the document's key: (table, path, parent table,
+    parent path, enclosing path, id, recorded, deleted, cells, inlined, refs). A row's
+    inlined objects are placed into it while the body is walked, so nothing is regrouped.
+    """
+    rows: list[tuple] = []
+    if not isinstance(body, dict):
+        return rows
+    todo: list[tuple] = [(RECORD, "", None, -1, body)]
+    while todo:
+        element, path, parent_path, home, obj = todo.pop()
+        entity = parent_path is None or "props" in obj or "refs" in obj
+        props, refs = (obj.get("props"), obj.get("refs")) if entity else (obj, None)
+        key, recorded, deleted = (obj.get("id"), obj.get("recorded"), obj.get("deleted")) if entity else (None, None, None)
+        key, recorded, deleted = _clean(key) if isinstance(key, str) else None, _text(recorded), _text(deleted)
+        if home < 0 or element in own:
+            up = rows[home][:2] if home >= 0 else (None, None)
+            home, prefix = len(rows), ""
+            rows.append((element, path, *up, parent_path, key, recorded, deleted, [], [], []))
+        else:
+            prefix = path[len(rows[home][1]) + 1 :] + "/"
+            rows[home][9].append((path, parent_path, key, recorded, deleted))
+        cells = rows[home][8]
+        for name, value in props.items() if isinstance(props, dict) else ():
+            if not isinstance(value, (dict, list)):
+                cells.append((prefix + _clean(name), _text(value)))
+                continue
+            inner = [("", value)]
+            mixed = _mixed(value)
+            while inner:
+                at, v = inner.pop()
+                if isinstance(v, dict):
+                    todo.append((_clean(name), _clean(f"{path}/{name}{at}"), path, home, v))
+                elif id(v) in mixed:
+                    inner += [(f"{at}/{i}", x) for i, x in enumerate(v)]
+                else:
+                    cells.append((_clean(f"{prefix}{name}{at}"), _text(v)))
+        if refs:
+            rows[home][10].extend(_references(path, refs))
+    return rows
+
+
+_CELL, _INLINED, _REF = ("key", "value"), ("node_path", "parent_path", "entity_id", "recorded", "deleted"), ("owner", "predicate", "path", "target")
+_TEXTS = ("table_name", "row_path", "parent_table", "parent_path", "enclosing_path", "entity_id", "recorded", "deleted")
+_LISTS = {"cells": _CELL, "inlined": _INLINED, "refs": _REF}
+_ROWS = "record_id bigint, delivery bigint, " + ", ".join(f"{n} string" for n in _TEXTS) + ", " + ", ".join(f"{n} array<struct<{','.join(f'{x}:string' for x in fields)}>>" for n, fields in _LISTS.items())
+
+
+def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[int, str, Any]]:
+    for record_id, body in zip(batch.column(_KEY).to_pylist(), batch.column("body").to_pylist()):
+        try:
+            yield record_id, body, parse(body)
+        except ValueError:
+            continue
+
+
+def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: set[tuple[str, str, bool]] = set()
+        for _, _, value in _parsed(batch):
+            found |= element_edges(value)
+        if found:
+            cols = list(zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(map(_clean, cols[0]), pa.string()), pa.array(map(_clean, cols[1]), pa.string()), pa.array(cols[2], pa.bool_())], ["element", "parent_element", "repeated"])
+
+
+def _row_batch(keys: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as one batch; the lists are built from flat columns and offsets."""
+    ids = list(zip(*keys))
+    cols = list(zip(*rows))
+    arrays = [pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[: len(_TEXTS)])]
+    for lists, names in zip(cols[len(_TEXTS) :], _LISTS.values()):
+        offsets = np.zeros(len(lists) + 1, np.int32)
+        np.cumsum([len(x) for x in lists], out=offsets[1:])
+        flat = list(zip(*[x for items in lists for x in items])) or [()] * len(names)
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in flat], list(names))))
+    return pa.RecordBatch.from_arrays(arrays, [*("record_id", "delivery"), *_TEXTS, *_LISTS])
+
+
+def _row_batches(batches: Iterator[pa.RecordBatch], own: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys: list[tuple] = []
+        rows: list[tuple] = []
+        size = 0
+        for record_id, body, value in _parsed(batch):
+            found = table_rows(value, own)
+            keys += [(record_id, _delivery(body))] * len(found)
+            rows += found
+            size += sum(1 + len(r[8]) + len(r[9]) + len(r[10]) for r in found)
+            if size > 50_000:
+                yield _row_batch(keys, rows)
+                keys, rows, size = [], [], 0
+        if rows:
+            yield _row_batch(keys, rows)
+
+
+def _bodies(payloads: DataFrame) -> DataFrame:
+    return payloads.where("record_id IS NOT NULL AND body IS NOT NULL").select("record_id", "body")
+
+
 def document_nodes(payloads: DataFrame) -> DataFrame:
     """One row per object of every body (see :func:`walk`), the body itself included.
 
@@ -155,8 +282,7 @@ def document_nodes(payloads: DataFrame) -> DataFrame:
     Null bodies, bodies that are no JSON and bodies that are no objects give nothing;
     null record ids likewise. Equal deliveries of one record are read once.
     """
-    bodies = payloads.where("record_id IS NOT NULL AND body IS NOT NULL").select("record_id", "body").dropDuplicates(["record_id", "body"])
-    return bodies.mapInArrow(_nodes, _NODES)
+    return _bodies(payloads).dropDuplicates(["record_id", "body"]).mapInArrow(_nodes, _NODES)
 
 
 def schema_graph(nodes: DataFrame) -> DataFrame:
@@ -238,10 +364,21 @@ def flat_tables(nodes: DataFrame, decisions: DataFrame, max_sent: int = MAX_SENT
 
 
 def shared_inlining(payloads: DataFrame, max_sent: int = MAX_SENT_ELEMENTS) -> tuple[DataFrame, DataFrame]:
-    """(table rows, decisions) for a table of JSON documents; see :func:`flat_tables`."""
-    nodes = materialise(document_nodes(payloads), "nodes")
-    decisions = materialise(decide(schema_graph(nodes)), "elements")
-    return flat_tables(nodes, decisions, max_sent), decisions
+    """(table rows, decisions) for a table of JSON documents; see :func:`flat_tables`.
+
+    A first pass reads the schema graph off all documents, a second one places every
+    object of a document in its table row at once: the only shuffle of the bodies is the
+    one that leaves repeated deliveries out. With more than ``max_sent`` elements that
+    have tables (checked) the objects become rows of their own and the decisions are
+    joined to them; the result is the same.
+    """
+    edges = _bodies(payloads).select("record_id", "body").mapInArrow(_edge_batches, "element string, parent_element string, repeated boolean")
+    decisions = materialise(decide(edges.groupBy("element", "parent_element").agg(F.max("repeated").alias("repeated"))), "elements")
+    few = decisions.where("own_table").select("element").limit(max_sent + 1).collect()
+    if len(few) > max_sent:
+        return flat_tables(materialise(document_nodes(payloads), "nodes"), decisions, max_sent), decisions
+    own = frozenset(r.element for r in few)
+    return _bodies(payloads).dropDuplicates(["record_id", "body"]).mapInArrow(lambda it: _row_batches(it, own), _ROWS), decisions
 
 
 def node_links(rows: DataFrame) -> DataFrame:

@@ -11,25 +11,25 @@ from ..session import materialise
 
 #: After so many older batches the resolved keys are written out, so plans stay small.
 _CHAIN = 4
+_BATCH = "__batch"
 
 
 def time_batches(feed: DataFrame, by: str, n: int) -> list[DataFrame]:
     """Cut ``feed`` into at most ``n`` batches by ``by``, newest first.
 
     Cuts are approximate quantiles, so batches are of similar size whatever the spread
-    of ``by``; each batch is a pushed-down range filter. Rows with a null ``by`` belong
-    to the oldest batch.
+    of ``by``; they take a pass over that column alone. One more pass writes the feed's
+    rows by batch, without a shuffle, and every batch is then read from its own folder.
+    Give only the columns needed. Rows with a null ``by`` belong to the oldest batch.
     """
     shares = [i / n for i in range(1, n)]
     cuts = feed.select(F.percentile_approx(by, shares, 1000)).first()[0] if shares else None
     cuts = sorted(set(cuts or []))
-    c = F.col(by)
     if not cuts:
         return [feed]
-    batches = [feed.where(c.isNull() | (c < cuts[0]))]
-    batches += [feed.where((c >= a) & (c < b)) for a, b in zip(cuts, cuts[1:])]
-    batches.append(feed.where(c >= cuts[-1]))
-    return batches[::-1]
+    at = reduce(lambda number, cut: number + F.when(F.col(by) >= cut, 1).otherwise(0), cuts, F.lit(0))
+    placed = materialise(feed.withColumn(_BATCH, at), "batches", by=_BATCH)
+    return [placed.where(F.col(_BATCH) == i).drop(_BATCH) for i in range(len(cuts), -1, -1)]
 
 
 def newest_first(

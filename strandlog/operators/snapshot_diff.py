@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..identity import Namespaces
 from ..jsoncanon import canonical_content
 from ..session import materialise
+from ..shared import SharedFiles
 
 #: Ordinals of one container: its bitmap takes at most a bit each, its vector 16 bytes for each present one.
 CONTAINER = 1 << 14
 
+_ORDINALS = "dataset string, id string, shard int, ordinal bigint"
 _MARK = 16  # bytes of a content mark
 
 
@@ -40,28 +43,63 @@ def fingerprints(snapshots: DataFrame, namespaces: Namespaces) -> DataFrame:
     return marked.groupBy("dataset", "id", "snapshot_no").agg(F.max(F.struct("delivered_at", "mark")).alias("m")).select("dataset", "snapshot_no", "id", "m.mark")
 
 
-def assign_ordinals(keys: DataFrame, known: DataFrame | None = None, container: int = CONTAINER) -> DataFrame:
-    """``(dataset, id, shard, ordinal)`` for every distinct key, keeping the ordinals in ``known``.
+def new_ordinals(keys: DataFrame, known: DataFrame | None = None, container: int = CONTAINER) -> DataFrame:
+    """``(dataset, id, shard, ordinal)`` of the distinct keys that ``known`` lacks.
 
-    A dataset's keys are spread over ``shards`` hash shards of about one container each
-    (fixed when the dataset is first seen), and numbered densely within a shard; new keys
-    are numbered after the known ones. So numbering is parallel even if one dataset holds
-    most keys, and an ordinal, once given, never changes.
+    A dataset's new keys fill its last shard while that holds at most a container;
+    more of them get new shards, as many as they fill by a hash of the key. So a shard is
+    about one container, however much a dataset grows after it was first seen, and is
+    numbered by itself. An ordinal, once given, never changes.
     """
     distinct = keys.select("dataset", "id").distinct()
-    shards = distinct.groupBy("dataset").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / container)).cast("int").alias("shards"))
     if known is not None:
-        old = known.groupBy("dataset").agg(F.max("shards").alias("old_shards"), F.lit(True).alias("seen"))
-        shards = shards.join(old, "dataset", "left").select("dataset", F.coalesce("old_shards", "shards").alias("shards"))
         distinct = distinct.join(known.select("dataset", "id"), ["dataset", "id"], "left_anti")
-    placed = distinct.join(shards, "dataset").withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
-    nth = F.row_number().over(Window.partitionBy("dataset", "shard").orderBy("id")) - 1
-    fresh = placed.withColumn("ordinal", nth.cast("bigint"))
+    fresh = distinct.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     if known is not None:
-        top = known.groupBy("dataset", "shard").agg((F.max("ordinal") + 1).alias("base"))
-        fresh = fresh.join(top, ["dataset", "shard"], "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("base", F.lit(0))).drop("base")
-        return known.select("dataset", "id", "shards", "shard", "ordinal").unionByName(fresh.select("dataset", "id", "shards", "shard", "ordinal"))
-    return fresh.select("dataset", "id", "shards", "shard", "ordinal")
+        tops = known.groupBy("dataset", "shard").agg((F.max("ordinal") + 1).alias("held"))
+        fresh = fresh.join(tops.groupBy("dataset").agg(F.max(F.struct("shard", "held")).alias("top")), "dataset", "left")
+    else:
+        fresh = fresh.withColumn("top", F.lit(None).cast("struct<shard:int,held:bigint>"))
+    fits = F.coalesce(F.col("top.held") + F.col("n") <= container, F.lit(False))
+    begin = F.when(fits, F.col("top.shard")).otherwise(F.coalesce(F.col("top.shard") + 1, F.lit(0)))
+    shards = fresh.select("dataset", begin.alias("first"), F.when(fits, F.lit(1)).otherwise(F.ceil(F.col("n") / container)).cast("int").alias("shards"), F.when(fits, F.col("top.held")).otherwise(F.lit(0)).alias("base"))
+    placed = distinct.join(shards, "dataset").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), "shards")).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("dataset", "shard").orderBy("id")) - 1
+    return placed.select("dataset", "id", "shard", (F.col("base") + nth).cast("bigint").alias("ordinal"))
+
+
+def assign_ordinals(keys: DataFrame, known: DataFrame | None = None, container: int = CONTAINER) -> DataFrame:
+    """``(dataset, id, shard, ordinal)`` for every distinct key, keeping the ordinals in ``known``; see :func:`new_ordinals`."""
+    fresh = new_ordinals(keys, known, container)
+    return fresh if known is None else known.select("dataset", "id", "shard", "ordinal").unionByName(fresh)
+
+
+class OrdinalIndex:
+    """The ordinals of all keys seen so far, kept in ``folder`` on shared storage.
+
+    Every extension writes the new keys as a part of its own and then names it in one
+    step, so an extension that failed leaves nothing behind that is read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._files = SharedFiles(folder, spark)
+
+    def ordinals(self) -> DataFrame | None:
+        """``(dataset, id, shard, ordinal)`` of the keys seen, None if there are none yet."""
+        parts = (self._files.get("index") or {"parts": []})["parts"]
+        return self.spark.read.schema(_ORDINALS).parquet(*[f"{self.folder}/{p}" for p in parts]) if parts else None
+
+    def extend(self, keys: DataFrame, container: int = CONTAINER) -> DataFrame:
+        """Gives the keys that are new their ordinals and returns those of all keys."""
+        held = self._files.get("index") or {"parts": [], "container": container}
+        if held["container"] != container:
+            raise ValueError(f"the index was made with containers of {held['container']}")
+        part = f"part-{uuid.uuid4().hex}"
+        new_ordinals(keys, self.ordinals(), container).write.option("compression", "zstd").parquet(f"{self.folder}/{part}")
+        if not held["parts"] or not self.spark.read.schema(_ORDINALS).parquet(f"{self.folder}/{part}").isEmpty():
+            self._files.put("index", {**held, "parts": [*held["parts"], part]})
+        return self.ordinals()
 
 
 def compress(slots: np.ndarray, container: int) -> bytes:
@@ -125,10 +163,11 @@ def _compare(batches: Iterator[pa.RecordBatch], container: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*keep, pa.array(slots, pa.int32()), pa.array(kinds, pa.string())], ["dataset", "shard", "container", "snapshot_no", "slot", "change_kind"])
 
 
-def snapshot_changes(snapshots: DataFrame, namespaces: Namespaces, known: DataFrame | None = None, container: int = CONTAINER) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, namespaces: Namespaces, index: OrdinalIndex | None = None, container: int = CONTAINER) -> DataFrame:
     """``(dataset, snapshot_no, id, change_kind)`` against the next lower snapshot the dataset has.
 
-    Keys get persistent ordinals (pass ``known`` to go on with stored ones); each snapshot
+    Keys get persistent ordinals (those of ``index``, which is extended; without one they
+    last for this call); each snapshot
     becomes, per container of ordinals, a compressed bitmap of the keys present and a vector of
     content marks in ordinal order. Bitmap AND-NOT gives additions and removals, the
     common bits select the marks to compare. One task holds two containers at a time.
@@ -138,8 +177,8 @@ def snapshot_changes(snapshots: DataFrame, namespaces: Namespaces, known: DataFr
     as empty. Null props or refs mean ``{}``; text that is no JSON compares as written.
     """
     marks = materialise(fingerprints(snapshots, namespaces), "marks")
-    ordinals = materialise(assign_ordinals(marks, known, container), "ordinals")
-    numbered = marks.join(ordinals.drop("shards"), ["dataset", "id"])
+    ordinals = index.extend(marks, container) if index is not None else materialise(assign_ordinals(marks, None, container), "ordinals")
+    numbered = marks.join(ordinals, ["dataset", "id"])
     numbered = numbered.select("dataset", "shard", F.floor(F.col("ordinal") / container).cast("int").alias("container"), "snapshot_no", F.pmod(F.col("ordinal"), F.lit(container)).cast("int").alias("slot"), "mark")
     listed = numbered.groupBy("dataset", "shard", "container", "snapshot_no").agg(F.collect_list(F.struct("slot", "mark")).alias("l"))
     packed = listed.select("dataset", "shard", "container", "snapshot_no", F.col("l.slot").alias("slots"), F.col("l.mark").alias("marks")).mapInArrow(

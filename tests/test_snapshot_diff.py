@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlog.jsoncanon import canonical_content
-from strandlog.operators.snapshot_diff import assign_ordinals, compress, snapshot_changes, words
+from strandlog.operators.snapshot_diff import OrdinalIndex, assign_ordinals, compress, snapshot_changes, words
 
 from .conftest import rows_of, set_of
 
@@ -103,3 +103,25 @@ def test_odd_rows(spark, namespaces):
 
 def test_empty(spark, namespaces):
     assert rows_of(snapshot_changes(spark.createDataFrame([], SCHEMA), namespaces)) == []
+
+
+def test_an_index_grows_with_its_deliveries(spark, namespaces, tmp_path):
+    """Two runs over growing deliveries: the first one's ordinals stay, and no shard passes two containers."""
+    rng = random.Random(1)
+    rows = [("d", no, DAY, f"ns3:{i}", f'{{"p": {rng.randint(0, 2)}}}', "{}") for no, n in ((1, 20), (2, 25), (3, 400), (4, 405)) for i in range(n)]
+    frame = lambda top: spark.createDataFrame([r for r in rows if r[1] <= top], SCHEMA)
+    first = OrdinalIndex(spark, str(tmp_path / "index"))
+    assert set_of(snapshot_changes(frame(2), namespaces, first, 32)) == brute([r for r in rows if r[1] <= 2])
+    old = {(r.dataset, r.id): (r.shard, r.ordinal) for r in first.ordinals().collect()}
+    again = OrdinalIndex(spark, str(tmp_path / "index"))
+    assert set_of(snapshot_changes(frame(4), namespaces, again, 32)) == brute(rows)
+    new = {(r.dataset, r.id): (r.shard, r.ordinal) for r in again.ordinals().collect()}
+    assert len(old) == 25 and len(new) == 405 == len(set(new.values())) and all(new[k] == v for k, v in old.items())
+    sizes = {}
+    for shard, _ in new.values():
+        sizes[shard] = sizes.get(shard, 0) + 1
+    assert len(sizes) >= 12 and max(sizes.values()) <= 64
+    snapshot_changes(frame(4), namespaces, again, 32)
+    assert len(again._files.get("index")["parts"]) == 2  # nothing new, no new part
+    with pytest.raises(ValueError, match="containers"):
+        again.extend(frame(1), 64)

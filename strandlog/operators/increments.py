@@ -7,6 +7,8 @@ offset, so a sink that already holds some of them takes each once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..shared import SharedFiles
 BATCH_SPAN = 4096
 #: Batches that one row of a plan is cut into at a time.
 _STRIDE = 1024
+#: Up to this many datasets' ranges are filters that reach the scan of a sink; more are joined.
+_INLINE_RANGES = 256
 
 _UNION = "struct<Tokens:array<struct<Token:string>>,DatasetNames:array<string>>"
 _MULTI = "struct<MainToken:string,DependencyTokens:map<string,struct<Token:string>>>"
@@ -76,7 +80,11 @@ def plan_batches(offsets: DataFrame, log: DataFrame, span: int = BATCH_SPAN) ->
     """
     ends = log.where("dataset IS NOT NULL AND seq IS NOT NULL").groupBy("dataset").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
     start = F.greatest("offset", "first")
-    open_ = offsets.join(ends, "dataset").where(F.col("last") >= start).withColumn("start", start)
+    return cut_ranges(offsets.join(ends, "dataset").where(F.col("last") >= start).select("job_id", "dataset", start.alias("start"), "last"), span)
+
+
+def cut_ranges(open_: DataFrame, span: int = BATCH_SPAN) -> DataFrame:
+    """The batches of :func:`plan_batches` of ranges ``(job_id, dataset, start, last)``."""
     # two steps, so that no single row ever holds the list of all batches of a long range
     step = lambda c, n: F.floor(F.col(c) / n).cast("bigint")
     wide = span * _STRIDE
@@ -145,9 +153,17 @@ class IncrementalRun:
             ranges = wanted.groupBy("dataset").agg(F.min("from_seq").alias("a"), F.max("to_seq").alias("b")).collect()
             pending = {"ranges": {r.dataset: [r.a, r.b] for r in ranges}}
             self._files.put("plan", pending)
-        planned = [(self.job_id, d, b, max(a, b * self.span), min(z, b * self.span + self.span - 1)) for d, (a, z) in pending["ranges"].items() for b in range(a // self.span, z // self.span + 1)]
-        plan = spark.createDataFrame(planned, "job_id string, dataset string, batch bigint, from_seq bigint, to_seq bigint")
-        return read_planned(plan, log, self.span, payload)
+        ranges = [(self.job_id, d, a, z) for d, (a, z) in pending["ranges"].items()]  # one per dataset; Spark cuts them into batches
+        return read_planned(cut_ranges(spark.createDataFrame(ranges, "job_id string, dataset string, start bigint, last bigint"), self.span), log, self.span, payload)
+
+    def delivered(self, sink: DataFrame) -> DataFrame:
+        """The rows of a sink (with dataset and seq) that lie in the ranges of the pending plan: all that a replay can repeat."""
+        ranges = (self._files.get("plan") or {"ranges": {}})["ranges"]
+        if len(ranges) <= _INLINE_RANGES:
+            inside = [(F.col("dataset") == d) & F.col("seq").between(a, z) for d, (a, z) in ranges.items()]
+            return sink.where(reduce(lambda a, b: a | b, inside, F.lit(False)))
+        table = sink.sparkSession.createDataFrame([(d, a, z) for d, (a, z) in ranges.items()], "dataset string, __from bigint, __to bigint")
+        return sink.join(table, "dataset").where(F.col("seq").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
 
     def commit(self) -> None:
         pending = self._files.get("plan")
@@ -160,5 +176,5 @@ class IncrementalRun:
 
 
 def sink_once(sink: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("job_id", "dataset", "seq")) -> DataFrame:
-    """The rows of a (replayed) batch that ``sink`` does not hold yet, each once."""
+    """The rows of a (replayed) batch that ``sink`` does not hold yet, each once; see :meth:`IncrementalRun.delivered` for what of a sink is needed."""
     return rows.dropDuplicates(list(keys)).join(sink.select(*keys), list(keys), "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..identity import Namespaces
 from ..operators import current_state, hierarchy, increments, nested, orphans, snapshot_diff, widen
+from ..session import keep_path, materialise
 from ..tables import load
 
 
@@ -53,7 +54,8 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_diff.snapshot_changes(load(spark, d, "dataset_snapshots"), _namespaces(spark, d))
+    index = snapshot_diff.OrdinalIndex(spark, keep_path(spark, "ordinal-index"))
+    return snapshot_diff.snapshot_changes(load(spark, d, "dataset_snapshots"), _namespaces(spark, d), index)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +70,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return increments.open_rows(load(spark, d, "sync_job_state"), load(spark, d, "change_log"))
 
 
+def p5_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log consumed by one job that fails after its sink took some rows, replays its plan and then commits."""
+    log = load(spark, d, "change_log")
+    folder = keep_path(spark, "replay")
+    names = [r.dataset for r in log.where("dataset IS NOT NULL").select("dataset").distinct().collect()]
+    planned = increments.IncrementalRun(folder, "j", names).begin(log)
+    held = materialise(planned.where("seq < 200"), "sink")  # what the sink had taken when the run failed
+    again = increments.IncrementalRun(folder, "j", names)
+    rest = materialise(increments.sink_once(again.delivered(held), again.begin(log)), "sink")
+    again.commit()
+    none = increments.IncrementalRun(folder, "j", names).begin(log)  # nothing is left
+    return held.unionByName(rest).unionByName(none).select("dataset", "seq")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     log = load(spark, d, "change_log").select("dataset", "id", "recorded", "batch_seq", "deleted")
     feed = _namespaces(spark, d).compress(log, "id")
@@ -83,7 +99,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return widen.long_cells(p7_wide(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_tables, p2_refs, p2_entities, p3_found, p4_found, p4_report, p5_found, p6_found, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_tables, p2_refs, p2_entities, p3_found, p4_found, p4_report, p5_found, p5_replayed, p6_found, p7_found, p7_wide)}
 
 # A CURIE for a URI whose part before the last '#' or '/' is a known expansion.
 _CURIE = """coalesce((SELECT n.prefix FROM namespace_map n WHERE n.expansion = left({c}, length({c}) - length(regexp_extract({c}, '[^{sep}]*$'))))
@@ -225,6 +241,7 @@ offs AS (
   FROM raw
 )
 SELECT DISTINCT o.job_id, l.dataset, l.seq FROM offs o JOIN change_log l ON l.dataset = o.dataset AND l.seq >= o.first_open""",
+    "p5_replayed": "SELECT DISTINCT dataset, seq FROM change_log WHERE dataset IS NOT NULL AND seq IS NOT NULL",
     "p6_found": f"""WITH vers AS (SELECT dataset, {curie_sql('id')} AS id, recorded, batch_seq, coalesce(deleted, false) AS deleted FROM change_log),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY recorded DESC, batch_seq DESC, deleted) AS n FROM vers)
 SELECT dataset, id, recorded, batch_seq FROM ranked WHERE n = 1 AND NOT deleted""",

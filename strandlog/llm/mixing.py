@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,9 @@ MAX_SOURCES = 10_000
 #: Settled documents of all sizes that a block passes on with its open ones, as counterweights for the landing.
 CARRIED = 16
 
+#: Settled units that a landing may exchange, pair by pair, to meet the total size.
+EXCHANGES = 8
+
 _EPS = 1e-9
 
 
@@ -69,25 +71,47 @@ def flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.array(q)
 
 
-def landing(sizes: np.ndarray, p: np.ndarray, want: float) -> np.ndarray:
-    """Settles the few entries the flight left, so that the total size comes nearest to ``want``.
+def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Landing phase: settles the at most two entries the flight left by dropping one constraint after another.
 
-    The open entries are rounded so that the size misses least, then the number. If they
-    are large the miss is too: it is then made up by turning single settled entries of
-    this block round, the largest that fits what is missing first.
+    First the total size is dropped: two open units exchange probability, which keeps their
+    number, until one settles. Then the number: the last unit is drawn. Every expectation
+    is kept, and the number settled differs from the expected one by less than 1.
+    """
+    q = p.astype(float).copy()
+    open_ = [int(i) for i in np.nonzero((q > _EPS) & (q < 1 - _EPS))[0]]
+    while len(open_) > 1:
+        a, b = open_[-2:]
+        up, down = min(1 - q[a], q[b]), min(q[a], 1 - q[b])
+        step = up if rng.random() * (up + down) < down else -down
+        q[a], q[b] = q[a] + step, q[b] - step
+        open_ = [i for i in open_ if _EPS < q[i] < 1 - _EPS]
+    for i in open_:
+        q[i] = float(rng.random() < q[i])
+    return np.round(q)
+
+
+def balance(sizes: np.ndarray, out: np.ndarray, want: float) -> np.ndarray:
+    """Brings the total size of settled units nearer to ``want`` by exchanging units in for units out.
+
+    The landing can miss by the size of the units it settled. An exchange keeps the
+    number; each is the pair that misses least, and there are at most ``EXCHANGES``.
     """
-    open_ = np.nonzero((p > _EPS) & (p < 1 - _EPS))[0]
-    out = np.round(p)
-    number = float(p[open_].sum())
-    rest = want - float((np.delete(out, open_) * np.delete(sizes, open_)).sum())
-    if len(open_):
-        out[open_] = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(float((np.array(x) * sizes[open_]).sum()) - rest), abs(sum(x) - number)))
-    miss = want - float((out * sizes).sum())
-    for i in np.argsort(-sizes, kind="stable"):
-        gain = float(sizes[i]) * (1 - 2 * out[i])  # what turning it would add
-        if abs(miss - gain) < abs(miss):
-            out[i] = 1 - out[i]
-            miss -= gain
+    out = out.copy()
+    for _ in range(EXCHANGES):
+        miss = want - float((out * sizes).sum())
+        ins, outs = np.nonzero(out == 1)[0], np.nonzero(out == 0)[0]
+        if abs(miss) < 0.5 or not len(ins) or not len(outs):
+            break
+        outs = outs[np.argsort(sizes[outs], kind="stable")]
+        ideal = sizes[ins] + miss  # the size that should come in for each
+        at = np.searchsorted(sizes[outs], ideal)
+        near = np.stack([np.clip(at - 1, 0, len(outs) - 1), np.clip(at, 0, len(outs) - 1)])
+        left = np.abs(sizes[outs][near] - ideal)
+        side, k = np.unravel_index(int(np.argmin(left)), left.shape)
+        if left[side, k] >= abs(miss):
+            break
+        out[ins[k]], out[outs[near[side, k]]] = 0.0, 1.0
     return out
 
 
@@ -116,8 +140,22 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     return plan
 
 
+def _spread(units: DataFrame, block: int) -> DataFrame:
+    """``units`` with a ``salt`` that parts equal rows (repeated documents, documents without an id) into several blocks.
+
+    Only groups of more than a quarter block are parted, by a number stored with the rows.
+    """
+    units = materialise(units.withColumns({"uid": F.monotonically_increasing_id(), "key": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}), "units")
+    share = max(1, block // 4)
+    many = materialise(units.groupBy("source", "key", "n_tokens").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share), "repeated")
+    if many.isEmpty():
+        return units.drop("key", "uid").withColumn("salt", F.lit(0).cast("bigint"))
+    parted = units.join(many, ["source", "key", "n_tokens"], "left")
+    return parted.withColumn("salt", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / share)))).drop("key", "uid", "n")
+
+
 def _fly(units: DataFrame, seed: int, level: int, block: int) -> DataFrame:
-    """Settles all units of ``(doc_id, source, n_tokens, base, p)``, level by level.
+    """Settles all units of ``(doc_id, source, n_tokens, base, p, salt)``, level by level.
 
     A block passes on at most CARRIED + 2 units, so levels shrink while ``block`` is larger.
     """
@@ -126,20 +164,20 @@ def _fly(units: DataFrame, seed: int, level: int, block: int) -> DataFrame:
     last = most <= 1
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)  # a repeated task draws the same
-        name = f"{seed}/{level}/{pdf.source[0]}/{pdf.block[0]}"
+        pdf = pdf.sort_values(["doc_id", "n_tokens", "salt"], kind="stable").reset_index(drop=True)  # a repeated task draws the same
+        rng = np.random.default_rng(zlib.crc32(f"{seed}/{level}/{pdf.source[0]}/{pdf.block[0]}".encode()))
         size = pdf.n_tokens.to_numpy()
         start = pdf.p.to_numpy()
-        p = flight(size, start, np.random.default_rng(zlib.crc32(name.encode())))
+        p = flight(size, start, rng)
         if last:
-            p = landing(size, p, float((size * start).sum()))
+            p = balance(size, landing(p, rng), float((size * start).sum()))
         up = (p > _EPS) & (p < 1 - _EPS)
         up[np.argsort(size, kind="stable")[np.linspace(0, len(p) - 1, min(CARRIED, len(p))).astype(int)]] = True
-        return pdf.assign(p=p, up=up)[["doc_id", "source", "n_tokens", "base", "p", "up"]]
+        return pdf.assign(p=p, up=up)[["doc_id", "source", "n_tokens", "base", "p", "salt", "up"]]
 
-    schema = "doc_id bigint, source string, n_tokens bigint, base int, p double, up boolean"
+    schema = "doc_id bigint, source string, n_tokens bigint, base int, p double, salt bigint, up boolean"
     # blocks by a hash of the document, so a source with most documents is many groups
-    placed = units.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens"), "blocks"))
+    placed = units.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "n_tokens", "salt"), "blocks"))
     flown = placed.groupBy("source", "block").applyInPandas(work, schema)
     if last:
         return flown.drop("up")
@@ -154,7 +192,10 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     with probability r - floor(r), once more. Which ones, the cube method decides: it
     keeps number and token total of each source while probabilities move to 0 or 1,
     block by block; what the blocks leave open (two units each, and a few settled ones as
-    counterweights) goes to the next level, until one block per source lands it. No document is used more than ``max_repeats`` times.
+    counterweights) goes to the next level, until one block per source lands it. The uses
+    of a source differ from the expected number by less than 1; what the landing misses
+    in tokens is made up by exchanging a few settled documents, in for out.
+    No document is used more than ``max_repeats`` times.
     ``sizes`` as from :func:`~strandlog.llm.tokens.token_sizes`; rows are documents, also
     repeated ones; null and unlisted sources are not part of the mix.
     """
@@ -167,18 +208,26 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     whole = units.where("p = 0")
     settled = whole
     if any(p["p"] > 0 for p in plan):
-        settled = whole.unionByName(_fly(units.where("p > 0"), seed, 0, block))
+        settled = whole.unionByName(_fly(_spread(units.where("p > 0"), block), seed, 0, block).drop("salt"))
     return settled.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p").cast("int")).alias("uses")).where("uses > 0")
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(source, target_share, actual_share, tokens, docs, most_uses)`` of every target source, absent ones with 0."""
-    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("docs"), F.max("uses").alias("most_uses"))
+def shares(mixed: DataFrame, targets: DataFrame, plan: list[dict] | None = None) -> DataFrame:
+    """``(source, target_share, actual_share, tokens, docs, uses, most_uses)`` of every target source, absent ones with 0.
+
+    With the ``plan`` of the mix also ``expected_tokens`` and ``expected_uses``, from which
+    the actual ones deviate by what the landing could not meet.
+    """
+    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("docs"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     whole = got.agg(F.sum("tokens").alias("whole"))
     wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("weight").alias("target_share"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     rows = wanted.join(got, "source", "left").join(F.broadcast(whole))  # one row: the total
-    return rows.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("docs"), zero("most_uses"))
+    rows = rows.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("docs"), zero("uses"), zero("most_uses"))
+    if plan is None:
+        return rows
+    expected = mixed.sparkSession.createDataFrame([(p["source"], (p["base"] + p["p"]) * p["tokens"], (p["base"] + p["p"]) * p["docs"]) for p in plan], "source string, expected_tokens double, expected_uses double")
+    return rows.join(F.broadcast(expected), "source", "left").fillna(0.0, ["expected_tokens", "expected_uses"])  # at most MAX_SOURCES rows
 
 
 def mix_documents(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:

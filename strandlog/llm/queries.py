@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialise
 from ..tables import load
 from . import leakage, mixing, splitting
 from .sql import ORACLE
+from .tokens import token_sizes
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -28,7 +30,9 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p9_mix(spark, d), load(spark, d, "mix_targets"))
+    targets = load(spark, d, "mix_targets")
+    sizes = materialise(token_sizes(load(spark, d, "documents")), "token-sizes")
+    return mixing.shares(mixing.mix(sizes, targets), targets, mixing.plan_mix(sizes, targets))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

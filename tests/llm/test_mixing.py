@@ -1,10 +1,8 @@
-from itertools import product
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog.llm.mixing import flight, landing, mix, mix_documents, plan_mix, shares
+from strandlog.llm.mixing import _spread, balance, flight, landing, mix, mix_documents, plan_mix, shares
 from strandlog.llm.tokens import tokenizer
 from tests.conftest import rows_of
 
@@ -35,11 +33,42 @@ def test_flight_is_fair():
     assert np.abs(mean - p).max() < 0.04
 
 
-def test_landing_comes_near():
-    sizes = np.array([1000, 900, 50, 40, 30, 20, 10, 1])
-    out = landing(sizes, np.array([0.4, 0.4, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0]), 821.0)
-    best = min(abs(sum(s for s, x in zip(sizes, c) if x) - 821) for c in product((0, 1), repeat=8))
-    assert set(out) <= {0.0, 1.0} and abs((out * sizes).sum() - 821) == best
+def test_landing_keeps_expectations_and_the_number():
+    p = np.array([0.0, 0.35, 1.0, 0.6, 1.0])
+    landed = [landing(p, np.random.default_rng(s)) for s in range(4000)]
+    assert np.abs(np.mean(landed, axis=0) - p).max() < 0.04
+    assert all(set(x) <= {0.0, 1.0} and abs(x.sum() - p.sum()) < 1 for x in landed)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_exchanges_keep_the_number_and_come_near(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.lognormal(5, 1.5, 60).astype(int)
+    out = (rng.random(60) < 0.5).astype(float)
+    want = float((out * sizes).sum()) + float(rng.integers(-2000, 2000))
+    done = balance(sizes, out, want)
+    assert done.sum() == out.sum() and abs(want - (done * sizes).sum()) <= min(abs(want - (out * sizes).sum()), 20)
+    assert balance(sizes, np.ones(60), 0.0).sum() == 60  # nothing to exchange with
+
+
+@pytest.mark.parametrize("block", [20_000, 500])
+def test_documents_and_tokens_of_a_source_are_those_expected(spark, block):
+    sizes, targets = sizes_of(spark, 3), spark.createDataFrame(TARGET_ROWS, TARGETS)
+    for r in shares(mix(sizes, targets, block=block), targets, plan_mix(sizes, targets)).collect():
+        assert abs(r.uses - r.expected_uses) < 1
+        assert abs(r.tokens - r.expected_tokens) <= 0.002 * r.expected_tokens
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    """A third of all rows is one document again and again, another third has no id."""
+    rows = [(1, "a", 100)] * 400 + [(None, "a", 50)] * 400 + [(i, "a", i) for i in range(2, 402)]
+    units = spark.createDataFrame([(*r, 0, 0.5) for r in rows], SIZES + ", base int, p double")
+    spread = _spread(units, 100)
+    assert spread.count() == 1200 and spread.groupBy("doc_id", "n_tokens", "salt").count().agg({"count": "max"}).first()[0] < 100
+    targets = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], TARGETS)
+    df = spark.createDataFrame([*rows, (9000, "b", 40_000)], SIZES)
+    got = {r.source: r for r in shares(mix(df, targets, block=100), targets, plan_mix(df, targets)).collect()}
+    assert abs(got["a"].uses - got["a"].expected_uses) < 1 and abs(got["a"].tokens - got["a"].expected_tokens) <= 0.01 * got["a"].expected_tokens
 
 
 @pytest.mark.parametrize("block", [20_000, 500])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ from .tokens import TOKENIZER, Tokenizer, tokenizer
 
 LIMIT = 4096
 OVERLAP = 128
+#: Characters without a natural boundary that are tokenized at a time.
+STRETCH = 20_000
+#: Pieces of one text that are handed on at a time.
+_WRITTEN = 512
 
 #: Kinds of boundary, weakest first; the strength is the place in this list.
 KINDS = ("anywhere", "sentence", "line", "paragraph", "hunk", "file")
@@ -29,16 +34,25 @@ _BOUNDARIES = (
 )
 
 
+def _cuts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character offsets of the natural boundaries inside ``text``, in order, and the greatest strength at each."""
+    places, strengths = [], []
+    for kind, pattern, side in _BOUNDARIES:
+        found = np.fromiter((m.start() if side == "start" else m.end() for m in pattern.finditer(text)), np.int64)
+        places.append(found)
+        strengths.append(np.full(len(found), KINDS.index(kind), np.int8))
+    at, strength = np.concatenate(places), np.concatenate(strengths)
+    inside = (at > 0) & (at < len(text))
+    at, strength = at[inside], strength[inside]
+    order = np.lexsort((strength, at))
+    at, strength = at[order], strength[order]
+    last = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, bool)
+    return at[last], strength[last]
+
+
 def boundaries(text: str) -> dict[int, int]:
     """Character offset to strength of every natural boundary inside ``text``."""
-    found: dict[int, int] = {}
-    for kind, pattern, side in _BOUNDARIES:
-        strength = KINDS.index(kind)
-        for m in pattern.finditer(text):
-            at = m.start() if side == "start" else m.end()
-            if 0 < at < len(text):
-                found[at] = max(strength, found.get(at, 0))
-    return found
+    return {int(a): int(s) for a, s in zip(*_cuts(text))}
 
 
 def _edges(text: str, tokens: list[int], t: Tokenizer) -> np.ndarray:
@@ -51,37 +65,53 @@ def _edges(text: str, tokens: list[int], t: Tokenizer) -> np.ndarray:
     return np.where(whole, at, -1)
 
 
-def _atoms(text: str, budget: int, t: Tokenizer) -> tuple[list[int], list[int], list[int], list[tuple[int, int]]]:
-    """Start, token count and strength of the cut before each atomic segment; and (character
-    offset, tokens before it) of every place where the token stream has a character edge."""
-    cuts = boundaries(text)
-    points = [0, *sorted(cuts), len(text)]
-    starts, sizes, strengths = [], [], []
-    edges: list[tuple[int, int]] = [(0, 0)]
+def _atoms(text: str, budget: int, t: Tokenizer) -> tuple[array, array, array]:
+    """Start, token count and strength of the cut before each atomic segment.
+
+    A text is tokenized segment by segment, never as a whole, and stretches without a
+    natural boundary in parts of ``STRETCH`` characters; only these three numbers are kept.
+    """
+    at, strength = _cuts(text)
+    starts, sizes, strengths = array("q"), array("q"), array("b")
+    for n in range(len(at) + 1):
+        a, z = int(at[n - 1]) if n else 0, int(at[n]) if n < len(at) else len(text)
+        cut = int(strength[n - 1]) if n else 0
+        for low in range(a, z, STRETCH):
+            segment = text[low : min(z, low + STRETCH)]
+            tokens = t.encode(segment)
+            begin = begin_char = 0
+            if len(tokens) > budget:  # no natural boundary in reach: cut between tokens
+                last_char = last_token = 0
+                for i, e in enumerate(_edges(segment, tokens, t).tolist(), 1):
+                    if e < 0:
+                        continue
+                    if i - begin > budget and last_token > begin:
+                        starts.append(low + begin_char)
+                        sizes.append(last_token - begin)
+                        strengths.append(cut)
+                        begin, begin_char, cut = last_token, last_char, 0
+                    last_char, last_token = e, i
+            starts.append(low + begin_char)
+            sizes.append(len(tokens) - begin)
+            strengths.append(cut)
+            cut = 0
+    return starts, sizes, strengths
+
+
+def _back(text: str, starts: array, head: int, t: Tokenizer) -> Iterator[tuple[int, int]]:
+    """(character offset, tokens from it to the start of atom ``head``) of the token edges before that atom, nearest first."""
     total = 0
-    for a, b in zip(points, points[1:]):
-        segment = text[a:b]
+    for i in range(head - 1, -1, -1):
+        segment = text[starts[i] : starts[i + 1]]
         tokens = t.encode(segment)
-        ends = _edges(segment, tokens, t)
-        begin, strength, last_char, last_token = 0, cuts.get(a, 0), 0, 0
-        for i, e in enumerate(ends.tolist(), 1):
-            if e < 0:
-                continue
-            if i - begin > budget and last_token > begin:  # no natural boundary in reach: cut between tokens
-                starts.append(a + begin_char if begin else a)
-                sizes.append(last_token - begin)
-                strengths.append(strength)
-                begin, begin_char, strength = last_token, last_char, 0
-            last_char, last_token = e, i
-            edges.append((a + e, total + i))
-        starts.append(a + begin_char if begin else a)
-        sizes.append(len(tokens) - begin)
-        strengths.append(strength)
+        ends = [0, *_edges(segment, tokens, t).tolist()]
+        for j in range(len(tokens) - 1, -1, -1):
+            if ends[j] >= 0:
+                yield starts[i] + ends[j], total + len(tokens) - j
         total += len(tokens)
-    return starts, sizes, strengths, edges
 
 
-def _merge(sizes: list[int], strengths: list[int], first: int, budget: int, overlap: int) -> list[int]:
+def _merge(sizes: array, strengths: array, first: int, budget: int, overlap: int) -> list[int]:
     """Indexes of the atoms that begin a piece, after merging weakest boundaries first.
 
     ``first`` leading atoms are one from the start. A heap holds adjacent pairs by
@@ -139,34 +169,32 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
     text. Every piece has fewer than ``limit`` tokens when it is tokenized by itself.
     """
     t = tokenizer(path)
-    if len(text) * 4 <= limit or t.count(text) <= limit:
+    # a text of more bytes than the longest tokens could make up is over the limit without being counted
+    if len(text) <= limit * t.longest and (len(text) * 4 <= limit or t.count(text) <= limit):
         return None
     budget = limit - 1 - overlap
     while True:
-        starts, sizes, strengths, edges = _atoms(text, budget, t)
+        starts, sizes, strengths = _atoms(text, budget, t)
         first = 1
         while first < len(sizes) and t.count(text[: starts[first]]) < overlap:  # the second piece needs a whole overlap before it
             first += 1
         heads = _merge(sizes, strengths, first, budget, overlap)
-        chars = [c for c, _ in edges]
-        before = np.array([n for _, n in edges])
-        at = np.array(chars)
         pieces, excess = [], 0
         for k, h in enumerate(heads):
             a = starts[h]
             b = starts[heads[k + 1]] if k + 1 < len(heads) else len(text)
             carried = a
-            if k:
-                own = int(before[np.searchsorted(at, a, side="right") - 1])
-                back = short = overlap
-                while short > 0:  # until the shared text has that many tokens by itself
-                    place = int(np.searchsorted(before, own - back, side="right")) - 1
-                    carried = chars[max(place, 0)]
-                    if place <= 0 or carried <= pieces[-1]["start_char"]:
-                        carried = max(carried, pieces[-1]["start_char"])
+            if k and overlap:
+                least = pieces[-1]["start_char"]
+                back = overlap
+                for place, n_tokens in _back(text, starts, h, t):
+                    if n_tokens < back and place > least:
+                        continue
+                    carried = max(place, least)
+                    short = overlap - t.count(text[carried:a])  # the shared text must have that many tokens by itself
+                    if short <= 0 or carried == least:
                         break
-                    short = overlap - t.count(text[carried:a])
-                    back += max(short, 1)
+                    back = n_tokens + short
             n = t.count(text[carried:b])
             excess = max(excess, n - (limit - 1))
             pieces.append({"piece_no": k, "cut_kind": KINDS[strengths[h]] if k else "start", "start_char": carried, "body_char": a, "end_char": b, "n_tokens": n, "text": text[carried:b]})
@@ -196,7 +224,7 @@ def split_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
                 pieces = split_text(text.as_py(), limit, overlap, path)
-                if pieces:
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id.as_py(), **p} for p in pieces], schema=_ARROW)
+                for at in range(0, len(pieces or ()), _WRITTEN):
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id.as_py(), **p} for p in pieces[at : at + _WRITTEN]], schema=_ARROW)
 
     return docs.where(F.octet_length("text") > limit).select("doc_id", "text").mapInArrow(split, _SCHEMA)

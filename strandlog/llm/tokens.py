@@ -29,6 +29,7 @@ class Tokenizer:
         self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.token_bytes[rank] = len(token)
+        self.longest = int(self.token_bytes.max())
 
     def encode(self, text: str) -> list[int]:
         return self._encoding.encode_ordinary(text)

@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +83,24 @@ def test_frames(spark):
 def test_impossible_limit():
     with pytest.raises(ValueError, match="no room"):
         split_text("a b c d e f g h " * 50, 10, 9)
+
+
+def test_one_huge_text_stays_small_in_memory(tmp_path):
+    """50 MB in one text: the memory beside the text and its pieces is bounded by a few bytes a character."""
+    code = """
+import resource, sys
+from strandlog.llm.splitting import split_text
+kind = sys.argv[1]
+text = ("alpha beta_gamma(12), delta. " * 4 + "\\n") * 430_000 if kind == "lines" else "x1y2 " * 2_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+pieces = split_text(text)
+after = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert pieces[0]["body_char"] == 0 and all(a["end_char"] == b["body_char"] for a, b in zip(pieces, pieces[1:])) and pieces[-1]["end_char"] == len(text)
+assert max(p["n_tokens"] for p in pieces) < 4096 and min(p["body_char"] - p["start_char"] for p in pieces[1:]) > 128
+print((after - before) // 1024, len(text) // 1_000_000)
+"""
+    for kind in ("lines", "one line"):
+        done = subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=600, check=False)
+        assert done.returncode == 0, done.stderr
+        mb, size = map(int, done.stdout.split())
+        assert size >= 10 and mb < 900, (kind, mb)

@@ -189,27 +189,77 @@ def join_prefixes(rows: DataFrame, index: ItemIndex, window: int = WINDOW) -> Da
     return rows.mapInArrow(join, "doc_id bigint, item_id bigint, n_windows int")
 
 
+_STRETCHES = pa.schema([("text_id", pa.string()), ("words", pa.string())])
+
+
+def stretches(texts: DataFrame, most: int) -> DataFrame:
+    """``(text_id, words)``: the words of each text, in stretches of at most ``most`` characters where it has more.
+
+    Consecutive stretches share all but one word of a window, so every window lies in
+    exactly one of them; a single window is never cut. Texts of fewer words than a window have none.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_id, text in zip(batch.column("text_id").to_pylist(), batch.column("text")):
+                held: list[str] = []
+                size = fresh = 0  # words since the last cut
+                for m in WORD.finditer(text.as_py().lower()):
+                    held.append(m[0])
+                    size, fresh = size + len(m[0]) + 1, fresh + 1
+                    if size > most and len(held) >= WINDOW:
+                        yield pa.RecordBatch.from_arrays([pa.array([text_id]), pa.array([" ".join(held)])], schema=_STRETCHES)
+                        held = held[-(WINDOW - 1) :]
+                        size, fresh = sum(map(len, held)) + len(held), 0
+                if len(held) >= WINDOW and fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array([text_id]), pa.array([" ".join(held)])], schema=_STRETCHES)
+
+    return texts.mapInArrow(cut, "text_id string, words string")
+
+
+def blocks_of(parts: DataFrame, block_chars: int) -> list[DataFrame]:
+    """``parts`` (stretch_id, words) in blocks of at most ``block_chars`` characters, or of one stretch.
+
+    The sizes of hash blocks are counted, and the number of blocks is doubled until all
+    are within the bound, so what a block takes on the driver and in a broadcast is checked.
+    """
+    total, n = parts.agg(F.sum(F.length("words")), F.count(F.lit(1))).first()
+    n_blocks = max(1, -(-(total or 0) // block_chars))
+    while True:
+        block = F.pmod(F.xxhash64("stretch_id"), F.lit(n_blocks))
+        # the largest of the blocks that hold several stretches
+        worst = parts.groupBy(block.alias("b")).agg(F.sum(F.length("words")).alias("size"), F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.max("size")).first()[0]
+        if (worst or 0) <= block_chars:
+            return [parts.where(block == b) for b in range(n_blocks)] if n_blocks > 1 else [parts]
+        n_blocks *= 2
+
+
 def leaks(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, n_windows)``: documents with at least 12 consecutive words of an item.
 
-    ``n_windows`` counts the item's 12-word windows that the document holds. Items are
+    ``n_windows`` counts the item's 12-word windows that the document holds. Equal item
+    texts are looked up once, long ones in stretches (an eighth of a block). Items are
     taken in blocks of bounded size, each against all documents in one pass without a
     shuffle of the documents; only the postings of item shingles are kept. Document
     frequencies, which order the shingles, are counted over all documents. Null ids or
     texts and texts of fewer than 12 words match nothing; rows of equal ids count once.
     """
-    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_chars))
+    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.sha2("text", 256).alias("text_id"), "text")
+    parts = materialise(stretches(usable.select("text_id", "text").dropDuplicates(["text_id"]), max(1, block_chars // 8)).withColumn("stretch_id", F.monotonically_increasing_id()), "stretches")
     found = []
-    for b in range(n_blocks):
-        block = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        index = build_index([(r.item_id, r.text) for r in block.collect()])
+    for block in blocks_of(parts.select("stretch_id", "words"), block_chars):
+        index = build_index([(r.stretch_id, r.words) for r in block.collect()])
+        if not index.item_ids:
+            continue
         rows = materialise(postings(docs, index), "postings")
         counts = rows.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").count().collect()  # at most the block's shingles
         rank_prefixes(index, {r.s: r["count"] for r in counts})
-        found.append(join_prefixes(rows, index))
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
+        found.append(join_prefixes(rows, index).withColumnRenamed("item_id", "stretch_id"))
+    if not found:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_windows int")
+    each = reduce(DataFrame.unionByName, found).groupBy("doc_id", "stretch_id").agg(F.max("n_windows").alias("n_windows"))
+    texts = each.join(parts.select("stretch_id", "text_id"), "stretch_id").groupBy("doc_id", "text_id").agg(F.sum("n_windows").cast("int").alias("n_windows"))
+    return texts.join(usable.select("item_id", "text_id").distinct(), "text_id").groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
 def leaked_items(items: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog.llm.leakage import build_index, leaked_items, leaks, words_of
+from strandlog.llm.leakage import blocks_of, build_index, leaked_items, leaks, stretches, words_of
 from tests.conftest import rows_of, set_of
 
 DOCS, ITEMS = "doc_id bigint, text string", "item_id bigint, text string"
@@ -77,3 +77,29 @@ def test_empty_tables(spark):
 def test_shingles_are_told_apart_exactly():
     index = build_index([(1, " ".join(f"q{i % 7}" for i in range(60)))])
     assert len(index.keys) == len(set(index.keys.tolist())) == len(index.rows)
+
+
+def test_blocks_are_bounded(spark):
+    """Long items, one item again and again: no block passes its bound, and no window is lost."""
+    rng = random.Random(4)
+    word = lambda: f"u{rng.randrange(4000)}"
+    long = " ".join(word() for _ in range(3000))
+    items = [(1, long), *((100 + i, "same words here " * 9) for i in range(50)), (2, long + " end"), *((1000 + i, " ".join(word() for _ in range(14))) for i in range(40))]
+    words = long.split()
+    docs = [(1, " ".join(words[k : k + 12])) for k in (0, 500)] + [(2, "x " + " ".join(words[700:725]) + " y"), (3, long), (4, "Same. Words? here " * 5), (5, items[60][1])]
+    parts = stretches(spark.createDataFrame([(str(i), t) for i, t in dict(items).items()], "text_id string, text string"), 250).withColumn("stretch_id", F.monotonically_increasing_id()).persist()
+    sizes = [sum(len(r.words) for r in b.collect()) for b in blocks_of(parts, 2000)]
+    assert max(sizes) <= 2000 and sum(sizes) == parts.agg(F.sum(F.length("words"))).first()[0]
+    seen = [tuple(w[k : k + 12]) for r in parts.where("text_id = '1'").collect() for w in [r.words.split()] for k in range(len(w) - 11)]
+    assert sorted(seen) == sorted(tuple(words[k : k + 12]) for k in range(len(words) - 11))  # each window once
+    found = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), 2000)
+    got = {r[:2]: r[2] for r in set_of(found)}
+    assert set(got) == {r[:2] for r in brute(docs, items)} and got[3, 1] == len(words) - 11 and got[2, 1] == 14
+
+
+def test_one_huge_item_is_read_in_blocks(spark):
+    text = " ".join(f"h{i * 7919 % 1_000_003}" for i in range(600_000))
+    words = text.split()
+    docs = [(k, "- " + "\n+ ".join(words[a : a + 15])) for k, a in enumerate((0, 299_990, 599_985))]
+    found = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, text)], ITEMS))
+    assert set_of(found) == {(k, 1, 4) for k in range(3)}

@@ -60,6 +60,12 @@ class Namespaces:
             )
         return df
 
+    def spellings(self, ids: list[str]) -> list[str]:
+        """Everything that :meth:`compress` turns into one of ``ids``, so that a filter on a raw column can reach its scan."""
+        prefixes = sorted({i.partition(":")[0] for i in ids if ":" in i})
+        known = [(r.prefix, r.expansion) for r in self._table.where(F.col("prefix").isin(prefixes)).select("prefix", "expansion").distinct().collect()]
+        return list(dict.fromkeys([*ids, *(e + i.partition(":")[2] for i in ids for p, e in known if i.startswith(p + ":"))]))
+
     def column(self, value: Column) -> Column:
         """The inline form of :meth:`compress` for one expression (small tables only)."""
         if self._inline is None:

@@ -185,7 +185,7 @@ def hydrate(hops: DataFrame, entities: DataFrame) -> DataFrame:
 def lookup(changes: DataFrame, catalog: DataFrame, ids: list[str], datasets: list[str] | None = None, at: int | None = None) -> DataFrame:
     """Merged entities by CURIE; unknown ids come back as bare placeholders."""
     spark = changes.sparkSession
-    rows = changes.where(F.col("entity_id").isin(ids))  # before the reduction, so it reaches the scan
+    rows = changes.where(F.col("entity_id").isin(ids))  # before the reduction; give a raw log filtered by Namespaces.spellings
     if datasets:
         rows = rows.where(F.col("dataset").isin(datasets))
     found = merged_entities(partials(latest(rows, at), catalog))

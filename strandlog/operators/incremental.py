@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..identity import Namespaces
-from .graph import hop, relations
+from ..session import materialise
+from .graph import ANY, hop, relations
 from .snapshot import latest, latest_only
 
 
@@ -81,16 +82,25 @@ def dependencies_from_config(config: list[dict], main: str, proxies: frozenset[s
     return found
 
 
-def touched_by(log: DataFrame, namespaces: Namespaces | None, main: str, dependency: Dependency, since: int, all_levels: bool = False) -> DataFrame:
+def chain_links(log: DataFrame, namespaces: Namespaces | None, dependencies: list[Dependency], at: int | None = None) -> DataFrame:
+    """The links of the predicates that the dependencies' joins follow, as they are now or were ``at``."""
+    wanted = sorted({j.predicate for d in dependencies for j in d.joins})
+    links = relations(log, namespaces, at).select("dataset", "subject", "predicate", "object", "recorded")
+    return links if ANY in wanted else links.where(F.col("predicate").isin(wanted))
+
+
+def touched_by(log: DataFrame, namespaces: Namespaces | None, main: str, dependency: Dependency, since: int, all_levels: bool = False, links: DataFrame | None = None) -> DataFrame:
     """``entity_id`` of the main entities that changes of a dependency since its token reach.
 
+    ``links`` are those of :func:`chain_links`, for callers that have several dependencies.
+
     Links count as they are now; for the first join, if it follows links outwards, also as
     they were at the dependency's last change before ``since``, so an entity whose link was
     removed is still found. ``all_levels`` looks back at every outward join.
     """
     source = log.where(F.col("dataset") == dependency.dataset)
     ids = source.where(F.col("seq") >= since).select("entity_id").distinct()
-    links = relations(log, namespaces)
+    links = chain_links(log, namespaces, [dependency]) if links is None else links
     before = None
     if since > 0:
         before = source.where(F.col("seq") < since).agg(F.max("recorded")).first()[0]
@@ -99,7 +109,9 @@ def touched_by(log: DataFrame, namespaces: Namespaces | None, main: str, depende
         starts = ids.select(F.col("entity_id").alias("start_id"))
         reached = hop(starts, links, join.predicate, join.inverse).select(F.col("related_id").alias("entity_id"))
         if before is not None and not join.inverse and (level == 0 or all_levels):
-            old = relations(log, namespaces, at=before)
+            # outward links are those of the starts themselves, so only their versions are reduced
+            held = log.join(ids, "entity_id", "left_semi").where(F.col("recorded") <= before)
+            old = chain_links(held, namespaces, [dependency])
             reached = reached.unionByName(hop(starts, old, join.predicate, False).select(F.col("related_id").alias("entity_id")))
         ids = reached.distinct()
     present = log.where(F.col("dataset") == main).select("entity_id").distinct()
@@ -119,8 +131,9 @@ def multi_source(log: DataFrame, namespaces: Namespaces | None, main: str, depen
     out = own.select(*columns)
     if dependencies:
         touched = None
+        links = materialise(chain_links(log, namespaces, dependencies), "chain-links")  # once for all dependencies
         for d in dependencies:
-            ids = touched_by(log, namespaces, main, d, tokens.get(d.dataset, 0))
+            ids = touched_by(log, namespaces, main, d, tokens.get(d.dataset, 0), links=links)
             touched = ids if touched is None else touched.unionByName(ids)
         now = latest(mine).join(touched.distinct(), "entity_id", "left_semi").select(*columns)
         out = out.unionByName(now).dropDuplicates(["dataset", "seq"])

@@ -246,4 +246,17 @@ SELECT DISTINCT o.job_id, l.dataset, l.seq FROM offs o JOIN change_log l ON l.da
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY recorded DESC, batch_seq DESC, deleted) AS n FROM vers)
 SELECT dataset, id, recorded, batch_seq FROM ranked WHERE n = 1 AND NOT deleted""",
 }
+# The attributes and types of attr_types, which the wide table has as columns.
+_WIDE = {
+    "bigint": ["ns3:age", "ns7:grade", "ns5:ports", "ns5:cycles", "ns4:staff"],
+    "double": ["ns3:height", "ns5:mass", "ns5:offset", "ns4:rating"],
+    "boolean": ["ns3:active", "ns5:wired", "ns4:listed"],
+    "date": ["ns3:hired", "ns7:leave", "ns5:installed", "ns5:checked", "ns4:founded"],
+    "string": ["ns3:fullname", "ns3:badge", "ns5:label", "ns5:serial", "ns4:title", "ns4:unit"],
+}
+_COLUMNS = ", ".join(
+    f"CAST(max(cell) FILTER (WHERE attr = '{a}') AS " + ("BIGINT) / 1000.0" if t == "double" else f"{t.upper()})".replace("STRING", "VARCHAR")) + f' AS "{a}"' for t, names in _WIDE.items() for a in names
+)
+ORACLE["p7_wide"] = f"""WITH ids AS (SELECT DISTINCT dataset, {curie_sql('id')} AS id FROM entity_attrs WHERE dataset IS NOT NULL AND id IS NOT NULL)
+SELECT dataset, id, {_COLUMNS} FROM ids LEFT JOIN ({ORACLE['p7_found']}) USING (dataset, id) GROUP BY dataset, id"""
 ORACLE["p4_report"] = f"SELECT dataset, period_ym, reason, count(*) AS n_refs, count(DISTINCT target_id) AS n_targets FROM ({ORACLE['p4_found']}) GROUP BY ALL"

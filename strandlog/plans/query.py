@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..identity import Namespaces
 from ..operators import graph, snapshot
+from ..session import materialise
 
 DEFAULT_LIMIT = 100
 
@@ -50,9 +51,13 @@ class Result:
     continuation: str | None = None
 
 
-def run_query(log: DataFrame, catalog: DataFrame, namespaces: Namespaces | None, query: Query) -> Result:
+def run_query(log: DataFrame, catalog: DataFrame, namespaces: Namespaces | None, query: Query, kept: dict | None = None) -> Result:
     """Runs a query. Traversal rows are (start_id, predicate, related_id, recorded) with the related
-    entity's columns; only an explicit limit gives a continuation, without one 100 rows come."""
+    entity's columns; only an explicit limit gives a continuation, without one 100 rows come.
+
+    ``kept`` holds the hops of a traversal between its pages, so the log is reduced to
+    them once; give the same dictionary to every page of one traversal.
+    """
     visible = snapshot.in_scope(log, catalog)
     scope = [r.dataset for r in catalog.select("dataset").where(catalog.dataset.isin(query.datasets)).distinct().collect()] if query.datasets else []
     if query.entity_id is not None:
@@ -70,30 +75,36 @@ def run_query(log: DataFrame, catalog: DataFrame, namespaces: Namespaces | None,
     at = query.at
     if at is None:
         at = visible.agg({"recorded": "max"}).first()[0] or 0
-    links = graph.relations(visible, namespaces, at)
-    starts = log.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(query.starts)], "start_id string")
-    hops = graph.hop(starts, links, query.predicate, query.inverse, scope or None)
+    key = json.dumps([query.starts, query.predicate, query.inverse, scope, at])
+    hops = None if kept is None else kept.get(key)
+    if hops is None:
+        links = graph.relations(visible, namespaces, at)
+        starts = log.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(query.starts)], "start_id string")
+        hops = graph.hop(starts, links, query.predicate, query.inverse, scope or None)
+        if kept is not None:
+            hops = kept[key] = materialise(hops, "hops")
     limit = query.limit or DEFAULT_LIMIT
     page = graph.page_hop(hops, limit, after)
-    parts = graph.partials(snapshot.latest(snapshot.in_scope(visible, catalog, scope)), catalog)
-    wanted = page.select(page.related_id.alias("entity_id")).distinct()
-    related = parts.join(wanted, "entity_id", "left_semi")  # only the page's entities are merged
-    entities = graph.merged_entities(related) if query.merge else graph.with_partials(related)
-    rows = page.join(entities.drop("recorded").withColumnRenamed("entity_id", "related_id"), "related_id", "left")
     token = None
     if query.limit:
         seen = page.collect()  # one page
+        page = log.sparkSession.createDataFrame(seen, page.schema)
         if len(seen) == limit:
             last = seen[-1]
             token = snapshot.encode_token({"starts": query.starts, "predicate": query.predicate, "inverse": query.inverse, "datasets": scope, "limit": limit, "at": at, "merge": query.merge, "after": [last.start_id, last.recorded, last.predicate, last.related_id]})
-    return Result(rows, token)
+    wanted = page.select(page.related_id.alias("entity_id")).distinct()
+    versions = snapshot.in_scope(visible, catalog, scope).join(wanted, "entity_id", "left_semi")  # only the page's entities are reduced and merged
+    related = graph.partials(snapshot.latest(versions), catalog)
+    entities = graph.merged_entities(related) if query.merge else graph.with_partials(related)
+    return Result(page.join(entities.drop("recorded").withColumnRenamed("entity_id", "related_id"), "related_id", "left"), token)
 
 
 def paged_query(log: DataFrame, catalog: DataFrame, namespaces: Namespaces | None, query: Query, page_size: int, call: Callable[[DataFrame], bool]) -> str | None:
     """Calls ``call`` with page after page until it returns false; the token to go on from, None at the end."""
     query.limit = page_size
+    kept: dict = {}
     while True:
-        result = run_query(log, catalog, namespaces, query)
+        result = run_query(log, catalog, namespaces, query, kept)
         if not call(result.rows) or result.continuation is None:
             return result.continuation
         query = Query(continuation=result.continuation, limit=page_size)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +14,13 @@ from ..model import change_table, ref_pairs
 from ..operators import graph, incremental, maintenance, mutation, snapshot
 from ..sources import formats
 from ..sources.readers import SampleSource, UnionDatasetSource
-from ..session import materialise
+from ..session import keep_path, materialise
+from ..store import EntityStore
 from ..tables import load
 from . import stars
-from .pipeline import per_batch
+from .pipeline import JobState, Pipeline, per_batch
 from .problems import curie_sql
+from .query import Query, paged_query
 
 #: A moment within the log: 2025-01-01 in nanoseconds.
 AT = 1_735_689_600_000_000_000
@@ -60,6 +65,12 @@ def _subjects(links: DataFrame) -> DataFrame:
     return links.select(F.col("subject").alias("start_id")).distinct()
 
 
+def _sites(spark: SparkSession, d: str) -> list[str]:
+    """All sites that have a person dataset."""
+    names = load(spark, d, "change_log").where("dataset LIKE '%.person'").select("dataset").distinct().collect()
+    return sorted(r.dataset.rsplit(".", 1)[0] for r in names)
+
+
 def _site(spark: SparkSession, d: str) -> str:
     """The first site that has a person dataset."""
     return load(spark, d, "change_log").where("dataset LIKE '%.person'").agg(F.min("dataset")).first()[0].rsplit(".", 1)[0]
@@ -96,6 +107,10 @@ _SITE = "(SELECT regexp_replace(min(dataset), '\\.[^.]*$', '') FROM change_log W
 # JSON values as text with numbers in their shortest form, names sorted
 _PROPS = r"""coalesce((SELECT string_agg(q.k || '=' || regexp_replace(regexp_replace(CAST(json_extract({c}, '$."' || q.k || '"') AS VARCHAR), '(\.[0-9]*[1-9])0+([,}}\]]|$)', '\1\2', 'g'), '\.0+([,}}\]]|$)', '\1', 'g'), ';' ORDER BY q.k)
   FROM (SELECT unnest(json_keys({c})) AS k) q WHERE json_type({c}, '$."' || q.k || '"') <> 'NULL'), '')"""
+_TEXT = r"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '(\.[0-9]*[1-9])0+([,}}\]]|$)', '\1\2', 'g'), '\.0+([,}}\]]|$)', '\1', 'g')"
+# every property of live newest versions with its value as text
+_VALUES = f"""keyed AS (SELECT *, unnest(json_keys(props)) AS name FROM latest WHERE NOT deleted), told AS (SELECT *, json_extract(props, '$."' || name || '"') AS x FROM keyed),
+v AS (SELECT dataset, entity_id, deleted, props, name, {_TEXT.format(x='x')} AS value FROM told WHERE json_type(x) <> 'NULL')"""
 _KEY = "concat_ws('|', deleted, " + _PROPS.format(c="props") + ", " + _PROPS.format(c="refs") + ")"
 
 
@@ -191,16 +206,18 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return entity.typed(snapshot.latest(_log(spark, d), include_deleted=False))
 
 
-@query(f"WITH {_LATEST}, k AS (SELECT dataset, entity_id, unnest(json_keys(props)) AS name FROM latest WHERE NOT deleted) SELECT dataset, CASE name WHEN 'ns3:name' THEN 'ns3:title' ELSE name END AS name, count(*) AS n FROM k GROUP BY 1, 2")
+def _entries(rows: DataFrame, props) -> DataFrame:
+    return rows.select("dataset", "entity_id", F.explode(props).alias("name", "value"))
+
+
+@query(f"WITH {_LATEST}, {_VALUES} SELECT dataset, entity_id, CASE name WHEN 'ns3:name' THEN 'ns3:title' ELSE name END AS name, value FROM v WHERE name <> 'ns3:title' OR NOT list_contains(json_keys(props), 'ns3:name')")
 def props_rename(spark: SparkSession, d: str) -> DataFrame:
-    rows = _typed(spark, d).select("dataset", F.explode(F.map_keys(entity.rename_property(F.col("props"), "ns3", "name", "ns3", "title"))).alias("name"))
-    return rows.groupBy("dataset", "name").agg(F.count(F.lit(1)).alias("n"))
+    return _entries(_typed(spark, d), entity.rename_property(F.col("props"), "ns3", "name", "ns3", "title"))
 
 
-@query(f"WITH {_LATEST}, k AS (SELECT dataset, entity_id, unnest(json_keys(props)) AS name FROM latest WHERE NOT deleted) SELECT dataset, name, count(*) AS n FROM k WHERE name <> 'ns5:label' GROUP BY 1, 2")
+@query(f"WITH {_LATEST}, {_VALUES} SELECT dataset, entity_id, name, value FROM v WHERE name <> 'ns5:label'")
 def props_remove(spark: SparkSession, d: str) -> DataFrame:
-    rows = _typed(spark, d).select("dataset", F.explode(F.map_keys(entity.remove_property(F.col("props"), "ns5", "label"))).alias("name"))
-    return rows.groupBy("dataset", "name").agg(F.count(F.lit(1)).alias("n"))
+    return _entries(_typed(spark, d), entity.remove_property(F.col("props"), "ns5", "label"))
 
 
 @query(f"WITH {_LATEST} SELECT dataset, entity_id, coalesce(json_extract_string(props, '$.\"ns3:name\"'), 'nobody') AS name, 'yes' AS seen FROM latest WHERE NOT deleted")
@@ -210,10 +227,27 @@ def props_get_set(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).select("dataset", "entity_id", name.alias("name"), entity.to_string(entity.get_property(props, "ns3", "seen")).alias("seen"))
 
 
-@query(f"WITH {_LATEST} SELECT entity_id, deleted, CAST(len(json_keys(props)) AS BIGINT) AS n_props, 1 AS n_refs FROM latest WHERE NOT deleted")
+@query(f"WITH {_LATEST}, {_VALUES} SELECT entity_id, deleted, name, value FROM v UNION ALL SELECT entity_id, deleted, 'rdf:type', '[\"ns2:thing\"]' FROM latest WHERE NOT deleted")
 def new_entity_from(spark: SparkSession, d: str) -> DataFrame:
     rows = entity.new_entity_from(_typed(spark, d), add_type="ns2:thing", copy_props=True)
-    return rows.select("entity_id", "deleted", F.size("props").cast("bigint").alias("n_props"), F.size("refs").alias("n_refs"))
+    refs = F.transform_values("refs", lambda k, v: F.to_json(v))
+    return rows.select("entity_id", "deleted", F.explode(F.map_concat("props", refs)).alias("name", "value"))
+
+
+@query(
+    f"""WITH {_LATEST}, w AS (SELECT dataset, entity_id, refs, json_extract(refs, '$."ns4:worksfor"') AS x FROM latest WHERE NOT deleted)
+SELECT dataset, entity_id, true AS deleted, 'ns2:a,ns2:b' AS tags, CASE WHEN x IS NULL OR json_type(x) = 'NULL' THEN 'nobody' WHEN json_type(x) = 'ARRAY' THEN array_to_string(CAST(x AS VARCHAR[]), ',') ELSE x ->> '$' END AS worksfor FROM w"""
+)
+def refs_get_add(spark: SparkSession, d: str) -> DataFrame:
+    refs = entity.add_reference(F.col("refs"), "ns2", "tag", F.array(F.lit("ns2:a"), F.lit("ns2:b")))
+    works = entity.get_reference(refs, "ns4", "worksfor", F.array(F.lit("nobody")))
+    return _typed(spark, d).select("dataset", "entity_id", entity.set_deleted(True).alias("deleted"), F.array_join(entity.get_reference(refs, "ns2", "tag"), ",").alias("tags"), F.array_join(works, ",").alias("worksfor"))
+
+
+@query(f"WITH {_LATEST} SELECT dataset, count(*) AS n_uuids, 36 AS width FROM latest GROUP BY dataset")
+def uuids(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialise(snapshot.latest(_log(spark, d), payload=()).select("dataset", entity.new_uuid().alias("u")), "uuids")
+    return rows.groupBy("dataset").agg(F.countDistinct("u").alias("n_uuids"), F.max(F.length("u")).alias("width"))
 
 
 @query(
@@ -257,6 +291,22 @@ def curie_expand(spark: SparkSession, d: str) -> DataFrame:
     return uri.expand_curie(ids, "entity_id", load(spark, d, "namespace_map"), "full_uri").select("entity_id", "full_uri")
 
 
+@query(f"WITH {_LATEST}, {_VALUES}, full_ids AS (SELECT dataset, coalesce(n.expansion || substr(entity_id, length(n.prefix) + 2), entity_id) AS entity_id, name FROM v LEFT JOIN namespace_map n ON n.prefix = split_part(entity_id, ':', 1) AND entity_id LIKE '%:%') SELECT dataset, entity_id, coalesce(n.expansion || substr(name, length(n.prefix) + 2), name) AS name FROM full_ids LEFT JOIN namespace_map n ON n.prefix = split_part(name, ':', 1) AND name LIKE '%:%'")
+def identifiers_expanded(spark: SparkSession, d: str) -> DataFrame:
+    table = {r.prefix: r.expansion for r in load(spark, d, "namespace_map").limit(1_000).collect()}
+    rows = uri.expand_identifiers(_typed(spark, d), table)
+    return rows.select("dataset", "entity_id", F.explode(F.map_keys("props")).alias("name"))
+
+
+@query("SELECT 'ns' || (row_number() OVER (ORDER BY min(ord)) - 1) AS prefix, expansion FROM namespace_map GROUP BY expansion")
+def prefixes_asserted(spark: SparkSession, d: str) -> DataFrame:
+    """The prefixes that an empty table gives the expansions, asked for in order and then again."""
+    expansions = [r.expansion for r in load(spark, d, "namespace_map").groupBy("expansion").agg(F.min("ord").alias("o")).orderBy("o").limit(1_000).collect()]
+    table = uri.PrefixTable()
+    given = [table.assert_prefix(e) for e in expansions]
+    return spark.createDataFrame([(table.assert_prefix(e), e) for e in expansions if table.prefix(e) in given], "prefix string, expansion string")
+
+
 @query("SELECT prefix, expansion, ord FROM namespace_map ORDER BY ord")
 def namespaces(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "namespace_map").orderBy("ord").select("prefix", "expansion", "ord")
@@ -359,7 +409,21 @@ def paged_hop_page2(spark: SparkSession, d: str) -> DataFrame:
     return graph.page_hop(hops, PAGE, (last.start_id, last.recorded, last.predicate, last.related_id))
 
 
-_TEXT = r"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '(\.[0-9]*[1-9])0+([,}}\]]|$)', '\1\2', 'g'), '\.0+([,}}\]]|$)', '\1', 'g')"
+_VISIBLE = f"{_VERS}, seen AS (SELECT * FROM vers WHERE dataset NOT IN (SELECT dataset FROM dataset_catalog WHERE deleted)), {_newest('latest_seen', 'seen')}, {_rels('rels', 'latest_seen')}"
+
+
+@query(
+    f"""WITH {_VISIBLE}, hub AS (SELECT object AS o, count(DISTINCT (subject, predicate)) AS n FROM rels GROUP BY 1 ORDER BY n DESC, o LIMIT 1)
+SELECT object AS start_id, predicate, subject AS related_id, max(recorded) AS recorded FROM rels JOIN hub ON object = o GROUP BY 1, 2, 3"""
+)
+def hop_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All pages of the traversal backwards from the entity that most name, from token to token."""
+    log, catalog, names = _log(spark, d), _catalog(spark, d), _ns(spark, d)
+    links = graph.relations(snapshot.in_scope(log, catalog), names)
+    hub = links.groupBy("object").agg(F.countDistinct("subject", "predicate").alias("n")).orderBy(F.col("n").desc(), "object").first()
+    pages: list[DataFrame] = []
+    paged_query(log, catalog, names, Query(starts=[hub.object], inverse=True), max(PAGE, hub.n // 8), lambda page: not pages.append(materialise(page.select("start_id", "predicate", "related_id", "recorded"), "page")))
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query(
@@ -390,7 +454,9 @@ def multi_origin(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LATEST}, {_LIVE}, w AS (SELECT unnest(['ns5:gateway-1', 'ns5:nobody']) AS entity_id) SELECT entity_id, deleted, recorded, n_partials FROM w LEFT JOIN ents USING (entity_id)")
 def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return graph.lookup(_log(spark, d), _catalog(spark, d), ["ns5:gateway-1", "ns5:nobody"]).select("entity_id", "deleted", "recorded", "n_partials")
+    ids, names = ["ns5:gateway-1", "ns5:nobody"], _ns(spark, d)
+    raw = load(spark, d, "change_log").where(F.col("id").isin(names.spellings(ids)))  # reaches the scan
+    return graph.lookup(change_table(raw, names, distinct=False), _catalog(spark, d), ids).select("entity_id", "deleted", "recorded", "n_partials")
 
 
 @query(f"WITH {_VERS} SELECT entity_id, dataset, arg_max(seq, (recorded, batch_seq, seq)) AS latest_seq, max(recorded) AS latest_recorded, count(*) AS n_changes FROM vers GROUP BY 1, 2")
@@ -435,21 +501,38 @@ def transaction_apply(spark: SparkSession, d: str) -> DataFrame:
     return mutation.append(_committed(spark, d), _incoming(spark, d), AT).select("dataset", "seq", "entity_id", "recorded")
 
 
-@query(f"WITH {_LATEST} SELECT dataset, entity_id FROM latest WHERE NOT deleted AND dataset = {_SITE} || '.person' AND entity_id NOT IN (SELECT entity_id FROM vers WHERE dataset = {_SITE} || '.person' AND recorded > {AT})")
+@query(f"WITH {_LATEST} SELECT dataset, entity_id FROM latest WHERE NOT deleted AND (dataset, entity_id) NOT IN (SELECT (dataset, entity_id) FROM vers WHERE recorded > {AT})")
 def fullsync_deletions(spark: SparkSession, d: str) -> DataFrame:
-    """Entities that a full sync of what was recorded after AT would delete."""
-    log, name = _log(spark, d), _site(spark, d) + ".person"
-    seen = log.where((F.col("dataset") == name) & (F.col("recorded") > AT))
-    return mutation.full_sync_deletions(log, seen, name).select("dataset", "entity_id")
+    """Entities that full syncs of what was recorded after AT would delete, of every dataset."""
+    log = _log(spark, d)
+    return mutation.unseen(log, log.where(F.col("recorded") > AT)).select("dataset", "entity_id")
+
+
+@query(
+    f"""WITH {_WRITTEN.replace('{rule}', 'old IS NULL OR k <> old OR (prev IS NOT NULL AND k <> prev)')}, ends AS (SELECT dataset, count(*) AS n FROM vers WHERE seq < {SINCE} GROUP BY 1)
+SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY seq) - 1 AS seq, entity_id FROM vers WHERE seq < {SINCE}
+UNION ALL
+SELECT kept.dataset, coalesce(n, 0) + row_number() OVER (PARTITION BY kept.dataset ORDER BY pos, entity_id) - 1, entity_id FROM kept LEFT JOIN ends USING (dataset)"""
+)
+def store_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """The log written to a store in two transactions, cut at SINCE, and read back."""
+    log = materialise(_log(spark, d, distinct=True).withColumn("pos", F.col("seq")), "log")
+    store = EntityStore(spark, keep_path(spark, "store"))
+    for r in log.select("dataset").distinct().collect():
+        store.create_dataset(r.dataset)
+    for part in (log.where(F.col("seq") < SINCE), log.where(F.col("seq") >= SINCE)):
+        store.transaction(part.select("dataset", "entity_id", "deleted", "props", "refs", "pos"))
+    return store.changes().select("dataset", "seq", "entity_id")
 
 
 # Sources and incremental processing
 
 
-@query(f"WITH {_LATEST} SELECT dataset, entity_id, seq FROM latest WHERE dataset IN ({_SITE} || '.person', {_SITE} || '.company')")
+@query(f"WITH {_LATEST} SELECT dataset, entity_id, seq FROM latest WHERE dataset LIKE '%.person' OR dataset LIKE '%.company'")
 def union_source(spark: SparkSession, d: str) -> DataFrame:
-    site, log = _site(spark, d), _log(spark, d)
-    rows, _ = UnionDatasetSource(lambda: log, [site + ".person", site + ".company"]).read_all()
+    log = _log(spark, d)
+    names = sorted(r.dataset for r in load(spark, d, "change_log").where("dataset LIKE '%.person' OR dataset LIKE '%.company'").select("dataset").distinct().collect())
+    rows, _ = UnionDatasetSource(lambda: log, names).read_all()
     return rows.select("dataset", "entity_id", "seq")
 
 
@@ -466,57 +549,105 @@ def incremental_two_runs(spark: SparkSession, d: str) -> DataFrame:
     return two_runs(log.where(F.col("seq") < SINCE), log, names)
 
 
+class _Kept:
+    """A sink that keeps the place of every row it is given, by run."""
+
+    def __init__(self) -> None:
+        self.run_no, self.parts = 0, []
+
+    def write(self, rows: DataFrame) -> int:
+        self.parts.append(materialise(rows.select(F.lit(self.run_no).alias("run_no"), "dataset", "seq"), "kept"))
+        return 0
+
+    write_all = write
+
+
 def two_runs(before: DataFrame, now: DataFrame, names: list[str]) -> DataFrame:
-    """``(run_no, dataset, n)``: the rows that a first run over ``before`` and a second one over ``now``, from the first one's token, read."""
-    logs = [before, now]
-    source = UnionDatasetSource(lambda: logs[0], names)
-    first, token = source.read("")
-    logs.pop(0)
-    second, _ = source.read(token)
-    rows = first.withColumn("run_no", F.lit(1)).unionByName(second.withColumn("run_no", F.lit(2)))
+    """``(run_no, dataset, n)``: the rows that two runs of a job wrote, the first over ``before``, the second, from its stored token, over ``now``."""
+    spark, logs, sink = now.sparkSession, [before], _Kept()
+    job = Pipeline("two-runs", UnionDatasetSource(lambda: logs[-1], names), sink, JobState(keep_path(spark, "jobs")), batch=None)
+    for log in (before, now):
+        logs.append(log)
+        sink.run_no += 1
+        record = job.run()
+        if not record["ok"]:
+            raise RuntimeError(record["error"])
+    rows = reduce(DataFrame.unionByName, sink.parts)
     return rows.groupBy("run_no", "dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CHANGED = f"""site AS (SELECT {_SITE} AS s),
-ch AS (SELECT DISTINCT entity_id FROM vers, site WHERE dataset = s || '.company' AND seq >= {SINCE}),
-main AS (SELECT latest.* FROM latest, site WHERE dataset = s || '.person')"""
+@query("SELECT dataset, max(seq) + 1 AS next_offset FROM change_log GROUP BY dataset")
+def fullsync_watermarks(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens that a full run over all datasets stores before it reads anything."""
+    log = load(spark, d, "change_log")
+    names = [r.dataset for r in log.select("dataset").distinct().collect()]
+    return spark.createDataFrame(list(incremental.next_tokens(log, names).items()), "dataset string, next_offset bigint")
+
+
+@query(
+    """SELECT * FROM (VALUES ('x.company', 1, 'x.person', 'ns4:worksfor', true), ('x.town', 1, 'x.company', 'ns8:in', true), ('x.town', 2, 'x.person', 'ns4:worksfor', true), ('x.workorder', 1, 'x.person', 'ns6:assignee', false))
+AS t(dataset, step, into_dataset, predicate, inverse)"""
+)
+def tracked_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """The dependencies that two query chains of a transform give, turned round."""
+    tracker = incremental.Tracker("x.person")
+    tracker.hop("x.company", "ns4:worksfor").hop("x.town", "ns8:in")
+    tracker.ihop("x.workorder", "ns6:assignee")
+    rows = [(dep.dataset, n, j.dataset, j.predicate, j.inverse) for dep in tracker.dependencies() for n, j in enumerate(dep.joins, 1)]
+    return spark.createDataFrame(rows, "dataset string, step int, into_dataset string, predicate string, inverse boolean")
+
+
+_SITES = "site AS (SELECT DISTINCT regexp_replace(dataset, '\\.person$', '') AS s FROM change_log WHERE dataset LIKE '%.person')"
+_CHANGED = f"""{_SITES},
+ch AS (SELECT DISTINCT s, entity_id FROM vers JOIN site ON dataset = s || '.company' WHERE seq >= {SINCE}),
+main AS (SELECT s, latest.* FROM latest JOIN site ON dataset = s || '.person'),
+reached AS (SELECT DISTINCT main.* FROM main JOIN rels ON subject = main.entity_id AND predicate = 'ns4:worksfor' JOIN ch ON ch.s = main.s AND ch.entity_id = object)"""
 
 
 def _companies(site: str) -> incremental.Dependency:
     return incremental.Dependency(site + ".company", (incremental.Join(site + ".person", "ns4:worksfor", True),))
 
 
-@query(f"WITH {_LINKS}, {_CHANGED} SELECT DISTINCT entity_id FROM main WHERE entity_id IN (SELECT subject FROM rels WHERE predicate = 'ns4:worksfor' AND object IN (SELECT entity_id FROM ch))")
+def _of_all_sites(spark: SparkSession, d: str, dependency) -> DataFrame:
+    """``(site, entity_id)``: the persons of every site that changes of its dependency reach, as one job per site finds them."""
+    log, names, sites = _log(spark, d), _ns(spark, d), _sites(spark, d)
+    links = materialise(incremental.chain_links(log, names, [dependency(s) for s in sites]), "chain-links")
+    found = [incremental.touched_by(log, names, s + ".person", dependency(s), SINCE, links=links).select(F.lit(s).alias("site"), "entity_id") for s in sites]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"WITH {_LINKS}, {_CHANGED} SELECT DISTINCT s AS site, entity_id FROM reached")
 def multisource_dependency(spark: SparkSession, d: str) -> DataFrame:
     """Persons to process because their company changed."""
-    site = _site(spark, d)
-    return incremental.touched_by(_log(spark, d), _ns(spark, d), site + ".person", _companies(site), SINCE)
+    return _of_all_sites(spark, d, _companies)
 
 
-_BEFORE = f"""before AS (SELECT max(recorded) AS t FROM vers, site WHERE dataset = s || '.workorder' AND seq < {SINCE}), prior AS (SELECT vers.* FROM vers, before WHERE recorded <= t), {_newest('latest_prior', 'prior')}, {_rels('rels_prior', 'latest_prior')}"""
+_BEFORE = f"""before AS (SELECT s, max(recorded) AS t FROM vers JOIN site ON dataset = s || '.workorder' WHERE seq < {SINCE} GROUP BY s),
+prior AS (SELECT vers.* REPLACE (s || '|' || vers.dataset AS dataset) FROM vers JOIN ch USING (entity_id) JOIN before USING (s) WHERE vers.recorded <= t), {_newest('latest_prior', 'prior')}, {_rels('rels_prior', 'latest_prior')}"""
 
 
 @query(
-    f"""WITH {_LINKS}, site AS (SELECT {_SITE} AS s), {_BEFORE}, ch AS (SELECT DISTINCT entity_id FROM vers, site WHERE dataset = s || '.workorder' AND seq >= {SINCE}),
-both_times AS (SELECT subject, predicate, object FROM rels UNION SELECT subject, predicate, object FROM rels_prior)
-SELECT DISTINCT entity_id FROM latest, site WHERE dataset = s || '.person' AND entity_id IN (SELECT object FROM both_times WHERE predicate = 'ns6:assignee' AND subject IN (SELECT entity_id FROM ch))"""
+    f"""WITH {_LINKS}, {_SITES}, ch AS (SELECT DISTINCT s, entity_id FROM vers JOIN site ON dataset = s || '.workorder' WHERE seq >= {SINCE}), {_BEFORE},
+both_times AS (
+  SELECT ch.s, object FROM rels JOIN ch ON entity_id = subject WHERE predicate = 'ns6:assignee'
+  UNION
+  SELECT split_part(dataset, '|', 1), object FROM rels_prior WHERE predicate = 'ns6:assignee'
+)
+SELECT DISTINCT s AS site, entity_id FROM latest JOIN both_times ON object = entity_id AND dataset = s || '.person'"""
 )
 def multisource_removed_link(spark: SparkSession, d: str) -> DataFrame:
     """Persons to process because a work order that names them, or named them before, changed."""
-    site = _site(spark, d)
-    dependency = incremental.Dependency(site + ".workorder", (incremental.Join(site + ".person", "ns6:assignee"),))
-    return incremental.touched_by(_log(spark, d), _ns(spark, d), site + ".person", dependency, SINCE)
+    return _of_all_sites(spark, d, lambda site: incremental.Dependency(site + ".workorder", (incremental.Join(site + ".person", "ns6:assignee"),)))
 
 
 @query(
-    f"""WITH {_LINKS}, {_CHANGED}, own AS (SELECT vers.dataset, vers.seq FROM vers, site WHERE dataset = s || '.person' AND seq >= {SINCE}),
-reached AS (SELECT dataset, seq FROM main WHERE entity_id IN (SELECT subject FROM rels WHERE predicate = 'ns4:worksfor' AND object IN (SELECT entity_id FROM ch)))
+    f"""WITH {_LINKS}, {_CHANGED}, own AS (SELECT vers.dataset, vers.seq FROM vers JOIN site ON dataset = s || '.person' WHERE seq >= {SINCE})
 SELECT dataset, seq FROM own UNION SELECT dataset, seq FROM reached"""
 )
 def multisource_changes(spark: SparkSession, d: str) -> DataFrame:
-    site = _site(spark, d)
-    tokens = {site + ".person": SINCE, site + ".company": SINCE}
-    return incremental.multi_source(_log(spark, d, distinct=True), _ns(spark, d), site + ".person", [_companies(site)], tokens).select("dataset", "seq")
+    log, names = materialise(_log(spark, d, distinct=True), "log"), _ns(spark, d)  # one job per site reads it
+    each = [incremental.multi_source(log, names, s + ".person", [_companies(s)], {s + ".person": SINCE, s + ".company": SINCE}) for s in _sites(spark, d)]
+    return reduce(DataFrame.unionByName, each).select("dataset", "seq")
 
 
 # Maintenance
@@ -577,16 +708,45 @@ def dataset_list(spark: SparkSession, d: str) -> DataFrame:
 # Formats
 
 
-@query()
+_QUOTED = "CAST(to_json({x}) AS VARCHAR)"
+
+
+@query(
+    f"""WITH {_LATEST}, {_VALUES}, props_of AS (SELECT dataset, entity_id, string_agg({_QUOTED.format(x='name')} || ':' || value, ',' ORDER BY {_QUOTED.format(x='name')} || ':' || value) AS p FROM v GROUP BY 1, 2),
+rk AS (SELECT dataset, entity_id, unnest(json_keys(refs)) AS name, refs FROM latest WHERE NOT deleted), rv AS (SELECT dataset, entity_id, name, json_extract(refs, '$."' || name || '"') AS x FROM rk),
+r1 AS (SELECT dataset, entity_id, {_QUOTED.format(x='name')} || ':' || CASE WHEN json_type(x) = 'ARRAY' THEN '[' || array_to_string(list_transform(CAST(x AS VARCHAR[]), lambda t: '{{"@id":' || {_QUOTED.format(x='t')} || '}}'), ',') || ']' ELSE '{{"@id":' || CAST(x AS VARCHAR) || '}}' END AS t FROM rv WHERE json_type(x) <> 'NULL'),
+refs_of AS (SELECT dataset, entity_id, string_agg(t, ',' ORDER BY t) AS r FROM r1 GROUP BY 1, 2)
+SELECT entity_id, '{{' || concat_ws(',', '"@id":' || {_QUOTED.format(x='entity_id')}, p, r) || '}}' AS json FROM latest LEFT JOIN props_of USING (dataset, entity_id) LEFT JOIN refs_of USING (dataset, entity_id) WHERE NOT latest.deleted"""
+)
 def jsonld_rows(spark: SparkSession, d: str) -> DataFrame:
     return formats.jsonld(snapshot.latest(_log(spark, d), include_deleted=False))
 
 
-@query()
+@query(f"""WITH {_LATEST} SELECT entity_id, '{{"id":' || {_QUOTED.format(x='entity_id')} || ',"recorded":' || recorded || ',"deleted":' || deleted || ',"refs":' || refs || ',"props":' || props || '}}' AS json FROM latest""")
 def entity_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return formats.entity_json(snapshot.latest(_log(spark, d)))
 
 
+@query(f"WITH {_LATEST} SELECT entity_id, recorded, deleted FROM latest")
+def stream_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Newest versions written as entity streams, a batch each, and parsed again.
+
+    The format has no null references; a stored one holds nothing and is left out.
+    """
+    table = [(r.prefix, r.expansion) for r in load(spark, d, "namespace_map").orderBy("ord").limit(1_000).collect()]
+    context = uri.PrefixTable(table).context()
+    prefixes = {e: p for p, e in table[::-1]}
+
+    def parse(batches):
+        for batch in batches:
+            document = "".join(formats.stream_text(context, iter(batch.column("json").to_pylist()), "end"))
+            rows = formats.compact_rows(formats.parse_stream(document)[0], prefixes)
+            yield pa.RecordBatch.from_pylist([{"entity_id": i, "recorded": rec, "deleted": gone} for i, rec, gone, _, _ in rows], schema=pa.schema([("entity_id", pa.string()), ("recorded", pa.int64()), ("deleted", pa.bool_())]))
+
+    rows = entity.stored(entity.typed(snapshot.latest(_log(spark, d))))
+    return formats.entity_json(rows).select("json").mapInArrow(parse, "entity_id string, recorded bigint, deleted boolean")
+
+
 # Star-schema tables
 
 

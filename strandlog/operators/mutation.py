@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import content_key, newest
-from ..ordering import number_rows, with_previous
+from ..ordering import SMALL_ROWS, number_rows, with_previous
 from ..session import materialise
 from .snapshot import latest, watermark
 
@@ -26,13 +26,14 @@ def incoming_rows(incoming: DataFrame) -> DataFrame:
     return materialise(content_key(rows).withColumn(_ROW, F.monotonically_increasing_id()), "incoming")
 
 
-def real_changes(log: DataFrame, rows: DataFrame, strict: bool = False) -> DataFrame:
+def real_changes(log: DataFrame, rows: DataFrame, strict: bool = False, at_most: int | None = None) -> DataFrame:
     """``(dataset, entity_id, pos, __row)`` of those :func:`incoming_rows` that are real changes.
 
     A ``log`` that has its versions' ``content_key`` is read without their payload.
+    ``at_most`` is the number of ``rows``, if counted.
     """
     narrow = rows.select("dataset", "entity_id", "pos", "content_key", _ROW)
-    chained = with_previous(narrow, ["dataset", "entity_id"], ["pos", _ROW], "content_key", "batch_key", stored=True)
+    chained = with_previous(narrow, ["dataset", "entity_id"], ["pos", _ROW], "content_key", "batch_key", stored=True, at_most=at_most)
     # only versions of entities in the batch are compared, so only they are reduced and keyed
     touched = log.join(rows.select("dataset", "entity_id").distinct(), ["dataset", "entity_id"], "left_semi")
     committed = newest(touched, payload=("content_key",)) if "content_key" in log.columns else content_key(newest(touched))
@@ -53,13 +54,15 @@ def new_versions(log: DataFrame, incoming: DataFrame, strict: bool = False) -> D
     of arrival. Rows with a null dataset or id are no entities and are left out.
     """
     rows = incoming_rows(incoming)
-    return rows.join(real_changes(log, rows, strict).select(_ROW), _ROW, "left_semi").drop(_ROW)
+    return rows.join(real_changes(log, rows, strict, rows.count()).select(_ROW), _ROW, "left_semi").drop(_ROW)
 
 
 def numbered(log: DataFrame, rows: DataFrame, strict: bool = False) -> DataFrame:
     """``(dataset, entity_id, __row, nth)``: the real changes with their place, from 0, among those of their dataset."""
-    kept = materialise(real_changes(log, rows, strict), "kept")
-    return number_rows(kept, "dataset", ["pos", "entity_id", _ROW], "nth", stored=True).select("dataset", "entity_id", _ROW, "nth")
+    n = rows.count()
+    kept = real_changes(log, rows, strict, n)
+    kept = kept if n <= SMALL_ROWS else materialise(kept, "kept")
+    return number_rows(kept, "dataset", ["pos", "entity_id", _ROW], "nth", stored=True, at_most=n).select("dataset", "entity_id", _ROW, "nth")
 
 
 def stamped(rows: DataFrame, places: DataFrame, ends: DataFrame, recorded: int) -> DataFrame:

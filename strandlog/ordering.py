@@ -2,7 +2,9 @@
 
 Rows are range-partitioned by group and order together, so a group of any size spreads
 over as many partitions as it needs; what crosses a partition's edge is one row per
-partition, fetched from a table that has as many rows as there are partitions.
+partition, fetched from a table that has as many rows as there are partitions. Of rows
+that are few in all (``SMALL_ROWS``, counted by the caller) no group can be large, so a
+window over each group does the same without the passes that ranges take.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .session import materialise
 
+#: Rows in all up to which groups are ordered by windows.
+SMALL_ROWS = 100_000
+
 _PID = "__pid"
 
 
@@ -23,13 +28,16 @@ def _ranged(df: DataFrame, columns: list[str], label: str, stored: bool) -> Data
     return materialise(spread.withColumn(_PID, F.spark_partition_id()), label)
 
 
-def with_previous(df: DataFrame, group: list[str], order: list[str], value: str, name: str, stored: bool = False) -> DataFrame:
+def with_previous(df: DataFrame, group: list[str], order: list[str], value: str, name: str, stored: bool = False, at_most: int | None = None) -> DataFrame:
     """``df`` with column ``name``: ``value`` of the row before in its group, null for the first.
 
     ``order`` should be unique within a group; tied rows keep an arbitrary order. ``value`` should not be null.
     All columns are written out, so give only those needed; ``stored`` says that ``df``
-    is read from a table already, which is then not written again.
+    is read from a table already, which is then not written again. ``at_most`` is a number
+    of rows that the caller has counted ``df`` not to exceed.
     """
+    if at_most is not None and at_most <= SMALL_ROWS:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
     placed = _ranged(df, [*group, *order], "ordered", stored)
     local = Window.partitionBy(_PID, *group).orderBy(*order)
     inside = placed.withColumn(name, F.lag(value).over(local)).withColumn("__first", F.row_number().over(local) == 1)
@@ -44,8 +52,10 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], value: str,
     return joined.withColumn(name, carried).drop("__first", "__end", _PID)
 
 
-def number_rows(df: DataFrame, group: str, order: list[str], name: str, stored: bool = False) -> DataFrame:
-    """``df`` with column ``name``: 0, 1, 2 ... within each group in ``order``, without gaps; ``stored`` as in :func:`with_previous`."""
+def number_rows(df: DataFrame, group: str, order: list[str], name: str, stored: bool = False, at_most: int | None = None) -> DataFrame:
+    """``df`` with column ``name``: 0, 1, 2 ... within each group in ``order``, without gaps; ``stored`` and ``at_most`` as in :func:`with_previous`."""
+    if at_most is not None and at_most <= SMALL_ROWS:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("bigint"))
     placed = _ranged(df, [group, *order], "numbered", stored)
     counts = placed.groupBy(_PID, group).agg(F.count(F.lit(1)).alias("__n"))
     # at most one row per partition and group that begins in it; summed per group

@@ -92,6 +92,8 @@ def test_ordered_operations_over_partition_edges(spark, parts):
     try:
         got = {(r.g, r.o): r.before for r in with_previous(df, ["g"], ["o"], "v", "before").collect()}
         nth = {(r.g, r.o): r.nth for r in number_rows(df, "g", ["o"], "nth").collect()}
+        assert got == {(r.g, r.o): r.before for r in with_previous(df, ["g"], ["o"], "v", "before", at_most=400).collect()}
+        assert nth == {(r.g, r.o): r.nth for r in number_rows(df, "g", ["o"], "nth", at_most=400).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     for g in ("hot", "a", "b", None):

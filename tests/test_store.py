@@ -209,3 +209,17 @@ def test_more_datasets_than_an_expression_names(spark, store, monkeypatch):
     for n in ("people", "b2", "c2"):
         store.store_entities(n, ids(spark, n))
     assert {(r.dataset, r.entity_id) for r in store.changes().collect()} == {("people", "people"), ("b2", "b2"), ("c2", "c2")}
+
+
+def test_writes_are_the_same_at_every_size(spark, store, monkeypatch):
+    """The ways of ordering few and many rows give the same versions."""
+    rows = [(str(i % 7), i % 11 == 0, f'{{"v":{i // 9 % 3}}}', "{}") for i in range(60)]
+    store.create_dataset("many")
+    got = []
+    for name, most in (("people", 100_000), ("many", 0)):
+        monkeypatch.setattr("strandlog.ordering.SMALL_ROWS", most)
+        monkeypatch.setattr("strandlog.operators.mutation.SMALL_ROWS", most)
+        store.store_entities(name, frame(spark, *rows[:30]))
+        store.store_entities(name, frame(spark, *rows[30:]))
+        got.append([(r.seq, r.entity_id, r.deleted, r.props, r.batch_seq) for r in store.feed(name).collect()])
+    assert got[0] == got[1] and len(got[0]) > 30

@@ -10,6 +10,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,6 @@ _BLANKS = " \t\r\n"
 _INT64 = range(-(2**63), 2**63)
 
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32()}
-NUMPY = {"string": object, "bigint": np.int64, "double": np.float64, "boolean": np.bool_, "date": "datetime64[D]"}
 
 
 def _literal(val: str) -> tuple[bool, str] | None:
@@ -71,43 +71,78 @@ def read_cell(val: str | None, dtype: str) -> object | None:
     return whole if whole in _INT64 else None
 
 
+#: The column of a parsed row that holds the value of each type.
+_VALUE = {"string": "v_string", "bigint": "v_bigint", "double": "v_double", "boolean": "v_boolean", "date": "v_date"}
+_JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?\z"
+
+
+def parsed(rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` (dataset, id, attr, val) with the value in the column of its attribute's type.
+
+    What SQL functions read exactly as :func:`read_cell` does is read by them: unquoted
+    literals, quoted ones without escapes, numbers. The rest (escapes, whole numbers
+    spelled with a fraction or exponent) stays in ``rest`` for that function.
+    """
+    types = rows.sparkSession.createDataFrame(columns, "attr string, dtype string")  # as many rows as the result has columns
+    blanks = F.lit(_BLANKS)
+    body = F.btrim("val", blanks)
+    quoted, empty = F.col("body").startswith('"'), (F.col("body") == "null") | F.col("body").startswith("[") | F.col("body").startswith("{")
+    bare = F.col("body").rlike(r'^"[^"\\\x00-\x1f]*"\z')
+    text = F.when(bare, F.expr("substring(body, 2, length(body) - 2)")).when(~quoted & ~empty, F.col("body"))
+    typed = rows.join(F.broadcast(types), "attr", "left").withColumn("body", body).withColumn("text", text).withColumn("inner", F.btrim("text", blanks))
+    of = lambda dtype, value: F.when(F.col("dtype") == dtype, value)
+    inner, number = F.col("inner"), F.col("inner").rlike(_JSON_NUMBER)
+    whole = inner.rlike(r"^-?(0|[1-9][0-9]{0,17})\z")
+    double = F.when(number, inner.try_cast("double"))
+    day = F.when(quoted & inner.rlike(r"(?s)^[0-9]{4}-[0-9]{2}-[0-9]{2}(T.*)?\z") & ~inner.startswith("0000"), F.left(inner, F.lit(10)).try_cast("date"))
+    left_over = (quoted & ~bare) | ((F.col("dtype") == "bigint") & number & ~whole)
+    return typed.select(
+        "dataset",
+        "id",
+        "attr",
+        of("string", F.col("text")).alias("v_string"),
+        of("bigint", F.when(whole, inner.try_cast("bigint"))).alias("v_bigint"),
+        of("double", F.when(F.abs(double) < float("inf"), double)).alias("v_double"),
+        of("boolean", F.when(F.lower(inner).isin("true", "false"), F.lower(inner) == "true")).alias("v_boolean"),
+        of("date", day).alias("v_date"),
+        F.when(F.col("dtype").isNotNull() & left_over, F.col("val")).alias("rest"),
+    )
+
+
 def _scatter(table: pa.Table, columns: list[tuple[str, str]]) -> pa.RecordBatch:
-    """Whole entities (rows sorted by entity) to one wide batch: codes of entity and
-    attribute are the row and column indexes that values are scattered to."""
+    """Whole entities (rows sorted by entity) to one wide batch: codes of entity and attribute
+    are the row and column where a numpy array per type is told which value stands there."""
     place = {attr: i for i, (attr, _) in enumerate(columns)}
-    entity = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in ("dataset", "id")], ["dataset", "id"])
-    names = [f"{d['dataset']}\x00{d['id']}" for d in entity.to_pylist()]
-    row_codes = pa.array(names).dictionary_encode()
-    attrs = table.column("attr").combine_chunks().dictionary_encode()
-    row = row_codes.indices.to_numpy(zero_copy_only=False)
+    flat = {n: table.column(n).combine_chunks() for n in table.column_names}
+    entities = pc.binary_join_element_wise(flat["dataset"], flat["id"], "\x00").dictionary_encode()
+    attrs = flat["attr"].dictionary_encode()
+    row = entities.indices.to_numpy(zero_copy_only=False)
     # dictionary code of an attribute to its column, once per distinct attribute; -1: no column
     column_of = np.array([place.get(a, -1) for a in attrs.dictionary.to_pylist()], dtype=np.int64)
     col = column_of[attrs.indices.to_numpy(zero_copy_only=False)] if len(attrs) else np.zeros(0, np.int64)
-    n = len(row_codes.dictionary)
-    vals = table.column("val").to_pylist()
+    n = len(entities.dictionary)
     first = np.zeros(n, dtype=np.int64)
     first[row[::-1]] = np.arange(len(row))[::-1]
-    out = [table.column(c).take(pa.array(first)).combine_chunks() for c in ("dataset", "id")]
-    by_type: dict[str, list[int]] = {}
-    for i, (_, dtype) in enumerate(columns):
-        by_type.setdefault(dtype, []).append(i)
+    rest = np.nonzero(flat["rest"].is_valid().to_numpy(zero_copy_only=False))[0]
     wide: dict[int, pa.Array] = {}
-    for dtype, members in by_type.items():
-        local = {c: k for k, c in enumerate(members)}
-        values = np.zeros((n, len(members)), dtype=NUMPY[dtype])
-        filled = np.zeros((n, len(members)), dtype=bool)
-        at = np.nonzero(np.isin(col, members))[0]
-        cells = [read_cell(vals[i], dtype) for i in at]
-        good = np.array([c is not None for c in cells], dtype=bool)
-        if good.any():
-            rows, cols = row[at][good], np.array([local[c] for c in col[at][good]])
-            kept = np.empty(int(good.sum()), dtype=NUMPY[dtype])
-            kept[:] = [c for c in cells if c is not None]
-            values[rows, cols] = kept
-            filled[rows, cols] = True
-        for c, k in local.items():
-            wide[c] = pa.array(values[:, k], type=ARROW[dtype], mask=~filled[:, k])
-    arrays = [*out, *(wide[i] for i in range(len(columns)))]
+    for dtype in {t for _, t in columns}:
+        members = [i for i, (_, t) in enumerate(columns) if t == dtype]
+        local = np.full(len(columns) + 1, -1, dtype=np.int64)
+        local[members] = np.arange(len(members))
+        values = flat[_VALUE[dtype]]
+        at = np.nonzero(values.is_valid().to_numpy(zero_copy_only=False))[0]
+        where = np.full((n, len(members)), -1, dtype=np.int64)
+        where[row[at], local[col[at]]] = at
+        own = rest[local[col[rest]] >= 0]
+        cells = [(i, read_cell(v, dtype)) for i, v in zip(own.tolist(), flat["rest"].take(pa.array(own)).to_pylist())]
+        cells = [(i, c.item() if dtype == "date" else c) for i, c in cells if c is not None]
+        if cells:
+            at = np.array([i for i, _ in cells])
+            where[row[at], local[col[at]]] = len(values) + np.arange(len(cells))
+            values = pa.concat_arrays([values, pa.array([c for _, c in cells], ARROW[dtype])])
+        for k, c in enumerate(members):
+            wide[c] = values.take(pa.array(where[:, k], mask=where[:, k] < 0))
+    arrays = [*(flat[c].take(pa.array(first)) for c in ("dataset", "id")), *(wide[i] for i in range(len(columns)))]
     return pa.RecordBatch.from_arrays(arrays, ["dataset", "id", *(f"c{i}" for i in range(len(columns)))])
 
 
@@ -143,8 +178,8 @@ def widen(attrs: DataFrame, attr_types: DataFrame, namespaces: Namespaces, bucke
 
     The newest row per (dataset, id, attr) decides (equal recorded: the greatest text,
     null last; null recorded counts as oldest); repeats are reduced before rows travel.
-    Entities are then hash-bucketed, sorted, dictionary-encoded and scattered into one
-    numpy array per type. A value that is null, a list, an object or does not fit its
+    Values are read by their attribute's type, entities then hash-bucketed, sorted,
+    dictionary-encoded and scattered by one numpy array per type. A value that is null, a list, an object or does not fit its
     column is null; unlisted attributes are left out, but an entity with only such still
     has its row. Rows with a null dataset or id name no entity. Columns are called like
     the attribute; ``dataset`` and ``id`` as attribute names get a trailing ``_``.
@@ -156,6 +191,7 @@ def widen(attrs: DataFrame, attr_types: DataFrame, namespaces: Namespaces, bucke
     listed = F.col("attr").isin([a for a, _ in columns])
     rows = rows.select("dataset", "id", F.when(listed, F.col("attr")).otherwise("\u0000").alias("attr"), F.when(listed, F.col("val")).alias("val"), "recorded")
     newest = rows.groupBy("dataset", "id", "attr").agg(F.max(F.struct("recorded", "val")).alias("v")).select("dataset", "id", "attr", "v.val")
+    newest = parsed(newest, columns)
     bucketed = newest.repartition(buckets, "dataset", "id") if buckets else newest.repartition("dataset", "id")
     fields = ", ".join(f"c{i} {dtype}" for i, (_, dtype) in enumerate(columns))
     schema = "dataset string, id string" + (", " + fields if fields else "")

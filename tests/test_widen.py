@@ -29,6 +29,19 @@ def test_cells(val, dtype, cell):
     assert (found.item() if dtype == "date" and found is not None else found) == cell
 
 
+def test_cells_are_read_alike_in_sql(spark, namespaces):
+    """Every case above, and odd ones, through the wide table as by :func:`read_cell`."""
+    cases = [m for mark in test_cells.pytestmark for m in mark.args[1]]
+    odd = ['"a\tb"', '"tab\\t"', '"a"b"', '"open', '"', ' \t"x" \n', '"x"\u2028', "\u2028", '"\u00a0 1"', "1 ", "-", "--1", "1e5", "1E+2", "-0.0", "-12", "123456789012345678", "1234567890123456789", "tRuE", '"\\u0074rue"', '"2020-13-01"', '"2020-01-02T\n"', '"2020-01-02 "', "0000", "1d", "Infinity", "nan", "[", "{", "nul", "\x00"]
+    vals = list(dict.fromkeys([c[0] for c in cases] + odd))
+    rows = [("d", str(n), a, v, 1) for n, v in enumerate(vals) for a, _ in TYPES]
+    wide = {r.id: r.asDict() for r in widen(frame(spark, rows), types(spark), namespaces).collect()}
+    for n, v in enumerate(vals):
+        for attr, dtype in TYPES:
+            want = read_cell(v, dtype)
+            assert wide[str(n)][attr] == (want.item() if dtype == "date" and want is not None else want), (v, dtype)
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 

@@ -48,16 +48,19 @@ def events_of(log: DataFrame, namespaces: Namespaces) -> DataFrame:
 
 
 def _sliced(events: DataFrame, hot_events: int) -> DataFrame:
-    """``events`` with a ``slice``: 0, but for hot ids a time slice, each begun by the carried-in state.
+    """``events`` with a ``slice``: 0, but for hot ids a time slice, each begun by the carried-in state, and a ``salt``.
 
     The hot list is bounded (every entry stands for at least a ten-thousandth of all
-    events), so it is broadcast. ``known`` tells whether a hot id has any version.
+    events), so it is broadcast. ``known`` tells whether a hot id has any version. A hot
+    id's versions of one dataset and time are reduced to the newest, so an instant has at
+    most as many as there are datasets; references of a slice that time cannot cut
+    further are spread by a salt, each share beside all versions of the slice.
     """
     counts = events.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("kind") == PARENT, 1).otherwise(0)).alias("parents"))
     limit = max(hot_events, (events.count() + _SHARE - 1) // _SHARE)
     hot_ids = materialise(counts.where(F.col("n") > limit), "hot-counts")
     if hot_ids.isEmpty():
-        return events.withColumns({"slice": F.lit(0), "known": F.lit(None).cast("boolean")})
+        return events.withColumns({"slice": F.lit(0), "salt": F.lit(0), "known": F.lit(None).cast("boolean")})
     parts = F.ceil(F.col("n") / limit).cast("int")
     names = F.broadcast(hot_ids.select("id", "parents", parts.alias("parts")))
     spread = events.select("id", "recorded").join(names, "id")
@@ -70,22 +73,27 @@ def _sliced(events: DataFrame, hot_events: int) -> DataFrame:
     )
     cuts = materialise(cuts, "hot-ids")
     at = F.size(F.filter("cuts", lambda c: c <= F.col("recorded")))
-    placed = events.join(F.broadcast(cuts), "id", "left").withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(at))
+    placed = events.join(F.broadcast(cuts), "id", "left")
+    cold = placed.where("cuts IS NULL").withColumns({"slice": F.lit(0), "salt": F.lit(0)}).drop("cuts")
+    hot = materialise(placed.where("cuts IS NOT NULL").withColumns({"slice": at, "last": F.size("cuts")}).drop("cuts"), "hot-events")
+    order = F.struct("batch_seq", (~F.col("deleted")).alias("live"))
+    versions = hot.where(F.col("kind") == PARENT).groupBy("id", "dataset", "slice", "last", "recorded").agg(F.max(order).alias("v")).select("id", "dataset", "slice", "last", "recorded", "v.batch_seq", (~F.col("v.live")).alias("deleted"))
     # state carried into a slice: per dataset the newest version of any earlier slice
-    newest = (
-        placed.where((F.col("kind") == PARENT) & F.col("cuts").isNotNull())
-        .groupBy("id", "dataset", "slice", F.size("cuts").alias("last"))
-        .agg(F.max(F.struct("recorded", "batch_seq", (~F.col("deleted")).alias("live"))).alias("v"))
-    )
+    newest = versions.groupBy("id", "dataset", "slice", "last").agg(F.max(F.struct("recorded", "batch_seq", (~F.col("deleted")).alias("live"))).alias("v"))
     until = F.lead("slice").over(Window.partitionBy("id", "dataset").orderBy("slice"))
     begin, end = F.col("slice") + 1, F.coalesce(F.col("until"), F.col("last"))
     carried = (
         newest.withColumn("until", until)
         .where(begin <= end)
         .select("id", "dataset", F.col("v.recorded").alias("recorded"), F.col("v.batch_seq").alias("batch_seq"), (~F.col("v.live")).alias("deleted"), F.explode(F.sequence(begin, end)).alias("slice"))
-        .withColumns({"kind": F.lit(PARENT), "known": F.lit(True)})
     )
-    return placed.drop("cuts").unionByName(carried, allowMissingColumns=True)
+    references = hot.where(F.col("kind") == REFERENCE)
+    salts = references.groupBy("id", "slice").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("salts"))
+    salts = F.broadcast(materialise(salts.where("salts > 1"), "salts"))  # at most a row for every ``limit`` references
+    held = versions.drop("last").unionByName(carried).join(salts, ["id", "slice"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    held = held.drop("salts").withColumns({"kind": F.lit(PARENT), "known": F.lit(True)})
+    spread = references.join(salts, ["id", "slice"], "left").withColumn("salt", F.pmod(F.xxhash64("dataset", "seq", "predicate"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts", "last")
+    return cold.unionByName(spread).unionByName(held, allowMissingColumns=True)
 
 
 def orphans(log: DataFrame, namespaces: Namespaces, hot_events: int = HOT_EVENTS) -> DataFrame:
@@ -101,16 +109,16 @@ def orphans(log: DataFrame, namespaces: Namespaces, hot_events: int = HOT_EVENTS
     Rows with null dataset, recorded or (for references) seq, and null ids, take no part;
     null deleted is not deleted. Repeated rows and repeated names give one result row.
     """
-    events = _sliced(materialise(events_of(log, namespaces), "id-events"), hot_events).repartition("id", "slice")
+    events = _sliced(materialise(events_of(log, namespaces), "id-events"), hot_events).repartition("id", "slice", "salt")
     live = F.when((F.col("kind") == PARENT) & ~F.col("deleted"), 1).otherwise(0)
-    versions = Window.partitionBy("id", "slice", "kind", "dataset").orderBy("recorded", "batch_seq", F.col("deleted").desc())
+    versions = Window.partitionBy("id", "slice", "salt", "kind", "dataset").orderBy("recorded", "batch_seq", F.col("deleted").desc())
     before = F.coalesce(F.lag("live").over(versions), F.lit(0))
     steps = events.withColumn("live", live).withColumn("step", F.when(F.col("kind") == PARENT, F.col("live") - before).otherwise(0))
-    merged = Window.partitionBy("id", "slice").orderBy("recorded", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = Window.partitionBy("id", "slice", "salt").orderBy("recorded", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.sum(F.when(F.col("kind") == PARENT, 1).otherwise(0)).over(merged)
     # equal times: all versions sort before all references, so the sums are complete at each reference
     state = steps.withColumns({"lives": F.sum("step").over(merged), "seen": seen})
-    whole = Window.partitionBy("id", "slice").orderBy(F.col("recorded").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("id", "slice", "salt").orderBy(F.col("recorded").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
     later = F.sum(F.when(F.col("kind") == PARENT, 1).otherwise(0)).over(whole)
     state = state.withColumn("later", later).where(F.col("kind") == REFERENCE)
     reason = (

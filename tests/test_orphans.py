@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog.operators.orphans import orphans, orphans_by_period
+from strandlog.operators.orphans import _sliced, events_of, orphans, orphans_by_period
 
 from .conftest import rows_of, set_of
 
@@ -94,3 +94,15 @@ def test_odd_rows(spark, namespaces):
 def test_empty_and_report(spark, namespaces):
     empty = orphans(spark.createDataFrame([], SCHEMA), namespaces)
     assert rows_of(empty) == [] and rows_of(orphans_by_period(empty)) == []
+
+
+def test_a_hot_id_at_one_instant_is_spread(spark, namespaces):
+    """All versions and references of one id at one time, where no time slice can cut."""
+    rows = [("ab"[n % 2], n, "ns3:hot", BASE, n % 3, n % 5 == 0, None, None) for n in range(150)]
+    rows += [("c", n, f"ns3:{n}", BASE, 0, False, None, '{"p": "ns3:hot", "q": "ns3:none"}') for n in range(300)]
+    rows += [("c", 900, "ns3:9", BASE - 5, 0, False, None, '{"p": "ns3:hot"}'), ("c", 901, "ns3:9", BASE + 10**15, 0, False, None, '{"p": "ns3:hot"}')]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert set_of(orphans(df, namespaces, hot_events=20)) == brute(rows)
+    placed = _sliced(events_of(df, namespaces), 20)
+    shares = [r["count"] for r in placed.where("id IN ('ns3:hot', 'ns3:none')").groupBy("id", "slice", "salt").count().collect()]
+    assert len(shares) > 20 and max(shares) <= 60

@@ -118,15 +118,15 @@ def parse(text: str | None) -> Any:
         return _parse_deep(text)
 
 
-def canonical(value: Any) -> str:
-    """Sorted names, no blanks, numbers by value; without recursion beyond the stack."""
+def canonical(value: Any, ascii: bool = True) -> str:
+    """Sorted names, no blanks, numbers by value; without recursion beyond the stack. ``ascii`` escapes all other characters."""
     try:
-        return json.dumps(value, sort_keys=True, separators=(",", ":"))
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii)
     except RecursionError:
-        return _write_deep(value)
+        return _write_deep(value, ascii)
 
 
-def _write_deep(value: Any) -> str:
+def _write_deep(value: Any, ascii: bool = True) -> str:
     out: list[str] = []
     todo: list[Any] = [value]
     literal = type("Literal", (str,), {})
@@ -137,7 +137,7 @@ def _write_deep(value: Any) -> str:
         elif isinstance(v, dict):
             parts: list[Any] = [literal("{")]
             for i, k in enumerate(sorted(v)):
-                parts += [literal(("," if i else "") + json.dumps(k) + ":"), v[k]]
+                parts += [literal(("," if i else "") + json.dumps(k, ensure_ascii=ascii) + ":"), v[k]]
             todo += [*parts, literal("}")][::-1]
         elif isinstance(v, list):
             parts = [literal("[")]
@@ -145,7 +145,7 @@ def _write_deep(value: Any) -> str:
                 parts += [literal(","), x] if i else [x]
             todo += [*parts, literal("]")][::-1]
         else:
-            out.append(json.dumps(v))
+            out.append(json.dumps(v, ensure_ascii=ascii))
     return "".join(out)
 
 

@@ -21,13 +21,13 @@ _KEY = "record_id"
 RECORD = ""  # the element name of the body itself
 
 _NODES = (
-    "record_id bigint, delivery bigint, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
+    "record_id bigint, delivery string, element string, parent_element string, repeated boolean, node_path string, parent_path string, "
     "ancestors array<struct<element:string,length:int>>, entity_id string, scalars array<struct<key:string,value:string>>, refs array<struct<owner:string,predicate:string,path:string,target:string>>, recorded string, deleted string"
 )
 _NODES_ARROW = pa.schema(
     [
         ("record_id", pa.int64()),
-        ("delivery", pa.int64()),
+        ("delivery", pa.string()),
         ("element", pa.string()),
         ("parent_element", pa.string()),
         ("repeated", pa.bool_()),
@@ -54,7 +54,7 @@ def _clean(text: str) -> str:
 
 def _text(value: Any) -> str | None:
     """A plain value as a cell: strings as they are, null as null, others as JSON text."""
-    return _clean(value) if isinstance(value, str) else None if value is None else canonical(value)
+    return None if value is None else _clean(value if isinstance(value, str) else canonical(value, ascii=False))
 
 
 def _references(owner: str, refs: Any) -> list[tuple[str, str, str, str]]:
@@ -120,8 +120,9 @@ def walk(body: Any) -> Iterator[tuple]:
         yield element, parent_element, repeated, path, parent_path, ancestors, _clean(own) if isinstance(own, str) else None, scalars, _references(path, refs), _text(recorded), _text(deleted)
 
 
-def _delivery(body: str) -> int:
-    return int.from_bytes(hashlib.blake2b(body.encode(), digest_size=8).digest(), signed=True)
+def _delivery(body: str) -> str:
+    """A mark of a body's text: the first 64 bits of its MD5."""
+    return hashlib.md5(body.encode(), usedforsecurity=False).hexdigest()[:16]
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def table_rows(body: Any, own: frozenset[str]) -> list[tuple]:
 _CELL, _INLINED, _REF = ("key", "value"), ("node_path", "parent_path", "entity_id", "recorded", "deleted"), ("owner", "predicate", "path", "target")
 _TEXTS = ("table_name", "row_path", "parent_table", "parent_path", "enclosing_path", "entity_id", "recorded", "deleted")
 _LISTS = {"cells": _CELL, "inlined": _INLINED, "refs": _REF}
-_ROWS = "record_id bigint, delivery bigint, " + ", ".join(f"{n} string" for n in _TEXTS) + ", " + ", ".join(f"{n} array<struct<{','.join(f'{x}:string' for x in fields)}>>" for n, fields in _LISTS.items())
+_ROWS = "record_id bigint, delivery string, " + ", ".join(f"{n} string" for n in _TEXTS) + ", " + ", ".join(f"{n} array<struct<{','.join(f'{x}:string' for x in fields)}>>" for n, fields in _LISTS.items())
 
 
 def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[int, str, Any]]:
@@ -245,7 +246,7 @@ def _row_batch(keys: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
     """Rows as one batch; the lists are built from flat columns and offsets."""
     ids = list(zip(*keys))
     cols = list(zip(*rows))
-    arrays = [pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[: len(_TEXTS)])]
+    arrays = [pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.string()), *(pa.array(c, pa.string()) for c in cols[: len(_TEXTS)])]
     for lists, names in zip(cols[len(_TEXTS) :], _LISTS.values()):
         offsets = np.zeros(len(lists) + 1, np.int32)
         np.cumsum([len(x) for x in lists], out=offsets[1:])

@@ -246,6 +246,44 @@ SELECT DISTINCT o.job_id, l.dataset, l.seq FROM offs o JOIN change_log l ON l.da
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, id ORDER BY recorded DESC, batch_seq DESC, deleted) AS n FROM vers)
 SELECT dataset, id, recorded, batch_seq FROM ranked WHERE n = 1 AND NOT deleted""",
 }
+# The parsed bodies as nodes with the objects that enclose them, the elements that have tables, and each object's table row.
+_PROPS_OF = "CASE WHEN json_type(n.v) = 'OBJECT' AND (n.is_body OR list_contains(json_keys(n.v), 'props') OR list_contains(json_keys(n.v), 'refs')) THEN n.v -> '$.props' ELSE n.v END"
+_PLACED = f"""WITH RECURSIVE node AS (
+  SELECT record_id, left(md5(body), 16) AS delivery, '' AS path, CAST(NULL AS VARCHAR) AS owner, CAST(body AS JSON) AS v, true AS is_body, '' AS element, CAST(NULL AS VARCHAR) AS parent_element, false AS repeated,
+    [{{'e': '', 'p': ''}}] AS chain, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS up_path, false AS up_array
+  FROM (SELECT DISTINCT record_id, body FROM raw_payloads WHERE record_id IS NOT NULL AND body IS NOT NULL) WHERE json_valid(body) AND json_type(body) = 'OBJECT'
+  UNION ALL
+  SELECT n.record_id, n.delivery, n.path || '/' || e.key, CASE WHEN json_type(n.v) = 'ARRAY' THEN n.owner ELSE n.path END, e.value, false,
+    CASE WHEN json_type(n.v) = 'ARRAY' THEN n.element ELSE e.key END, CASE WHEN json_type(n.v) = 'ARRAY' THEN n.parent_element ELSE n.element END, json_type(n.v) = 'ARRAY',
+    CASE WHEN json_type(e.value) = 'OBJECT' THEN list_append(n.chain, {{'e': CASE WHEN json_type(n.v) = 'ARRAY' THEN n.element ELSE e.key END, 'p': n.path || '/' || e.key}}) ELSE n.chain END,
+    CASE WHEN json_type(n.v) = 'ARRAY' THEN n.name || '/' || e.key ELSE e.key END, n.path, json_type(n.v) = 'ARRAY'
+  FROM node n, json_each({_PROPS_OF}) e WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+),
+obj AS (SELECT *, is_body OR list_contains(json_keys(v), 'props') OR list_contains(json_keys(v), 'refs') AS is_entity FROM node WHERE json_type(v) = 'OBJECT'),
+own AS (SELECT coalesce(list(element), []) AS names FROM (SELECT element FROM obj WHERE NOT is_body GROUP BY element HAVING bool_or(repeated) OR count(DISTINCT parent_element) > 1 OR bool_or(element = parent_element))),
+lined AS (SELECT obj.*, list_filter(chain, lambda x: x.p = '' OR list_contains(names, x.e)) AS line FROM obj, own),
+placed AS (
+  SELECT record_id, delivery, line[-1].e AS table_name, line[-1].p AS row_path, line[-2].e AS parent_table, line[-2].p AS parent_path, path, v, is_entity, path = line[-1].p AS here,
+    CASE WHEN is_entity AND json_type(v, '$.id') = 'VARCHAR' THEN v ->> '$.id' END AS entity_id,
+    CASE WHEN is_entity AND json_type(v, '$.recorded') <> 'NULL' THEN v ->> '$.recorded' END AS recorded, CASE WHEN is_entity AND json_type(v, '$.deleted') <> 'NULL' THEN v ->> '$.deleted' END AS deleted
+  FROM lined
+)"""
+ORACLE["p2_entities"] = f"""{_PLACED}
+SELECT record_id, delivery, table_name, row_path, path AS node_path, entity_id, recorded, deleted FROM placed WHERE coalesce(entity_id, recorded, deleted) IS NOT NULL"""
+ORACLE["p2_refs"] = f"""{_PLACED}, ref AS (SELECT p.* EXCLUDE v, e.key AS predicate, '/@refs/' || e.key AS tail, e.value AS x FROM (SELECT * FROM placed WHERE is_entity AND json_type(v, '$.refs') = 'OBJECT') p, json_each(p.v -> '$.refs') e),
+one AS (SELECT * FROM ref WHERE json_type(x) <> 'ARRAY' UNION ALL SELECT ref.* EXCLUDE (tail, x), tail || '/' || i.key, i.value FROM ref, json_each(x) i WHERE json_type(x) = 'ARRAY')
+SELECT record_id, delivery, table_name, row_path, path AS owner_path, predicate, path || tail AS ref_path, x ->> '$' AS target FROM one WHERE json_type(x) = 'VARCHAR'"""
+ORACLE["p2_tables"] = f"""{_PLACED}, mixed AS (SELECT DISTINCT a.record_id, a.delivery, a.path FROM node a JOIN obj o ON o.record_id = a.record_id AND o.delivery = a.delivery AND o.owner = a.owner AND starts_with(o.path, a.path || '/') WHERE json_type(a.v) = 'ARRAY'),
+plain AS (
+  SELECT n.* FROM node n LEFT JOIN mixed up ON up.record_id = n.record_id AND up.delivery = n.delivery AND up.path = n.up_path LEFT JOIN mixed m ON m.record_id = n.record_id AND m.delivery = n.delivery AND m.path = n.path
+  WHERE NOT n.is_body AND json_type(n.v) <> 'OBJECT' AND m.path IS NULL AND (NOT n.up_array OR up.path IS NOT NULL)
+),
+cells AS (
+  SELECT p.record_id, p.delivery, p.row_path, CASE WHEN here THEN '' ELSE substr(p.path, length(p.row_path) + 2) || '/' END || plain.name AS column_name,
+    CASE json_type(plain.v) WHEN 'VARCHAR' THEN plain.v ->> '$' WHEN 'NULL' THEN NULL ELSE regexp_replace(regexp_replace(CAST(plain.v AS VARCHAR), '(\\.[0-9]*[1-9])0+([,}}\\]]|$)', '\\1\\2', 'g'), '\\.0+([,}}\\]]|$)', '\\1', 'g') END AS cell
+  FROM plain JOIN placed p ON p.record_id = plain.record_id AND p.delivery = plain.delivery AND p.path = plain.owner
+)
+SELECT record_id, delivery, table_name, row_path, parent_table, parent_path, entity_id, recorded, deleted, column_name, cell FROM (SELECT * FROM placed WHERE here) LEFT JOIN cells USING (record_id, delivery, row_path)"""
 # The attributes and types of attr_types, which the wide table has as columns.
 _WIDE = {
     "bigint": ["ns3:age", "ns7:grade", "ns5:ports", "ns5:cycles", "ns4:staff"],

@@ -172,6 +172,10 @@ class Hub:
     # queries
 
     def query(self, body: dict) -> Result:
+        """Runs a query of the request form; a predicate whose prefix is no namespace of the store is an error."""
+        prefix, colon, _ = (body.get("predicate") or "").partition(":")
+        if colon and prefix not in self.store.context()["namespaces"]:
+            raise ValueError(f"unknown predicate {body['predicate']}")
         return run_query(self.store.changes(), self.store.catalog(), None, Query.parse(body))
 
     def relations(self, at: int | None = None) -> DataFrame:

@@ -163,7 +163,7 @@ class IncrementalRun:
             inside = [(F.col("dataset") == d) & F.col("seq").between(a, z) for d, (a, z) in ranges.items()]
             return sink.where(reduce(lambda a, b: a | b, inside, F.lit(False)))
         table = sink.sparkSession.createDataFrame([(d, a, z) for d, (a, z) in ranges.items()], "dataset string, __from bigint, __to bigint")
-        return sink.join(table, "dataset").where(F.col("seq").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
+        return sink.join(table, "dataset").where(F.col("seq").between(F.col("__from"), F.col("__to"))).select(*sink.columns)
 
     def commit(self) -> None:
         pending = self._files.get("plan")

@@ -57,9 +57,9 @@ def new_versions(log: DataFrame, incoming: DataFrame, strict: bool = False) -> D
     return rows.join(real_changes(log, rows, strict, rows.count()).select(_ROW), _ROW, "left_semi").drop(_ROW)
 
 
-def numbered(log: DataFrame, rows: DataFrame, strict: bool = False) -> DataFrame:
-    """``(dataset, entity_id, __row, nth)``: the real changes with their place, from 0, among those of their dataset."""
-    n = rows.count()
+def numbered(log: DataFrame, rows: DataFrame, strict: bool = False, n: int | None = None) -> DataFrame:
+    """``(dataset, entity_id, __row, nth)``: the real changes with their place, from 0, among those of their dataset; ``n`` is the number of rows, if counted."""
+    n = rows.count() if n is None else n
     kept = real_changes(log, rows, strict, n)
     kept = kept if n <= SMALL_ROWS else materialise(kept, "kept")
     return number_rows(kept, "dataset", ["pos", "entity_id", _ROW], "nth", stored=True, at_most=n).select("dataset", "entity_id", _ROW, "nth")

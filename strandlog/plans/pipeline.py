@@ -25,6 +25,9 @@ _log = logging.getLogger(__name__)
 #: Changes one step of an incremental run reads.
 BATCH = 10_000
 
+#: Failed rows of a run that are kept for a look at them.
+KEPT_FAILED = 1_000
+
 #: The keys that job configurations and their triggers have.
 _JOB_KEYS = {"id", "title", "description", "tags", "source", "sink", "transform", "triggers", "paused", "batchSize", "hops", "transactions"}
 _TRIGGER_KEYS = {"triggerType", "jobType", "schedule", "monitoredDataset", "onError"}
@@ -69,7 +72,7 @@ class ErrorPolicy:
     """What a failing step does.
 
     ``skip``: halve the failing batch down to the single rows that fail, leave those out
-    (they are kept in ``failed``) and go on; the run fails once there are ``max_items`` of
+    (they are logged and counted, the first ``KEPT_FAILED`` are kept in ``failed``) and go on; the run fails once there are ``max_items`` of
     them, 0 means that there may be any number. ``rerun``: run the job again up to
     ``retries`` times after ``delay`` seconds. Everything counts per run.
     """
@@ -123,6 +126,7 @@ class Pipeline:
     full_errors: ErrorPolicy | None = None
     key: str = "entity_id"
     failed: list[dict] = field(default_factory=list)
+    n_failed: int = 0
     last_error: str | None = None
     processed: int = 0
     cancelled: threading.Event = field(default_factory=threading.Event)
@@ -149,12 +153,13 @@ class Pipeline:
         """Works off the two halves of a failed batch; a single row that fails is set aside."""
         n = rows.count()
         if n <= 1:
-            bad = [r.asDict() for r in rows.collect()]
-            self.failed += bad
-            for row in bad:
-                _log.warning("job %s: entity %s failed: %s", self.job, row.get(self.key), error)
-            if 0 < self.errors.max_items <= len(self.failed):
-                raise TooManyFailed(f"{len(self.failed)} rows failed, the last with: {error}") from error
+            for row in rows.collect():
+                _log.warning("job %s: entity %s failed: %s", self.job, row.asDict().get(self.key), error)
+                self.n_failed += 1
+                if len(self.failed) < KEPT_FAILED:
+                    self.failed.append(row.asDict())
+            if 0 < self.errors.max_items <= self.n_failed:
+                raise TooManyFailed(f"{self.n_failed} rows failed, the last with: {error}") from error
             return 0
         spark, done = rows.sparkSession, 0
         ordered = sorted(rows.collect(), key=lambda r: r[self.key] or "")  # one batch, at most self.batch rows
@@ -237,7 +242,7 @@ class Pipeline:
         context.setJobGroup(self.group, f"job {self.job}", interruptOnCancel=True)
         try:
             while True:
-                self.failed, self.last_error, self.processed = [], None, 0
+                self.failed, self.n_failed, self.last_error, self.processed = [], 0, None, 0
                 try:
                     processed, error = (self.run_full() if full else self.run_incremental()), None
                 except Killed as e:
@@ -252,7 +257,7 @@ class Pipeline:
         finally:
             context.setLocalProperty("spark.jobGroup.id", None)
             context.setLocalProperty("spark.job.description", None)
-        record = {"full": full, "ok": error is None, "error": error or self.last_error, "started": started, "ended": time.time(), "processed": processed, "skipped": len(self.failed)}
+        record = {"full": full, "ok": error is None, "error": error or self.last_error, "started": started, "ended": time.time(), "processed": processed, "skipped": self.n_failed}
         held = self.state.load(self.job)
         self.state.update(self.job, history=[*held["history"], record])
         return record

@@ -215,10 +215,12 @@ class EntityStore:
             rows = rows.withColumn("pos", F.monotonically_increasing_id())
         stored = self.spark.createDataFrame([(n, d["storage"]) for n, d in self._meta["datasets"].items()], "dataset string, ds string")
         rows = mutation.incoming_rows(rows)
-        unknown = rows.select("dataset").distinct().join(stored, "dataset", "left_anti").limit(5).collect()
-        if unknown:
-            raise ValueError(f"no such dataset: {sorted(r.dataset for r in unknown)}")
-        places = materialise(mutation.numbered(self._touched(rows), rows, strict), "places")
+        # more names than datasets: some are unknown
+        given = {r.dataset: r["count"] for r in rows.groupBy("dataset").count().limit(len(self._meta["datasets"]) + 1).collect()}
+        if unknown := sorted(set(given) - set(self._meta["datasets"])):
+            raise ValueError(f"no such dataset: {unknown[:5]}")
+        n = sum(given.values())
+        places = materialise(mutation.numbered(self._touched(rows, list(given), n), rows, strict, n), "places")
         counts = {r.dataset: r["count"] for r in places.groupBy("dataset").count().collect()}  # one row per dataset
         if not counts:
             return 0
@@ -232,18 +234,14 @@ class EntityStore:
         self._merge()
         return sum(counts.values())
 
-    def _touched(self, rows: DataFrame) -> DataFrame:
+    def _touched(self, rows: DataFrame, names: list[str], n: int) -> DataFrame:
         """The committed versions that a transaction's rows are compared with, without payload.
 
-        Only the datasets of the rows are read, and if the rows are few (at most
-        ``SMALL_WRITE``, checked) only the buckets and the range of ids they fall in.
+        Only the datasets ``names`` of the ``n`` rows are read, and if the rows are few (at
+        most ``SMALL_WRITE``) only the buckets and the range of ids they fall in.
         """
-        names = [r.dataset for r in rows.select("dataset").distinct().collect()]  # datasets of the catalog
-        few = rows.select("entity_id").limit(SMALL_WRITE + 1).collect()
-        ids = sorted({r.entity_id for r in few}) if len(few) <= SMALL_WRITE else None
-        hashes: list[int] = []
-        if ids is not None:
-            hashes = [r.h for r in self.spark.createDataFrame([(i,) for i in ids], "entity_id string").select(_bucket(MAX_BUCKETS).alias("h")).distinct().collect()]
+        found = rows.select("entity_id", _bucket(MAX_BUCKETS).alias("h")).distinct().collect() if n <= SMALL_WRITE else []
+        ids, hashes = [r.entity_id for r in found], {r.h for r in found}
         groups: dict[int, list[dict]] = {}
         for b in self._meta["batches"]:
             if any(self._meta["datasets"][n]["storage"] in b["rows"] for n in names):
@@ -251,7 +249,7 @@ class EntityStore:
         out = self._read([])
         for buckets, batches in groups.items():
             part = self._read(batches)
-            if ids is not None:
+            if n <= SMALL_WRITE:
                 part = part.where(F.col("bucket").isin(sorted({h % buckets for h in hashes})) & F.col("entity_id").isin(ids))
             out = out.unionByName(part)
         return self._named(out, names).select("dataset", "entity_id", "recorded", "batch_seq", "seq", "content_key")

@@ -78,7 +78,7 @@ def test_transactions_and_queries(hub):
     assert hub.query({"entityId": "ns1:1", "details": True}).rows.first().n_changes == 1
     whole = json.loads(hub.query({"entityId": "ns1:1", "noPartialMerging": True}).rows.first().props)
     assert whole["core:partials"][0]["props"] == {"core:datasetname": "companies", "ns1:name": "X"}
-    for bad in ({}, {"startingEntities": ["x"]}):
+    for bad in ({}, {"startingEntities": ["x"]}, {"startingEntities": ["ns0:1"], "predicate": "zz:works"}):
         with pytest.raises(ValueError):
             hub.query(bad)
 

@@ -96,3 +96,18 @@ def test_commit_stopped_before_the_plan_was_removed(spark, tmp_path):
     run.commit()
     run._files.put("plan", plan)
     assert run.begin(log).collect() == []
+
+
+def test_a_replay_looks_only_at_the_ranges_of_its_plan(spark, tmp_path, monkeypatch):
+    log = spark.createDataFrame([(d, i, i) for d in "ab" for i in range(10)], LOG)
+    run = IncrementalRun(str(tmp_path), "j", ["a", "b"])
+    run.begin(log.where("seq < 4"))
+    run.commit()
+    run.begin(log.where("dataset = 'a'"))
+    sink = spark.createDataFrame([("j", d, i) for d in "ab" for i in range(7)], "job_id string, dataset string, seq bigint")
+    want = {("j", "a", i) for i in (4, 5, 6)}
+    assert set_of(run.delivered(sink)) == want
+    monkeypatch.setattr("strandlog.operators.increments._INLINE_RANGES", 0)
+    assert set_of(run.delivered(sink)) == want
+    run.commit()
+    assert rows_of(run.delivered(sink)) == []

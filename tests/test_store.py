@@ -150,7 +150,7 @@ def test_a_small_write_reads_only_what_it_touches(spark, store, monkeypatch):
     assert [b["buckets"] for b in store._meta["batches"]] == [16, 16]
     read = []
     inner = store._touched
-    monkeypatch.setattr(store, "_touched", lambda rows: read.append(inner(rows)) or read[0])
+    monkeypatch.setattr(store, "_touched", lambda *given: read.append(inner(*given)) or read[0])
     assert store.store_entities("people", ids(spark, 7, 8, v=1)) == 2
     held = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -19,10 +19,10 @@ BLOCK = 20_000
 MAX_SOURCES = 10_000
 
 #: Settled documents of all sizes that a block passes on with its open ones, as counterweights for the landing.
-CARRIED = 16
+CARRIED = 256
 
-#: Settled units that a landing may exchange, pair by pair, to meet the total size.
-EXCHANGES = 8
+#: The most pairs of settled units that a landing exchanges; a miss of one very long document takes many short ones.
+EXCHANGES = 1_000
 
 _EPS = 1e-9
 
@@ -157,7 +157,7 @@ def _spread(units: DataFrame, block: int) -> DataFrame:
 def _fly(units: DataFrame, seed: int, level: int, block: int) -> DataFrame:
     """Settles all units of ``(doc_id, source, n_tokens, base, p, salt)``, level by level.
 
-    A block passes on at most CARRIED + 2 units, so levels shrink while ``block`` is larger.
+    A block passes on at most an eighth of its size, CARRIED at most, and 2 units, so levels shrink.
     """
     blocks = units.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     most = blocks.agg(F.max("blocks")).first()[0] or 1
@@ -172,7 +172,7 @@ def _fly(units: DataFrame, seed: int, level: int, block: int) -> DataFrame:
         if last:
             p = balance(size, landing(p, rng), float((size * start).sum()))
         up = (p > _EPS) & (p < 1 - _EPS)
-        up[np.argsort(size, kind="stable")[np.linspace(0, len(p) - 1, min(CARRIED, len(p))).astype(int)]] = True
+        up[np.argsort(size, kind="stable")[np.linspace(0, len(p) - 1, min(CARRIED, block // 8, len(p))).astype(int)]] = True
         return pdf.assign(p=p, up=up)[["doc_id", "source", "n_tokens", "base", "p", "salt", "up"]]
 
     schema = "doc_id bigint, source string, n_tokens bigint, base int, p double, salt bigint, up boolean"
@@ -199,8 +199,8 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     ``sizes`` as from :func:`~strandlog.llm.tokens.token_sizes`; rows are documents, also
     repeated ones; null and unlisted sources are not part of the mix.
     """
-    if block < 4 * CARRIED:
-        raise ValueError(f"a block takes at least {4 * CARRIED} documents")
+    if block < 64:
+        raise ValueError("a block takes at least 64 documents")
     plan = plan_mix(sizes, targets, total)
     spark = sizes.sparkSession
     table = spark.createDataFrame([(p["source"], p["base"], p["p"]) for p in plan], "source string, base int, p double")
@@ -219,10 +219,9 @@ def shares(mixed: DataFrame, targets: DataFrame, plan: list[dict] | None = None)
     the actual ones deviate by what the landing could not meet.
     """
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("docs"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
-    whole = got.agg(F.sum("tokens").alias("whole"))
     wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("weight").alias("target_share"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = wanted.join(got, "source", "left").join(F.broadcast(whole))  # one row: the total
+    rows = wanted.join(got, "source", "left").withColumn("whole", F.sum("tokens").over(Window.partitionBy()))  # a row per source
     rows = rows.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("docs"), zero("uses"), zero("most_uses"))
     if plan is None:
         return rows
